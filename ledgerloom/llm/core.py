@@ -176,6 +176,11 @@ def drop_tables() -> None:
 atexit.register(drop_tables)
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, so that very long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -136,6 +136,7 @@ def plan(counts: dict[int, int], width: int = WIDTH) -> np.ndarray:
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, width: int = WIDTH, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
+    core.tune(spark)
     # Written once, so that a piece's number within its part stays what it was when a task is run again.
     cut = core.keep(spark, pieces(docs, path, width, end).withColumn("part", F.spark_partition_id()), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count("*").alias("n"))

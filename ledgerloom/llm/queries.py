@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, mixing, packing, substring
-from .core import load
+from . import gif_media, language_id, mixing, near_dedup, packing, quality, substring
+from .core import load, tune
 
 
 def tokenizer_path() -> str:
@@ -21,7 +21,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(spark, load(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, load(spark, sf_dir, "documents"))
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return gif_media.media(load(spark, sf_dir, "documents"))
 
 
@@ -33,6 +42,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(spark, load(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
