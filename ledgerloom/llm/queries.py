@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, language_id, mixing, near_dedup, packing, quality, substring
+from . import class_lm, gif_media, html_text, language_id, mixing, near_dedup, packing, quality, substring, url_filter
 from .core import load, tune
 
 
@@ -21,14 +21,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, load(spark, sf_dir, "pages"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(spark, load(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, load(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.evaluate(spark, load(spark, sf_dir, "documents"))
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return gif_media.media(load(spark, sf_dir, "documents"))
