@@ -7,10 +7,11 @@ rounds, and mostly after two or three. Equal coordinates estimate similarity wit
 Documents with equal shingle sets form classes first; only one document stands for each. Bands of ROWS coordinates put
 classes into buckets: a pair of similarity 0.8 shares none of the 32 bands with probability (1 - 0.8**4)**32 < 1e-7. A bucket does
 not list its pairs: its members are linked to a leader, task by task and then over tasks, and each link is confirmed on the
-full shingle sets. Buckets whose members are then in more than one component go on: members outside the bucket's main
-component are compared with all others, in blocks, by sketch (only pairs more than six deviations below the threshold are
-dropped), and the nearest candidates in other components are confirmed on full sets, more of them each round,
-until no candidate between two components is left. So components are those of all pairs that share a band.
+full shingle sets. What stays open is settled in two ways. Members and leaders of rough similarity form dense groups, of which
+each document has one; there the members outside the main component are compared with all others on full sets, block
+by block, and one link to each component is given back. Pairs that share a bucket but not a dense group are compared
+by sketch (only pairs more than six deviations below the threshold are dropped) and then confirmed on full sets.
+So components are those of all pairs that share a band.
 
 Defined cases: null texts and texts without words have an empty set, link with nothing and are kept; shorter texts are
 one shingle; rows with one doc_id are one node; a null doc_id is a node below all others and is given back as null; an empty table
@@ -32,7 +33,10 @@ from .components import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-BLOCK = 512
+#: Members that a leader is this similar to form a dense group with it.
+DENSE = 0.5
+#: Shingles and members in a block, on average.
+BLOCK, MEMBERS = 250_000, 512
 _NULL_ID = -(2**63)
 _U = np.uint64
 _SEED = [int(x) for x in np.random.default_rng(97).integers(1, 2**63, 2 * BINS + 1, dtype=np.int64)]
@@ -214,32 +218,94 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 # --- what leaders leave open ------------------------------------------------------------------------------
 
 
-def _compare(percent: int, most: int):
-    """Block against block: for each member and other component the nearest ``most`` candidates; and whether some were left out."""
-    margin = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+def _near(percent: int) -> float:
+    """Six standard deviations below the threshold, for shares of equal coordinates."""
+    return percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+
+
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, BINS) for c in ("sig_a", "sig_b"))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).mean(axis=1))], ["a", "b", "near"])
+
+
+def _node_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, bounds in core.chunks(batches):
+            sets, at = shingle_sets(buf, bounds, k)
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(rows.num_rows)], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _compare_sets(percent: int):
+    """Members outside the main component against a block: an exact link, the closest, to each other component that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                left, right = batch.column("minor")[i].as_py(), batch.column("members")[i].as_py()
+                rows += _block_links(left, right, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple]:
+    mine = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in left]
+    theirs = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in right]
+    size = np.array([len(x) for x in theirs])
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    node, component = (np.array([m[c] for m in right], dtype=np.int64) for c in ("node", "component"))
+    universe, number = np.unique(np.concatenate([*theirs, *mine]), return_inverse=True)
+    other, number = number[: size.sum()], np.split(number[size.sum() :], np.cumsum([len(x) for x in mine])[:-1])
+    has, rows = np.zeros(len(universe), dtype=np.int32), []
+    for m, own in zip(left, number, strict=True):
+        has[own] = 1
+        both = np.add.reduceat(has[other], start)
+        has[own] = 0
+        links = np.flatnonzero((100 * both >= percent * (size + len(own) - both)) & (component != m["component"]))
+        links = links[np.lexsort((node[links], -both[links], component[links]))]
+        c = component[links]
+        for j in links[np.r_[True, c[1:] != c[:-1]] if len(c) else slice(0)].tolist():
+            rows.append((min(m["node"], int(node[j])), max(m["node"], int(node[j]))))
+    return rows
+
+
+def _inside(spark: SparkSession, dense: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the components of each dense group (node, component: its group), on full sets."""
+    member = dense.select("node", F.col("component").alias("group")).join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "group", F.coalesce("component", "node").alias("component"))
+    member = core.keep(spark, member.join(sizes.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("node", "group", "component", "n_shingles"), "dense_members")
+    parts = member.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
+    main = parts.groupBy(F.col("group").alias("g")).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "words"))["words"].alias("main_words"), F.sum("words").alias("words"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("g", "main", F.ceil(F.col("words") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("words") - F.col("main_words")) / BLOCK).cast("int").alias("minor_blocks"))
+    open_ = core.keep(spark, member.join(main, F.col("group") == F.col("g")).select("node", "group", "component", "main", "blocks", "minor_blocks"), "open_members")
+    sets = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_node_sets(k), "node long, shingles binary")
+    full = core.keep(spark, open_.join(sets, "node"), "open_sets")
+    row = F.collect_list(F.struct("node", "component", "shingles"))
+    blocks = full.groupBy("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(row.alias("members"))
+    minor = full.where("component <> main").groupBy("group", "blocks", F.pmod(F.xxhash64("node"), F.col("minor_blocks")).alias("part")).agg(row.alias("minor"))
+    minor = minor.select("group", "minor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    return minor.join(blocks, ["group", "block"]).select("minor", "members").mapInArrow(_compare_sets(percent), "a long, b long")
+
+
+def _compare_sketches(percent: int):
+    """Pairs of a bucket whose groups differ and whose sketches don't rule them out."""
+    margin = _near(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
             for left, right in zip(batch.column("minor").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                na, ca, sa, xa = _columns(left)
-                nb, cb, sb, xb = _columns(right)
+                (na, ga, sa, xa), (nb, gb, sb, xb) = _columns(left), _columns(right)
                 for i in range(len(na)):
-                    near = (xb == xa[i]).mean(axis=1)
-                    ok = (cb != ca[i]) & (near >= margin) & (100 * np.minimum(sb, sa[i]) >= percent * np.maximum(sb, sa[i]))
+                    ok = (gb != ga[i]) & (100 * np.minimum(sb, sa[i]) >= percent * np.maximum(sb, sa[i]))
                     at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    at = at[np.lexsort((nb[at], -near[at], cb[at]))]
-                    c = cb[at]
-                    start = np.maximum.accumulate(np.where(np.r_[True, c[1:] != c[:-1]], np.arange(len(c)), 0))
-                    nth = np.arange(len(c)) - start
-                    for j in at[nth < most].tolist():
-                        rows.append((int(min(na[i], nb[j])), int(max(na[i], nb[j])), False))
-                    if (nth >= most).any():
-                        rows.append((int(na[i]), int(na[i]), True))
-            rows = list(dict.fromkeys(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "more"])
+                    at = at[(xb[at] == xa[i]).mean(axis=1) >= margin] if len(at) else at
+                    found.update((min(int(na[i]), j), max(int(na[i]), j)) for j in nb[at].tolist())
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return run
 
@@ -247,24 +313,26 @@ def _compare(percent: int, most: int):
 def _columns(members: list[dict]):
     return (
         np.array([m["node"] for m in members], dtype=np.int64),
-        np.array([m["component"] for m in members], dtype=np.int64),
+        np.array([m["group"] for m in members], dtype=np.int64),
         np.array([m["n_shingles"] for m in members], dtype=np.int64),
         np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(len(members), -1),
     )
 
 
-def _open_pairs(spark: SparkSession, members: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b, more: candidate pairs between components that share a bucket. members: node, n_shingles, sig, keys."""
-    now = members.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("component", F.coalesce("component", "node"))
-    in_bucket = now.select("node", "component", "n_shingles", "sig", F.explode("keys").alias("key"))
-    sizes = in_bucket.groupBy("key", "component").agg(F.count("*").alias("n"))
-    # Buckets with more than one component; the main one is the largest.
-    open_ = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = open_.select(F.col("key").alias("k"), "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = in_bucket.join(open_, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    blocks = core.keep(spark, dealt.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n_shingles", "sig")).alias("members"), F.first("main").alias("main"), F.first("blocks").alias("blocks")), "blocks")
-    minor = blocks.select("key", F.filter("members", lambda m: m["component"] != F.col("main")).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where(F.size("minor") > 0)
-    return minor.join(blocks.select("key", "block", "members"), ["key", "block"]).select("minor", "members").mapInArrow(_compare(percent, most), "a long, b long, more boolean").distinct()
+def _between(spark: SparkSession, members: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidate pairs that share a bucket but not a dense group. members: node, n_shingles, sig, keys."""
+    now = members.join(dense.select(F.col("node").alias("x"), F.col("component").alias("group")), F.col("node") == F.col("x"), "left").withColumn("group", F.coalesce("group", "node"))
+    in_bucket = now.select("node", "group", "n_shingles", "sig", F.explode("keys").alias("key"))
+    parts = in_bucket.groupBy("key", "group").agg(F.count("*").alias("n"))
+    # Buckets with more than one group; members of the largest are compared with the others only.
+    open_ = parts.groupBy(F.col("key").alias("k")).agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = open_.select("k", "main", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / MEMBERS).cast("int").alias("minor_blocks"))
+    dealt = core.keep(spark, in_bucket.join(open_, F.col("key") == F.col("k")).drop("k"), "open_buckets")
+    row = F.collect_list(F.struct("node", "group", "n_shingles", "sig"))
+    blocks = dealt.groupBy("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("block")).agg(row.alias("members"))
+    minor = dealt.where("group <> main").groupBy("key", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_blocks")).alias("part")).agg(row.alias("minor"))
+    minor = minor.select("key", "minor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    return minor.join(blocks, ["key", "block"]).select("minor", "members").mapInArrow(_compare_sketches(percent), "a long, b long").distinct()
 
 
 # --- the operator -----------------------------------------------------------------------------------------
@@ -289,16 +357,18 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     # Several sets under one doc_id are one node.
     members = one.join(nodes, "node", "left_semi").select("node", "n_shingles", "sig", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8))).alias("keys"))
     members = core.keep(spark, members, "members")
-    most = 1
-    while True:
-        labels = core.keep(spark, components(spark, tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-        found = core.keep(spark, _open_pairs(spark, members, labels, percent, most), "open")
-        new = core.keep(spark, found.where("not more").join(tested, ["a", "b"], "left_anti").select("a", "b"), "new_pairs")
-        if not new.isEmpty():
-            tested = core.keep(spark, tested.unionByName(_confirmed(new, texts, k, percent)), "confirmed")
-        elif found.where("more").isEmpty():
-            break
-        most = min(8 * most, BLOCK)
+    def closed(links: DataFrame) -> DataFrame:
+        return core.keep(spark, components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+
+    labels = closed(tested.where("linked"))
+    sig = members.select("node", "sig")
+    near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a long, b long, near double")
+    dense = closed(near.where(F.col("near") >= DENSE))
+    inside = core.keep(spark, _inside(spark, dense, labels, texts, members.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), k, percent), "inside")
+    between = core.keep(spark, _between(spark, members, dense, percent).join(tested, ["a", "b"], "left_anti"), "between")
+    more = core.keep(spark, _confirmed(between, texts, k, percent).where("linked").select("a", "b").unionByName(inside), "more_links")
+    if not more.isEmpty():
+        labels = closed(tested.where("linked").select("a", "b").unionByName(more))
     final = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), F.coalesce("component", "node").alias("component"))
     out = sketched.join(final, F.col("set_key") == F.col("s"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
