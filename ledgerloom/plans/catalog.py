@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import assembly, discovery, figures, geometry, language, periods, reading, selection, writing  # noqa: F401
+from .registry import ORACLES, QUERIES, Query
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+    """A mapping program resolved over all companies and quarters."""
+    return QUERIES["h0_mapping_program"](spark, sf_dir)
