@@ -8,8 +8,8 @@ all but the earliest (smallest doc_id, then start) are removed. Nothing is sampl
 speakers at every level, and a level only drops windows that cannot be repeated.
 
 Shuffles: a task sends each distinct hash once, however often it has met it, in packed arrays; so a passage that a third
-of all documents share costs one entry a task. Answers come back packed by the documents' bucket. Bucket numbers
-are a parameter that follows spark.sql.shuffle.partitions.
+of all documents share costs one entry a task. Answers come back packed by the documents' bucket. The number of
+buckets follows spark.sql.shuffle.partitions.
 
 Defined cases: null, empty and shorter texts have no window and lose nothing; equal rows (doc_id and text) are one
 document; rows with a null doc_id come first, as one document's would; extra columns are ignored by ``digests`` and kept by ``rows``.
@@ -33,6 +33,8 @@ _NULL_ID = -(2**63)
 _U = np.uint64
 _SENT = "bucket long, home long, data binary"
 _BACK = "home long, data binary"
+#: Groups of documents for each bucket of hashes: every group sends each bucket one message at most.
+HOMES = 2
 #: Entries that a task holds before it sends them.
 _HELD = 4_000_000
 
@@ -159,7 +161,7 @@ def _found(entries: list[np.ndarray], last: bool) -> tuple[np.ndarray, np.ndarra
     return order[first], order[later]
 
 
-def _send(entries: list[np.ndarray], last: bool, buckets: int) -> Iterator[tuple]:
+def _send(entries: list[np.ndarray], last: bool, buckets: int, homes: int) -> Iterator[tuple]:
     if not len(entries[0]):
         return
     heads, known = _found(entries, last)
@@ -167,8 +169,8 @@ def _send(entries: list[np.ndarray], last: bool, buckets: int) -> Iterator[tuple
     for bucket, part in _split((sent[0] % _U(buckets)).astype(np.int64), sent):
         yield bucket, -1, _pack(_ENTRY, part)
     place = [entries[2][known], entries[3][known]]
-    for home, part in _split(_home(place[0], buckets), place):
-        yield home, home, _pack(_PLACE, part)
+    for home, part in _split(_home(place[0], homes), place):
+        yield home % buckets, home, _pack(_PLACE, part)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -180,7 +182,7 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _first_level(length: int, w: int, buckets: int):
+def _first_level(length: int, w: int, buckets: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, buf, bounds in core.chunks(batches):
@@ -190,10 +192,10 @@ def _first_level(length: int, w: int, buckets: int):
             held.append(text.entries(w, np.flatnonzero(at)))
             size += len(held[-1][0])
             if size >= _HELD:
-                yield _batch([*_send([np.concatenate(x) for x in zip(*held, strict=True)], w == length, buckets)], ["bucket", "home", "data"])
+                yield _batch([*_send([np.concatenate(x) for x in zip(*held, strict=True)], w == length, buckets, homes)], ["bucket", "home", "data"])
                 held, size = [], 0
         if held:
-            yield _batch([*_send([np.concatenate(x) for x in zip(*held, strict=True)], w == length, buckets)], ["bucket", "home", "data"])
+            yield _batch([*_send([np.concatenate(x) for x in zip(*held, strict=True)], w == length, buckets, homes)], ["bucket", "home", "data"])
 
     return run
 
@@ -207,7 +209,7 @@ def _table_text(table: pa.Table, length: int) -> _Text:
     return _Text(buf, bounds, _ids(table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())), length)
 
 
-def _next_level(length: int, before: int, w: int, buckets: int):
+def _next_level(length: int, before: int, w: int, buckets: int, homes: int):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if docs.num_rows and places.num_rows:
@@ -217,23 +219,23 @@ def _next_level(length: int, before: int, w: int, buckets: int):
             alive[alive] = marked[text.level(before, alive)]
             at = np.zeros(len(text.words), dtype=bool)
             at[text.level(w, alive)] = True
-            rows = [*_send(text.entries(w, np.flatnonzero(at)), w == length, buckets)]
+            rows = [*_send(text.entries(w, np.flatnonzero(at)), w == length, buckets, homes)]
         return pa.Table.from_batches([_batch(rows, ["bucket", "home", "data"])])
 
     return run
 
 
-def _resolve(last: bool, buckets: int):
-    """One bucket of hashes: answers for the entries that meet an equal one, and the answers that tasks gave themselves."""
+def _resolve(last: bool, homes: int):
+    """One bucket of hashes: one message to each group of documents, of the entries that meet an equal one and what tasks found themselves."""
 
     def run(table: pa.Table) -> pa.Table:
-        homes, data = table.column("home").to_pylist(), table.column("data").to_pylist()
-        rows = [(home, blob) for home, blob in zip(homes, data, strict=True) if home >= 0]
-        entries = _unpack(_ENTRY, [blob for home, blob in zip(homes, data, strict=True) if home < 0])
+        homed, data = table.column("home").to_pylist(), table.column("data").to_pylist()
+        entries = _unpack(_ENTRY, [blob for home, blob in zip(homed, data, strict=True) if home < 0])
+        place = _unpack(_PLACE, [blob for home, blob in zip(homed, data, strict=True) if home >= 0])
         if len(entries[0]):
             _, known = _found(entries, last)
-            place = [entries[2][known], entries[3][known]]
-            rows += [(home, _pack(_PLACE, part)) for home, part in _split(_home(place[0], buckets), place)]
+            place = [np.concatenate([a, b[known]]) for a, b in zip(place, entries[2:], strict=True)]
+        rows = [(home, _pack(_PLACE, part)) for home, part in _split(_home(place[0], homes), place)]
         return pa.Table.from_batches([_batch(rows, ["home", "data"])])
 
     return run
@@ -292,27 +294,28 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
-def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, buckets: int, homes: int) -> tuple[DataFrame, DataFrame]:
     """The documents by home bucket, and the starts of the windows to remove."""
     if length % base or (length // base) & (length // base - 1):
         raise ValueError("length must be base times a power of two")
     home = _free("home", docs.columns)
-    homed = docs.withColumn(home, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))), F.lit(buckets)))
+    homed = docs.withColumn(home, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))), F.lit(homes)))
     slim = homed.select(F.col(home).alias("home"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent, w = slim.drop("home").mapInArrow(_first_level(length, base, buckets), _SENT), base
+    sent, w = slim.drop("home").mapInArrow(_first_level(length, base, buckets, homes), _SENT), base
     while True:
-        back = sent.groupBy("bucket").applyInArrow(_resolve(w == length, buckets), _BACK)
+        back = sent.groupBy("bucket").applyInArrow(_resolve(w == length, homes), _BACK)
         if w == length:
             return homed, back
         # Survivors are few and small; the next level looks only at them.
-        sent = slim.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(_next_level(length, w, 2 * w, buckets), _SENT)
+        sent = slim.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(_next_level(length, w, 2 * w, buckets, homes), _SENT)
         w *= 2
 
 
 def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words that stay, for each row of docs(doc_id, text)."""
-    buckets = buckets or 8 * core.partitions(spark)
-    homed, places = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets)
+    core.tune(spark)
+    buckets = buckets or core.partitions(spark)
+    homed, places = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets, HOMES * buckets)
     slim = homed.select("home", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_digest(length), DIGEST)
 
@@ -321,6 +324,7 @@ def rows(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int |
     """The documents with repeated windows removed: untouched texts stay as they are, others are their words joined by spaces."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    buckets = buckets or 8 * core.partitions(spark)
-    homed, places = _answers(spark, docs, length, base or length // 2, buckets)
+    core.tune(spark)
+    buckets = buckets or core.partitions(spark)
+    homed, places = _answers(spark, docs, length, base or length // 2, buckets, HOMES * buckets)
     return homed.groupBy(_free("home", docs.columns)).cogroup(places.groupBy("home")).applyInArrow(_rewrite(length, to_arrow_schema(docs.schema)), docs.schema)
