@@ -51,21 +51,25 @@ def rule_of(rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _with_codes(urls: DataFrame) -> DataFrame:
-    """codes: one number for each symbol and the three before it; 0 stands before the first and after the last."""
+def _symbols() -> Column:
+    """The symbols of host and path, after three zeros and before one."""
     text = F.translate(F.concat("host", "path"), _UPPER + "123456789_", _LOWER + "000000000-")
     symbol = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.call_function("locate", c, F.lit(_ALPHABET)), F.lit(0)), F.lit(SYMBOLS - 1)))
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER - 1), symbol, F.array(F.lit(0)))
-    code = lambda i: sum((F.element_at("_s", i - k) * SYMBOLS**k for k in range(1, ORDER)), F.element_at("_s", i))
-    return urls.withColumn("_s", padded).withColumn("codes", F.transform(F.sequence(F.lit(ORDER), F.size("_s")), code)).drop("_s")
+    return F.concat(F.array_repeat(F.lit(0), ORDER - 1), symbol, F.array(F.lit(0)))
+
+
+def _codes() -> Column:
+    """One number for each symbol and the three before it. ``symbols`` must be a stored column: an expression would be worked out anew for each place."""
+    code = lambda i: sum((F.element_at("symbols", i - k) * SYMBOLS**k for k in range(1, ORDER)), F.element_at("symbols", i))
+    return F.transform(F.sequence(F.lit(ORDER), F.size("symbols")), code)
 
 
 def _model(spark: SparkSession, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log ratios (code, ratio): after each known context of ORDER - 1 symbols, and after all contexts of one symbol less.
 
-    judged: codes, verdict. The tables have at most SYMBOLS**ORDER and exactly SYMBOLS**(ORDER - 1) rows.
+    judged: symbols, verdict. The tables have at most SYMBOLS**ORDER and exactly SYMBOLS**(ORDER - 1) rows.
     """
-    seen = judged.select("verdict", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("allow"), F.count(F.when(F.col("verdict") == "block", 1)).alias("block"))
+    seen = judged.select("verdict", F.explode(_codes()).alias("code")).groupBy("code").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("allow"), F.count(F.when(F.col("verdict") == "block", 1)).alias("block"))
     seen = core.keep(spark, seen, "url_grams")
 
     def step(out: DataFrame, order: int) -> DataFrame:
@@ -88,9 +92,9 @@ def _model(spark: SparkSession, judged: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _scored(urls: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """host, path, score of distinct urls(host, path): the mean log ratio of their symbols."""
+    """host, path, score of distinct urls(host, path, symbols): the mean log ratio of their symbols."""
     upper, lower = (m.select(F.col("code").alias(f"code_{i}"), F.col("ratio").alias(f"ratio_{i}")) for i, m in enumerate(model))
-    each = _with_codes(urls).select("host", "path", F.explode("codes").alias("code"))
+    each = urls.select("host", "path", F.explode(_codes()).alias("code"))
     each = each.join(F.broadcast(upper), F.col("code") == F.col("code_0"), "left").join(F.broadcast(lower), F.col("code") % SYMBOLS ** (ORDER - 1) == F.col("code_1"), "left")
     return each.groupBy("host", "path").agg(F.round(F.avg(F.coalesce("ratio_0", "ratio_1", F.lit(0.0))), 9).alias("score"))
 
@@ -112,11 +116,12 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     rule, says = rule_of(rules)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path).drop("url")
-    # Each distinct URL is judged once, with the number of pages that have it.
-    urls = core.keep(spark, pages.groupBy("host", "path").agg(F.count("*").alias("times")).withColumns({"rule": rule, "says": says}), "urls")
+    # Each distinct URL is judged once.
+    urls = core.keep(spark, pages.select("host", "path").distinct().withColumns({"rule": rule, "says": says, "symbols": _symbols()}), "urls")
+    urls = urls.repartition(core.partitions(spark), "host", "path")
     judged = urls.where("says is not null").withColumn("fold", F.pmod(F.crc32(F.concat("host", "path")), F.lit(5)))
-    model = _model(spark, _with_codes(judged.where("fold <> 0")).select("codes", F.col("says").alias("verdict")))
-    scored = core.keep(spark, _scored(urls.select("host", "path"), model), "url_scores")
+    model = _model(spark, judged.where("fold <> 0").select("symbols", F.col("says").alias("verdict")))
+    scored = core.keep(spark, _scored(urls.select("host", "path", "symbols"), model), "url_scores")
     cut = _cut(judged.where("fold = 0").select("host", "path", F.col("says").alias("verdict")).join(scored, ["host", "path"]))
     method = F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
     answers = urls.join(scored, ["host", "path"]).select("host", "path", "rule", F.coalesce("says", method).alias("verdict"), "score")
