@@ -1 +1,223 @@
-"""Queries."""
+"""Queries on layout discovery over the target sheet (groups M and J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.text import detect_section, normalize_label
+from ..operators import discover as D
+from .facts import QUARTERLY, quarterly
+from .registry import Table, expected, load, query
+
+#: A sheet of cells: captions in column 2, dates in row 2, formulas and values to the right.
+_SHEET = Table("row int, col int, text string, value double, formula string, rgb string", [
+    (1, 2, "Company model", None, None, None), (2, 2, "SAR m", None, None, None), (2, 3, "2025-12-31", None, None, None), (2, 4, "2026-03-31", None, None, None), (2, 5, "2026-06-30", None, None, None), (2, 6, "2026-09-30", None, None, None),
+    (3, 2, "Income statement", None, None, None), (4, 2, "Revenue", None, None, None), (4, 3, None, 10.0, None, "0000FF"), (4, 4, None, 11.0, None, "0000FF"), (4, 5, None, 12.0, None, "0000FF"),
+    (5, 2, "Cost of sales", None, None, None), (5, 3, None, -6.0, None, "0000FF"), (5, 4, None, -7.0, None, "0000FF"), (5, 5, None, -7.5, None, "0000FF"),
+    (6, 2, "Gross profit", None, None, None), (6, 3, None, 4.0, "=C4+C5", "000000"), (6, 4, None, 4.0, "=D4+D5", "000000"), (6, 5, None, 4.5, "=E4+E5", "000000"), (6, 6, None, None, "=F4+F5", "000000"),
+    (7, 2, "Cash flow", None, None, None), (8, 2, "Revenue", None, None, None), (8, 3, None, 1.0, "=1+0", "0000FF"), (8, 4, None, 2.0, None, "0000FF"), (9, 2, "Revenue", None, None, None), (9, 4, None, 3.0, None, "0000FF"), (9, 1, "x", None, None, None),
+])
+
+
+@query("m1_label_column", expected("label_col int, n long", [(2, 9)]))
+def m1(spark, sf_dir):
+    """Of the first eight columns the one with most captions of three letters; the first of equals."""
+    words = _SHEET.df(spark).where("col <= 8 and text rlike '[A-Za-z]{3}'").groupBy("col").agg(F.count("*").alias("n"))
+    return words.agg(F.max_by(F.struct("col", "n"), F.struct("n", -F.col("col"))).alias("b")).select(F.col("b.col").alias("label_col"), "b.n")
+
+
+@query("m2_caption_indirection", expected("row int, text string", [(1, "Revenue"), (2, "Revenue"), (3, "Revenue"), (4, None)]))
+def m2(spark, sf_dir):
+    """Captions that are references are followed up to five times; a circle ends as null."""
+    cells = Table("row int, text string, ref int", [(1, "Revenue", None), (2, None, 1), (3, None, 2), (4, None, 4)]).df(spark)
+    return D.follow(cells, 5)
+
+
+@query("m3_header_and_data_rows", expected("first_data_row int, header_row int", [(4, 2)]))
+def m3(spark, sf_dir):
+    """Data begin at the first row with two figures; the header is the fullest row above, the later of equals."""
+    per = _SHEET.df(spark).where("col > 2").groupBy("row").agg(F.count("value").alias("figures"), F.count("text").alias("texts"))
+    first = per.agg(F.min(F.when(F.col("figures") >= 2, F.col("row"))).alias("first_data_row")).withColumn("one", F.lit(1))
+    above = per.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").where("row < first_data_row")
+    return above.groupBy("first_data_row").agg(F.max_by("row", F.struct("texts", "row")).alias("header_row"))
+
+
+@query("m4_column_census", expected("col int, inputs long, formulas long, values long", [(3, 3, 1, 4), (4, 4, 1, 5), (5, 2, 1, 3), (6, 0, 1, 0)]))
+def m4(spark, sf_dir):
+    role = D.role()
+    return _SHEET.df(spark).where("col > 2 and text is null").groupBy("col").agg(F.count_if(role == "input").alias("inputs"), F.count_if(role == "formula").alias("formulas"), F.count("value").alias("values"))
+
+
+@query("m5_period_dates", expected("col int, end date", [(3, "2025-12-31"), (4, "2026-03-31"), (5, "2026-06-30"), (6, "2026-09-30")]))
+def m5(spark, sf_dir):
+    """The row with most dates names the columns' periods."""
+    dated = _SHEET.df(spark).withColumn("end", F.col("text").try_cast("date")).where("end is not null")
+    best = dated.groupBy("row").agg(F.count("*").alias("n")).agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("r"))
+    return dated.join(F.broadcast(best), F.col("row") == F.col("r")).select("col", "end")
+
+
+@query("m6_write_column", expected("write_col int, mode string", [(6, "reserved")]))
+def m6(spark, sf_dir):
+    """The first column right of the last figures that is dated and formatted, else a new one."""
+    t = _SHEET.df(spark).where("col > 2").groupBy("col").agg(F.count("value").alias("n"), F.max(F.col("text").try_cast("date").isNotNull()).alias("dated"))
+    last = t.agg(F.max(F.when(F.col("n") > 0, F.col("col"))).alias("last")).withColumn("one", F.lit(1))
+    free = t.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").groupBy("last").agg(F.min(F.when((F.col("col") > F.col("last")) & (F.col("n") == 0) & F.col("dated"), F.col("col"))).alias("free"))
+    return free.select(F.coalesce("free", F.col("last") + 1).alias("write_col"), F.when(F.col("free").isNotNull(), "reserved").otherwise("append").alias("mode"))
+
+
+@query("m7_reference_column", expected("reference_col int", [(4,)]))
+def m7(spark, sf_dir):
+    """Of the columns with at least half of the densest column's inputs (three at least) the most recent."""
+    n = _SHEET.df(spark).where("col > 2 and text is null").groupBy("col").agg(F.count_if(D.role() == "input").alias("n"))
+    dense = n.withColumn("most", F.max("n").over(Window.partitionBy(F.lit(1)))).where(F.col("n") >= F.greatest(F.lit(3), F.col("most") / 2))
+    return dense.agg(F.max("col").alias("reference_col"))
+
+
+@query("m8_row_roles", expected("row int, role string", [(4, "input"), (5, "input"), (6, "formula"), (8, "input"), (9, "input")]))
+def m8(spark, sf_dir):
+    """A row is what its latest cell is; literal formulas are inputs."""
+    return _SHEET.df(spark).where("col > 2 and (value is not null or formula is not null)").groupBy("row").agg(F.max_by(D.role(), "col").alias("role"))
+
+
+@query("m9_sheet_name", expected("want string, sheet string", [("Model", "Model"), ("model ", None), ("DATA", " data")]))
+def m9(spark, sf_dir):
+    """An exact name, else the only one that agrees without case and blanks."""
+    sheets = Table("sheet string", [("Model",), ("MODEL",), (" data",)]).df(spark)
+    wants = Table("want string", [("Model",), ("model ",), ("DATA",)]).df(spark)
+    pairs = wants.join(sheets, F.lower(F.trim("want")) == F.lower(F.trim("sheet"))).groupBy("want").agg(F.max(F.when(F.col("sheet") == F.col("want"), F.col("sheet"))).alias("exact"), F.count("*").alias("n"), F.max("sheet").alias("only"))
+    return pairs.select("want", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("sheet"))
+
+
+@query("m10_fingerprint", f"""
+    SELECT company, substr(sha256(string_agg(lower(caption) || '~' || 'income_statement', '|' ORDER BY caption)), 1, 16) AS fingerprint FROM (SELECT DISTINCT company, caption FROM ({QUARTERLY})) GROUP BY company""")
+def m10(spark, sf_dir):
+    """A digest of a sheet's captions and sections in sheet order."""
+    rows = quarterly(spark, sf_dir).select("company", "caption").distinct()
+    key = F.transform(F.array_sort(F.collect_list("caption")), lambda c: F.concat(F.lower(c), F.lit("~income_statement")))
+    return rows.groupBy("company").agg(F.substring(F.sha2(F.array_join(key, "|"), 256), 1, 16).alias("fingerprint"))
+
+
+@query("m11_draft_plan", expected("row int, label string, kind string, basis string, field string", [(4, "Revenue", "input", "quarter", "revenue"), (5, "Cost of sales", "input", "quarter", "cogs"), (6, "Gross profit", "formula", "quarter", None), (8, "Revenue", "input", "quarter", "revenue"), (9, "Revenue", "input", "quarter", "revenue")]))
+def m11(spark, sf_dir):
+    """Row kinds, the basis of their sections, and canonical fields by spelling."""
+    rows = m8(spark, sf_dir).withColumnRenamed("role", "kind").join(_SHEET.df(spark).where("col = 2").select("row", F.col("text").alias("label")), "row")
+    rows = rows.join(D.sections(_SHEET.df(spark).where("col = 2")).select("row", "section"), "row")
+    alias = Table("field string, spelling string", [("revenue", "revenue"), ("cogs", "cost of sales")]).df(spark)
+    out = rows.join(F.broadcast(alias), normalize_label(F.col("label")) == F.col("spelling"), "left")
+    return out.select("row", "label", "kind", F.when(F.col("section") == "balance_sheet", "point_in_time").otherwise("quarter").alias("basis"), "field")
+
+
+@query("m12_caption_proposals", expected("label string, caption string, method string", [("Revenue", "Revenue", "exact"), ("EBITDA margin", None, "derived"), ("Cost of sales total", "Cost of sales", "containment"), ("Goodwill", None, "unmatched")]))
+def m12(spark, sf_dir):
+    """Each sheet row's proposal with the method that found it."""
+    from ..functions.text import is_derived
+    from ..operators.select import find_row
+
+    sheet = Table("label string", [("Revenue",), ("EBITDA margin",), ("Cost of sales total",), ("Goodwill",)]).df(spark)
+    lines = Table("stmt int, row int, caption string, values array<double>", [(1, 0, "Revenue", [1.0]), (1, 1, "Cost of sales", [2.0])]).df(spark)
+    found = find_row(sheet.where(~is_derived(F.col("label"))).select(F.col("label").alias("req"), F.lit(1).alias("stmt"), F.array("label").alias("captions")), lines)
+    out = sheet.join(found, F.col("label") == F.col("req"), "left").join(lines.select("row", "caption"), "row", "left")
+    return out.select("label", "caption", F.when(is_derived(F.col("label")), "derived").otherwise(F.coalesce("tier", F.lit("unmatched"))).alias("method"))
+
+
+@query("m13_apply_proposals", expected("method string, n long", [("exact", 1), ("unmatched", 1), ("derived", 1), ("containment", 1)]))
+def m13(spark, sf_dir):
+    return m12(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("m14_mapping_sync", expected("label string, origin string", [("Revenue", "kept"), ("Capex", "added"), ("Old", "kept")]))
+def m14(spark, sf_dir):
+    """Rows that the mapping lacks are appended; what it has stays as it is (K4)."""
+    mapping = Table("label string", [("Revenue",), ("Old",)]).df(spark)
+    sheet = Table("label string", [("revenue",), ("Capex",)]).df(spark)
+    new = sheet.join(mapping.select(normalize_label(F.col("label")).alias("k")), normalize_label(F.col("label")) == F.col("k"), "left_anti")
+    return mapping.withColumn("origin", F.lit("kept")).unionByName(new.withColumn("origin", F.lit("added")))
+
+
+@query("m15_legacy_conversion", expected("label string, pdf array<string>, sign string", [("a", ["A", "-B"], None), ("b", ["A"], "flip"), ("c", None, None)]))
+def m15(spark, sf_dir):
+    """Instructions of the older plan as mapping rows; signs that were only inferred are dropped."""
+    t = Table("label string, instruction string, sign string, inferred boolean", [("a", "sum:pdf:A|-pdf:B", "flip", True), ("b", "pdf:A", "flip", False), ("c", "absent:", None, False)]).df(spark)
+    body = F.regexp_replace("instruction", "^sum:", "")
+    terms = F.transform(F.split(body, r"\|"), lambda x: F.replace(x, F.lit("pdf:")))
+    return t.select("label", F.when(F.col("instruction") != "absent:", terms).alias("pdf"), F.when(~F.col("inferred"), F.col("sign")).alias("sign"))
+
+
+@query("j1_occurrences", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS occurrence FROM lineitem")
+def j1(spark, sf_dir):
+    """The how-manieth row of its label and section, in sheet order."""
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("occurrence"))
+
+
+@query("j2_section_inheritance", expected("row int, section string", [(1, "income_statement"), (2, "income_statement"), (3, "income_statement"), (4, "income_statement"), (5, "income_statement"), (6, "income_statement"), (7, "cash_flow"), (8, "cash_flow"), (9, "cash_flow")]))
+def j2(spark, sf_dir):
+    return D.sections(_SHEET.df(spark).where("col = 2")).select("row", "section")
+
+
+@query("j2_forward_fill_events", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS last_purchase FROM events")
+def j2_events(spark, sf_dir):
+    """The last marker above, carried forward: the same window on the event table."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    marker = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return load(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit(-1)).alias("last_purchase"))
+
+
+@query("j6_latest_formula", expected("row int, formula string", [(6, "=F4+F5")]))
+def j6(spark, sf_dir):
+    """The nearest formula to the left that refers to cells; typed arithmetic is none."""
+    from ..functions.text import references_cells
+
+    return _SHEET.df(spark).where(references_cells(F.col("formula"))).groupBy("row").agg(F.max_by("formula", "col").alias("formula"))
+
+
+@query("j9_dense_columns", f"""
+    WITH n AS (SELECT company, period_end, count(*) AS n FROM ({QUARTERLY}) GROUP BY ALL), d AS (SELECT *, max(n) OVER (PARTITION BY company) AS most FROM n)
+    SELECT company, max(period_end) AS reference FROM d WHERE n >= greatest(3, most / 2.0) GROUP BY company""")
+def j9(spark, sf_dir):
+    n = quarterly(spark, sf_dir).groupBy("company", "period_end").agg(F.count("*").alias("n"))
+    dense = n.withColumn("most", F.max("n").over(Window.partitionBy("company"))).where(F.col("n") >= F.greatest(F.lit(3.0), F.col("most") / 2))
+    return dense.groupBy("company").agg(F.max("period_end").alias("reference"))
+
+
+@query("k2_top_periods", f"SELECT company, period_end, value FROM (SELECT company, period_end, sum(value) AS value, row_number() OVER (PARTITION BY company ORDER BY period_end DESC) AS k FROM ({QUARTERLY}) GROUP BY company, period_end) WHERE k <= 4")
+def k2(spark, sf_dir):
+    t = quarterly(spark, sf_dir).groupBy("company", "period_end").agg(F.sum("value").alias("value"))
+    return t.withColumn("k", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("period_end")))).where("k <= 4").select("company", "period_end", "value")
+
+
+@query("k3_union_all", "SELECT c_nationkey AS nation, c_acctbal AS balance, 'customer' AS source FROM customer UNION ALL SELECT s_nationkey, s_acctbal, 'supplier' FROM supplier")
+def k3(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.lit("customer").alias("source"))
+    s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("source"))
+    return c.unionByName(s)
+
+
+@query("k4_except", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def k4(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).subtract(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("k5_except_all", "SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
+def k5(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k")).exceptAll(lines.where("l_returnflag = 'A'").select("l_suppkey"))
+
+
+@query("k6_symmetric_difference", "SELECT coalesce(c.k, s.k) AS nation, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k WHERE c.n IS DISTINCT FROM s.n")
+def k6(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full_outer").where(~F.col("customers").eqNullSafe(F.col("suppliers")))
+
+
+@query("k7_distinct_parts", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_orderkey")
+def k7(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("k8_word_overlap", "SELECT b.item_id, len(list_intersect(list_distinct(string_split(lower(b.text), ' ')), ['the', 'of', 'and', 'to'])) AS shared FROM benchmark b")
+def k8(spark, sf_dir):
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.size(F.array_intersect(words, F.array(*map(F.lit, ("the", "of", "and", "to"))))).cast("long").alias("shared"))

@@ -1 +1,104 @@
-"""Queries."""
+"""Queries on word boxes (group D)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import geometry as G
+from .registry import Table, expected, query
+
+#: A page: a band line over a label line, then three body lines and prose.
+_WORDS = Table("page int, text string, x0 double, x1 double, top double", [
+    (1, "YTD", 150.0, 260.0, 10.0), (1, "2Q26", 155.0, 180.0, 22.0), (1, "2Q25", 225.0, 250.0, 22.4),
+    (1, "Net", 10.0, 25.0, 40.0), (1, "sales", 27.0, 50.0, 40.5), (1, "1,250", 150.0, 180.0, 40.0), (1, "1,100", 220.0, 250.0, 40.0), (1, "14", 285.0, 295.0, 40.0), (1, "bp", 297.0, 305.0, 40.0),
+    (1, "-", 10.0, 12.0, 55.0), (1, "Costs", 14.0, 40.0, 55.0), (1, "(900)", 152.0, 182.0, 55.0), (1, "-", 240.0, 244.0, 55.0),
+    (1, "EBITDA", 10.0, 50.0, 70.0), (1, "350", 160.0, 180.0, 70.0), (1, "300", 230.0, 250.0, 70.0), (1, "(3)", 288.0, 303.0, 70.0),
+    (1, "see", 155.0, 175.0, 85.0), (1, "the", 178.0, 190.0, 85.0), (1, "notes", 200.0, 240.0, 85.0),
+])
+
+
+def _lined(spark):
+    return G.lines(_WORDS.df(spark))
+
+
+@query("d1_lines", expected("line int, n long", [(0, 1), (1, 2), (2, 6), (3, 4), (4, 4), (5, 3)]))
+def d1(spark, sf_dir):
+    return _lined(spark).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("d2_fragments", expected("line int, frag int, text string", [(2, 0, "Net sales"), (2, 1, "1,250"), (2, 2, "1,100"), (2, 3, "14 bp"), (5, 0, "see the"), (5, 1, "notes")]))
+def d2(spark, sf_dir):
+    return G.fragments(_lined(spark)).where("line in (2, 5)").select("line", "frag", "text")
+
+
+@query("d3_cells", expected("line int, caption string, text string", [(2, "Net sales", "1,250"), (2, "Net sales", "1,100"), (2, "Net sales", "14 bp"), (3, "- Costs", "(900)"), (3, "- Costs", "-"), (4, "EBITDA", "350"), (4, "EBITDA", "300"), (4, "EBITDA", "(3)")]))
+def d3(spark, sf_dir):
+    return G.cells(_lined(spark)).select("line", "caption", "text")
+
+
+@query("d4_columns", expected("col int, left double, right double, n long, collides boolean", [(0, 150.0, 182.0, 3, False), (1, 220.0, 250.0, 3, False), (2, 285.0, 305.0, 2, False)]))
+def d4(spark, sf_dir):
+    return G.columns(G.cells(_lined(spark))).groupBy("col", "left", "right", "collides").agg(F.count("*").alias("n"))
+
+
+@query("d4_interval_merge_lineitem", """
+    WITH s AS (SELECT l_suppkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS x0, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INTEGER) AS x1 FROM lineitem),
+    o AS (SELECT *, max(x1) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT l_suppkey, count(DISTINCT island) AS islands, max(x1) AS last FROM i GROUP BY l_suppkey""")
+def d4_lines(spark, sf_dir):
+    """The interval merge at scale: shipments as day ranges, merged for each supplier."""
+    from .registry import load
+
+    x0 = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    spans = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.lit(0).alias("line"), x0.alias("x0"), (x0 + F.col("l_quantity").cast("int")).alias("x1"))
+    merged = G.columns(spans)
+    return merged.groupBy(F.col("page").alias("l_suppkey")).agg((F.max("col") + 1).cast("long").alias("islands"), F.max("x1").cast("long").alias("last"))
+
+
+@query("d5_body", expected("page int, start int, stop int", [(1, 2, 5)]))
+def d5(spark, sf_dir):
+    return G.body(_lined(spark))
+
+
+@query("d6_headers", expected("text string, col int", [("YTD", 0), ("YTD", 1), ("2Q26", 0), ("2Q25", 1)]))
+def d6(spark, sf_dir):
+    frags = G.fragments(_lined(spark)).where("line < 2").select("page", "text", "x0", "x1", F.struct("line", "frag").alias("frag"))
+    ranges = G.columns(G.cells(_lined(spark))).select("page", "col", "left", "right").distinct()
+    return G.assign(frags, ranges, 30.0).join(frags.select("frag", "text"), "frag").select("text", "col")
+
+
+@query("d7_bands", expected("label string, band string", [("2Q26", "QoQ"), ("2Q25", "QoQ"), ("6M26", "YTD"), ("6M25", "YTD")]))
+def d7(spark, sf_dir):
+    """Band labels over a tier of labels: each column takes the nearest band's centre."""
+    bands = Table("page int, band string, x double", [(1, "QoQ", 120.0), (1, "YTD", 300.0)]).df(spark)
+    labels = Table("page int, label string, c double", [(1, "2Q26", 90.0), (1, "2Q25", 150.0), (1, "6M26", 270.0), (1, "6M25", 330.0)]).df(spark)
+    return labels.join(bands, "page").groupBy("label").agg(F.min_by("band", F.abs(F.col("x") - F.col("c"))).alias("band"))
+
+
+@query("d8_table_layout", expected("caption string, cells array<string>", [("Net sales", ["1,250", "1,100", "14 bp"]), ("- Costs", ["(900)", "-", None]), ("EBITDA", ["350", "300", "(3)"])]))
+def d8(spark, sf_dir):
+    """Lines by columns: a blank cell keeps its column."""
+    cells = G.columns(G.cells(_lined(spark)))
+    width = cells.groupBy("page").agg((F.max("col") + 1).alias("width"))
+    rows = cells.groupBy("page", "line", "caption").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).join(width, "page")
+    return rows.select("caption", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.try_element_at("m", c)).alias("cells"))
+
+
+@query("d9_slot_by_position", expected("id int, slots array<double>", [(1, [5.0, None, 7.0]), (2, None)]))
+def d9(spark, sf_dir):
+    """A short row takes the columns of the one layout row that prints the same figures; of two such rows none."""
+    layout = Table("line int, cells array<double>", [(1, [5.0, None, 7.0]), (2, [1.0, 2.0, 3.0]), (3, [8.0, None, 9.0]), (4, [None, 8.0, 9.0])]).df(spark)
+    short = Table("id int, values array<double>", [(1, [5.0, 7.0]), (2, [8.0, 9.0])]).df(spark)
+    hits = short.join(layout.withColumn("values", F.filter("cells", lambda v: v.isNotNull())), "values").groupBy("id").agg(F.count("*").alias("n"), F.first("cells").alias("cells"))
+    return short.select("id").join(hits, "id", "left").select("id", F.when(F.col("n") == 1, F.col("cells")).alias("slots"))
+
+
+@query("d10_alignment", "SELECT conv_id, CAST(count(CASE WHEN len(string_split(text, ' ')) >= 8 THEN 1 END) AS DOUBLE) / count(*) < 0.5 AS misaligned FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def d10(spark, sf_dir):
+    """The share of rows that have all columns; less than half is an error."""
+    from .registry import load
+
+    t = load(spark, sf_dir, "conversations").where("text is not null")
+    return t.groupBy("conv_id").agg((F.count_if(F.size(F.split("text", " ")) >= 8) / F.count("*") < 0.5).alias("misaligned"))
