@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import class_lm, gif_media, html_text, language_id, mixing, near_dedup, packing, quality, substring, url_filter
 from .core import load, tune
+from .oracles import oracle_sql  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -22,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(spark, load(spark, sf_dir, "pages"))
+    return url_filter.judge(spark, load(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

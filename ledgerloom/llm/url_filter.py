@@ -119,7 +119,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     # Each distinct URL is judged once.
     urls = core.keep(spark, pages.select("host", "path").distinct().withColumns({"rule": rule, "says": says, "symbols": _symbols()}), "urls")
     urls = urls.repartition(core.partitions(spark), "host", "path")
-    judged = urls.where("says is not null").withColumn("fold", F.pmod(F.crc32(F.concat("host", "path")), F.lit(5)))
+    judged = urls.where("says is not null").withColumn("fold", F.conv(F.substring(F.md5(F.concat("host", "path")), 1, 7), 16, 10).cast("long") % 5)
     model = _model(spark, judged.where("fold <> 0").select("symbols", F.col("says").alias("verdict")))
     scored = core.keep(spark, _scored(urls.select("host", "path", "symbols"), model), "url_scores")
     cut = _cut(judged.where("fold = 0").select("host", "path", F.col("says").alias("verdict")).join(scored, ["host", "path"]))
