@@ -95,6 +95,6 @@ def s1(spark, sf_dir):
     """Event-time sums over the event table, read as a stream, under a watermark."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    out = streams.windowed(streams.read_events(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
+    out = streams.windowed(streams.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
     name = f"windows_{uuid.uuid4().hex[:8]}"
     return streams.run_once(out, name, _shared(spark)).select(F.to_date("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
