@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: flat(f(spark, sf_dir))
         if sql:
             ORACLES[name] = sql
         return f
@@ -44,6 +45,29 @@ def _literal(value) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
+def _decimals(v):
+    return F.when(v.isNull(), F.lit("null")).otherwise(F.format_string("%.4f", v))
+
+
+def _text(v):
+    return F.coalesce(v.cast("string"), F.lit("null"))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Array columns as text ('[a|b|null]', four decimals), which any two engines compare alike."""
+    for name, kind in df.dtypes:
+        if kind.startswith("array<"):
+            items = F.transform(F.col(name), _decimals if kind == "array<double>" else _text)
+            df = df.withColumn(name, F.when(F.col(name).isNotNull(), F.concat(F.lit("["), F.array_join(items, "|"), F.lit("]"))))
+    return df
+
+
+def _flat_value(value, kind: str):
+    if value is None or not kind.startswith("array<"):
+        return value
+    return "[" + "|".join("null" if v is None else f"{v:.4f}" if kind == "array<double>" else str(v) for v in value) + "]"
+
+
 class Table:
     """A small inline table: a DataFrame for Spark, VALUES for the oracle. Dates are given as ISO strings."""
 
@@ -65,5 +89,7 @@ class Table:
 
 
 def expected(ddl: str, rows: Sequence[tuple]) -> str:
-    """Oracle SQL that states the results."""
-    return f"SELECT * FROM {Table(ddl, rows).sql}"
+    """Oracle SQL that states the results; arrays as flat() shows them."""
+    kinds = [c.strip().split(" ", 1)[1] for c in ddl.split(", ")]
+    shown = ", ".join(f"{c.strip().split(' ', 1)[0]} {'string' if k.startswith('array<') else k}" for c, k in zip(ddl.split(", "), kinds, strict=True))
+    return f"SELECT * FROM {Table(shown, [tuple(_flat_value(v, k) for v, k in zip(r, kinds, strict=True)) for r in rows]).sql}"
