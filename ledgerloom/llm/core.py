@@ -161,9 +161,23 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables() -> None:
+def mark() -> int:
+    """A place in the list of tables, for finish()."""
+    return len(_written)
+
+
+def finish(spark: SparkSession, df: DataFrame, name: str, since: int) -> DataFrame:
+    """Write a result and remove the tables that were written for it since ``since``: it reads none of them any more."""
+    out = keep(spark, df, name)
+    last = _written.pop()
+    drop_tables(since)
+    _written.append(last)
+    return out
+
+
+def drop_tables(since: int = 0) -> None:
     """Remove the tables that keep() wrote; call it when no result that reads them is needed any more."""
-    while _written:
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

@@ -37,6 +37,7 @@ BANDS = BINS // ROWS
 DENSE = 0.5
 #: Shingles and members in a block, on average.
 BLOCK, MEMBERS = 250_000, 512
+SALTS = 32
 _NULL_ID = -(2**63)
 _U = np.uint64
 _SEED = [int(x) for x in np.random.default_rng(97).integers(1, 2**63, 2 * BINS + 1, dtype=np.int64)]
@@ -280,7 +281,10 @@ def _inside(spark: SparkSession, dense: DataFrame, labels: DataFrame, texts: Dat
     parts = member.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
     main = parts.groupBy(F.col("group").alias("g")).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "words"))["words"].alias("main_words"), F.sum("words").alias("words"), F.count("*").alias("parts")).where("parts > 1")
     main = main.select("g", "main", F.ceil(F.col("words") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("words") - F.col("main_words")) / BLOCK).cast("int").alias("minor_blocks"))
-    open_ = core.keep(spark, member.join(main, F.col("group") == F.col("g")).select("node", "group", "component", "main", "blocks", "minor_blocks"), "open_members")
+    # A group may hold a large share of all documents: its one row of facts is dealt out beside its members.
+    main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = member.withColumn("s", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int"))
+    open_ = core.keep(spark, salted.join(main, (F.col("group") == F.col("g")) & (F.col("s") == F.col("salt"))).select("node", "group", "component", "main", "blocks", "minor_blocks"), "open_members")
     sets = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_node_sets(k), "node long, shingles binary")
     full = core.keep(spark, open_.join(sets, "node"), "open_sets")
     row = F.collect_list(F.struct("node", "component", "shingles"))
@@ -341,6 +345,7 @@ def _between(spark: SparkSession, members: DataFrame, dense: DataFrame, percent:
 def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     core.tune(spark)
+    since = core.mark()
     buckets = buckets or 4 * core.partitions(spark)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = core.keep(spark, slim.mapInArrow(_sketch(k), _SKETCHED), "sketches")
@@ -372,7 +377,8 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     final = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), F.coalesce("component", "node").alias("component"))
     out = sketched.join(final, F.col("set_key") == F.col("s"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return core.finish(spark, out, "groups", since)
 
 
 def rows(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
