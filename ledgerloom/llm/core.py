@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Bytes of text that one vectorised step looks at; one longer document is a step of its own.
 CHUNK_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -191,7 +193,8 @@ atexit.register(drop_tables)
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, so that very long texts don't add up in a Python worker."""
+    """The package on every executor, and Arrow batches of bounded bytes, so that very long texts don't add up in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 

@@ -197,6 +197,7 @@ def base_failed() -> Column:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     """The decision list of docs(doc_id, text) and labels(doc_id, quality)."""
+    core.tune(spark)
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("d")).agg(F.min("quality").alias("quality"))
     sample = good.orderBy(F.xxhash64("d"), "d").limit(limit)
     texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("d"), "left_semi")
