@@ -23,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ _NULL_ID = -(2**63)
 _U = np.uint64
 _SENT = "bucket long, home long, data binary"
 _BACK = "home long, data binary"
-#: Groups of documents for each bucket of hashes: every group sends each bucket one message at most.
-HOMES = 2
+#: Groups of documents for each shuffle partition; every group and bucket of hashes exchange one message at most.
+HOMES = 4
 #: Entries that a task holds before it sends them.
 _HELD = 4_000_000
 
@@ -55,7 +56,7 @@ def _home(ids: np.ndarray, n: int) -> np.ndarray:
     return h.view(np.int64) % n
 
 
-_ENTRY = (("h", np.uint64), ("g", np.uint16), ("doc", np.int64), ("pos", np.uint32))
+_ENTRY = (("h", np.uint64), ("g", np.uint32), ("doc", np.int64), ("pos", np.uint32))
 _PLACE = (("doc", np.int64), ("pos", np.uint32))
 
 
@@ -137,7 +138,7 @@ class _Text:
         if not len(at):
             return [np.empty(0, dtype=t) for _, t in _ENTRY]
         second = core.windows(core.mix(self.hash ^ _U(0x5DEECE66D1234567)), w)
-        return [core.windows(self.hash, w)[at], (second[at] & _U(0xFFFF)).astype(np.uint16), self.ids[self.doc[at]], self.pos[at].astype(np.uint32)]
+        return [core.windows(self.hash, w)[at], (second[at] >> _U(32)).astype(np.uint32), self.ids[self.doc[at]], self.pos[at].astype(np.uint32)]
 
 
 def _groups(h, g, doc, pos):
@@ -204,6 +205,16 @@ def _places(table: pa.Table) -> list[np.ndarray]:
     return _unpack(_PLACE, table.column("data").to_pylist())
 
 
+def _slices(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows of about CHUNK_BYTES of text, with the number of rows before them: what one vectorised step holds."""
+    ends = np.cumsum(pa.compute.binary_length(table.column("text").cast(pa.binary())).fill_null(0).to_numpy())
+    at = 0
+    while at < table.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + core.CHUNK_BYTES, side="right")))
+        yield at, table.slice(at, to - at)
+        at = to
+
+
 def _table_text(table: pa.Table, length: int) -> _Text:
     buf, bounds = core.utf8(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.large_string()))
     return _Text(buf, bounds, _ids(table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())), length)
@@ -213,13 +224,16 @@ def _next_level(length: int, before: int, w: int, buckets: int, homes: int):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if docs.num_rows and places.num_rows:
-            text = _table_text(docs, length)
-            alive = text.whole.copy()
-            marked = text.marks(*_places(places))
-            alive[alive] = marked[text.level(before, alive)]
-            at = np.zeros(len(text.words), dtype=bool)
-            at[text.level(w, alive)] = True
-            rows = [*_send(text.entries(w, np.flatnonzero(at)), w == length, buckets, homes)]
+            where, found = _places(places), []
+            for _, part in _slices(docs):
+                text = _table_text(part, length)
+                alive = text.whole.copy()
+                marked = text.marks(*where)
+                alive[alive] = marked[text.level(before, alive)]
+                at = np.zeros(len(text.words), dtype=bool)
+                at[text.level(w, alive)] = True
+                found.append(text.entries(w, np.flatnonzero(at)))
+            rows = [*_send([np.concatenate(x) for x in zip(*found, strict=True)], w == length, buckets, homes)]
         return pa.Table.from_batches([_batch(rows, ["bucket", "home", "data"])])
 
     return run
@@ -243,16 +257,18 @@ def _resolve(last: bool, homes: int):
 
 def _removal(table: pa.Table, places: pa.Table, length: int) -> Iterator[tuple[int, list[bytes], np.ndarray | None]]:
     """For each row its words and, if any goes, the flags of those that stay."""
-    text = _table_text(table, length)
-    starts = text.marks(*_places(places)) if places.num_rows else np.zeros(len(text.words), dtype=bool)
-    cover = np.zeros(len(starts) + length + 1, dtype=np.int32)
-    np.add.at(cover, np.flatnonzero(starts), 1)
-    np.add.at(cover, np.flatnonzero(starts) + length, -1)
-    gone = np.cumsum(cover)[: len(starts)] > 0
-    bounds, offset, buf = text.words.bounds, text.words.offset, text.words.buf
-    for i in range(table.num_rows):
-        part = gone[offset[i] : offset[i + 1]]
-        yield i, buf[bounds[i] : bounds[i + 1]].tobytes().split(), ~part if part.any() else None
+    where = _places(places)
+    for first, part in _slices(table):
+        text = _table_text(part, length)
+        starts = np.flatnonzero(text.marks(*where))
+        cover = np.zeros(len(text.words) + length + 1, dtype=np.int32)
+        cover[starts] += 1
+        cover[starts + length] -= 1
+        gone = np.cumsum(cover)[: len(text.words)] > 0
+        bounds, offset, buf = text.words.bounds, text.words.offset, text.words.buf
+        for i in range(part.num_rows):
+            own = gone[offset[i] : offset[i + 1]]
+            yield first + i, buf[bounds[i] : bounds[i + 1]].tobytes().split(), ~own if own.any() else None
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -314,8 +330,8 @@ def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, bucke
 def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words that stay, for each row of docs(doc_id, text)."""
     core.tune(spark)
-    buckets = buckets or core.partitions(spark)
-    homed, places = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets, HOMES * buckets)
+    buckets = buckets or max(1, core.partitions(spark) // 2)
+    homed, places = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets, 2 * HOMES * buckets)
     slim = homed.select("home", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_digest(length), DIGEST)
 
@@ -325,6 +341,6 @@ def rows(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int |
     from pyspark.sql.pandas.types import to_arrow_schema
 
     core.tune(spark)
-    buckets = buckets or core.partitions(spark)
-    homed, places = _answers(spark, docs, length, base or length // 2, buckets, HOMES * buckets)
+    buckets = buckets or max(1, core.partitions(spark) // 2)
+    homed, places = _answers(spark, docs, length, base or length // 2, buckets, 2 * HOMES * buckets)
     return homed.groupBy(_free("home", docs.columns)).cogroup(places.groupBy("home")).applyInArrow(_rewrite(length, to_arrow_schema(docs.schema)), docs.schema)
