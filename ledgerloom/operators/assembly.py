@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_data_row
 
+# How titles, headings and contents lines are printed: fixed patterns.
 TITLE = r"(?i)\b(?:statement|statements|schedule)\s+of\b|\bperformance\s+at\s+a\s+glance\b|\b(?:income\s+statements?|balance\s+sheets?)\b|\[\d{6}\]"
 HEADING = r"(?i)\b(?:for\s+the|as\s+at|as\s+of|period|periods|year|quarter)\b"
 CONTENTS = r"\.{4,}|…"

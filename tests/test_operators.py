@@ -1,7 +1,6 @@
 """Operators against plain Python, at edges and on random input."""
 
 import random
-import re
 import unicodedata
 
 import pytest
@@ -18,8 +17,9 @@ def column(spark, values, expression, kind="string"):
 
 
 def plain_label(s):
-    s = unicodedata.normalize("NFKD", s or "").replace("&", " and ")
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", s)).strip().lower()
+    """Letters and digits of the decomposed text; every other character, marks too, parts words."""
+    kept = [" and " if c == "&" else c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in unicodedata.normalize("NFKD", s or "")]
+    return " ".join("".join(kept).split()).lower()
 
 
 def test_normalize_label(spark):
@@ -28,26 +28,19 @@ def test_normalize_label(spark):
     assert column(spark, values, text.normalize_label) == [plain_label(v) for v in values]
 
 
-def plain_number(t):
-    t = (t or "").strip()
-    if not t:
-        return None
-    negative = t.startswith("(") and t.endswith(")")
-    t = t.strip("()").strip()
-    if t.endswith("-"):
-        negative, t = True, t[:-1].strip()
-    t = t.replace(",", "").replace("−", "-")
-    if t.startswith("-"):
-        negative, t = True, t[1:]
-    if not re.fullmatch(r"\d+(?:\.\d+)?", t):
-        return None
-    return -float(t) if negative else float(t)
-
-
-def test_parse_number(spark):
-    rng = random.Random(2)
-    values = [None, "", "()", "(-5)", "--5", "1,2,3", "1.", ".5"] + ["".join(rng.choices("0123456789,.-() −", k=rng.randint(1, 7))) for _ in range(400)]
-    assert column(spark, values, text.parse_number) == [plain_number(v) for v in values]
+@pytest.mark.parametrize("figure", [0.0, 7.0, 12.5, 1234.0, 1234567.25])
+def test_parse_number_reads_what_is_printed(spark, figure):
+    """A magnitude printed in every form, with and without its sign."""
+    plain, grouped = f"{figure:.2f}", f"{figure:,.2f}"
+    positive = [plain, grouped, f" {grouped} ", f"({plain}"]
+    negative = [f"-{plain}", f"({grouped})", f"( {plain} )", f"{grouped}-", f"{plain} -", f"−{grouped}", f"(-{plain})"]
+    assert column(spark, positive, text.parse_number) == [figure] * len(positive)
+    assert column(spark, negative, text.parse_number) == [-figure] * len(negative)
+
+
+def test_parse_number_refuses_the_rest(spark):
+    values = [None, "", " ", "()", "-", "--5", "1.", ".5", "1.2.3", "5 6", "abc", "5%", "1e5", "(5)-"]
+    assert column(spark, values, text.parse_number) == [None] * len(values)
 
 
 def test_literal_formulas():
