@@ -64,7 +64,7 @@ def l6(spark, sf_dir):
     return t.select("caption", sinks.lineage(F.col("caption"), F.col("page"), F.col("header"), F.col("adjustments")).alias("note"))
 
 
-@query("l7_nested_json", "SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_custkey")
+@query("l7_nested_json", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY o_custkey")
 def l7(spark, sf_dir):
     """A company's nested document written as JSON lines and read back by its schema."""
     path = _shared(spark)
