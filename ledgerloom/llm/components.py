@@ -12,30 +12,44 @@ from pyspark.sql import functions as F
 from . import core
 
 
-def _low(directed: DataFrame) -> DataFrame:
-    """u, m: the smallest of a node and its neighbours."""
-    return directed.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+#: In large graphs, nodes with more than one in so many of all link ends are joined by broadcast: there are at most so many of them.
+HOT, LARGE = 500, 1_000_000
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _lowest(directed: DataFrame, ends: int) -> DataFrame:
+    """directed(u, v) with m: the smallest of u and its neighbours.
+
+    A node may have a third of all links. Where that is more than a task can carry, the few such nodes are joined by
+    broadcast and the others by their key; a graph of fewer ends is joined by key alone, with the same result.
+    """
+    low = directed.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    if ends < LARGE:
+        return directed.join(low, F.col("u") == F.col("x")).select("u", "v", "m")
+    hot = F.col("n") * HOT >= ends
+    first = directed.join(F.broadcast(low.where(hot).select(F.col("x").alias("h"), F.col("m").alias("hm"))), F.col("u") == F.col("h"), "left")
+    rest = first.where("hm is null").join(low.where(~hot), F.col("u") == F.col("x")).select("u", "v", "m")
+    return first.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
+
+
+def _large(links: DataFrame, ends: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_low(both), F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _lowest(both, 2 * ends).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, ends: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _low(down)
-    return down.join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
+    hung = _lowest(down, ends)
+    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, component for each node of links(u, v): the smallest node that it reaches."""
     now = core.keep(spark, links.where("u <> v").select("u", "v").distinct(), "links")
-    state = None
+    state, ends = None, now.count()
     while True:
-        now = core.keep(spark, _small(_large(now)).where("u <> v").distinct(), "links")
+        now = core.keep(spark, _small(_large(now, ends), ends).where("u <> v").distinct(), "links")
         found = tuple(now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             break
-        state = found
+        state, ends = found, found[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

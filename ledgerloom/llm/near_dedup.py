@@ -38,6 +38,8 @@ DENSE = 0.5
 #: Shingles and members in a block, on average.
 BLOCK, MEMBERS = 250_000, 512
 SALTS = 32
+#: Classes whose band keys a task holds at once (0.8 KB each).
+HELD = 60_000
 _NULL_ID = -(2**63)
 _U = np.uint64
 _SEED = [int(x) for x in np.random.default_rng(97).integers(1, 2**63, 2 * BINS + 1, dtype=np.int64)]
@@ -147,19 +149,9 @@ def _led(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _local_leaders(buckets: int):
-    """A task links members to its own leaders, and sends one leader of each bucket on."""
+    """A task links members to its own leaders, and sends one leader of each bucket on; it does so every HELD rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.uint64)
-                nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
-                sizes = np.repeat(batch.column("n_shingles").to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
-                parts.append((keys, nodes, sizes))
-        if not parts:
-            return
+    def lead(parts: list[tuple]) -> pa.RecordBatch:
         key, node, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, first, head = _lead(key, node, size)
         key, node, size = key[order], node[order], size[order]
@@ -171,7 +163,22 @@ def _local_leaders(buckets: int):
         for a, b in zip(cut, [*cut[1:], len(by)], strict=True):
             at = by[a:b]
             rows.append((int(bucket[at[0]]), None, None, None, key[at].tobytes() + node[at].tobytes() + size[at].tobytes()))
-        yield _led(rows)
+        return _led(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.uint64)
+                nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
+                sizes = np.repeat(batch.column("n_shingles").to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
+                parts.append((keys, nodes, sizes))
+                held += batch.num_rows
+            if held >= HELD:
+                yield lead(parts)
+                parts, held = [], 0
+        if parts:
+            yield lead(parts)
 
     return run
 

@@ -93,9 +93,11 @@ def test_sketch_is_filled_and_estimates():
         assert (s[0] == s[1]).mean() == pytest.approx(same / (2 * n - same), abs=0.16)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("large", [1_000_000, 0])  # 0: the way of large graphs
+def test_components(spark, monkeypatch, large):
+    monkeypatch.setattr(components, "LARGE", large)
     rng = random.Random(1)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)]
     up = {}
 
     def root(x):
