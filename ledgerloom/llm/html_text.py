@@ -39,6 +39,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+#: Start tags that may stand in an open head; any other, and any text, closes it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: A start tag of the key closes an open element of the value, unless one of the fences lies between.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}}
 _FENCES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "body", "html"}
@@ -69,7 +72,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple] = []
     parts: list[str] = []
     links = at = silent = anchors = 0
-    raw_until: str | None = None
 
     def flush() -> None:
         nonlocal links
@@ -97,16 +99,19 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in fences:
                 return
 
-    for m in _TAG.finditer(page):
-        if m.start() > at and not silent and raw_until is None:
+    def leave_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop()
+
+    while m := _TAG.search(page, at):
+        if m.start() > at:
             piece = page[at : m.start()]
-            parts.append(piece)
-            links += len(piece) if anchors else 0
+            if silent and not piece.isspace():
+                leave_head()
+            if not silent:
+                parts.append(piece)
+                links += len(piece) if anchors else 0
         name = m[1] or m[4]
-        if raw_until is not None:
-            if not (name and name.lower() == raw_until and page.startswith("</", m.start())):
-                continue
-            raw_until = None
         at = m.end()
         if not name:
             continue
@@ -116,6 +121,8 @@ def blocks(page: str) -> list[Block]:
                 flush()
             close(tag, _FENCES - {tag} if tag in ("p", "li", "td", "th", "tr", "dt", "dd") else frozenset())
             continue
+        if tag not in _IN_HEAD:
+            leave_head()
         if tag == "br":
             parts.append(" ")
             continue
@@ -133,16 +140,16 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, _names(attributes) if attributes else ()))
         silent += tag in SILENT
         anchors += tag == "a"
-        if tag in RAW:
-            raw_until = tag
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            if end is None:  # never closed: the rest is its content
-                at = len(page)
-                break
-    if at < len(page) and not silent and raw_until is None:
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
-        parts.append(rest[: cut.start()] if cut else rest)
+        if tag in RAW:  # its content is no markup: on from its end tag
+            end = _RAW_END[tag].search(page, at)
+            at = end.start() if end else len(page)  # never closed: the rest is its content
+    rest = page[at:]
+    cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
+    rest = rest[: cut.start()] if cut else rest
+    if rest and silent and not rest.isspace():
+        leave_head()
+    if rest and not silent:
+        parts.append(rest)
     flush()
     return out
 

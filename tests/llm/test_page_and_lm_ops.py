@@ -117,6 +117,22 @@ def test_parser():
     assert [b.text for b in html_text.blocks("<p>x<scr")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script>for(var i=0;i<n;i++){x(i)}</script><article>kept</article>",
+        "<style>a<!--b</style><p>kept<script>var a=1<!--2;</SCRIPT\n></p>",
+        "<script>'</scripty>' <b \"</script><p>kept",
+        "<html><head><title>a<b</title><meta charset=x><p>kept",
+        "<head><link rel=x><script>1<a</script>\n kept",
+        "<head><style>i{}</style><img src=x>kept<br></html>",
+        "<head><template><p>gone</p></template></head>kept",
+    ],
+)
+def test_parser_keeps_what_follows_raw_elements_and_open_heads(page):
+    assert [b.text for b in html_text.blocks(page)] == ["kept"]
+
+
 def brute_viterbi(field, page):
     import itertools
 
