@@ -204,6 +204,21 @@ def test_encoder_equals_the_tokenizers_library(rows):
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [packing.encoder(path)(x) for x in texts]
 
 
+def test_pack_takes_added_tokens_as_the_tokenizers_library_does(spark, rows):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [r[1] or "" for r in rows] + ["a<|endoftext|>b", "<|endoftext|>", " x  <|endoftext|>\n<|endoftext|><|endoftext|> y", "<|endoftext|", "<|<|endoftext|>|>", "it's <|EndOfText|>"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[len(rows)] == [64, 50256, 65]
+    assert want == [packing.encoder(path, added=True)(x) for x in texts]
+    got = packing.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, width=1 << 14).collect()
+    ends = [np.array([*ids, 2], dtype="<u4") for ids in want]
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in enumerate(ends)}
+
+
 @pytest.mark.parametrize("width", [7, 64])
 def test_plan_is_best_fit_decreasing(width):
     rng = random.Random(width)
