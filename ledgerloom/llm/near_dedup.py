@@ -14,8 +14,9 @@ by sketch (only pairs more than six deviations below the threshold are dropped)
 So components are those of all pairs that share a band.
 
 Defined cases: null texts and texts without words have an empty set, link with nothing and are kept; shorter texts are
-one shingle; rows with one doc_id are one node; a null doc_id is a node below all others and is given back as null; an empty table
-gives an empty result; extra columns are ignored by ``groups`` and kept by ``rows``.
+one shingle; rows equal in doc_id and text are one document, different texts under one doc_id (or under none) are documents of
+their own, and of near copies under one doc_id the text with the smallest digest stays; a null doc_id is below all others and is given
+back as null; an empty table gives an empty result; extra columns are ignored by ``groups`` and kept by ``rows``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import core
@@ -99,7 +100,7 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCHED = "doc_id long, n_shingles long, set_key binary, bands binary, sig binary"
+_SKETCHED = "doc_id long, text_key binary, n_shingles long, set_key binary, bands binary, sig binary"
 
 
 def _sketch(k: int):
@@ -111,8 +112,8 @@ def _sketch(k: int):
             full = [None if not n else i for i, n in enumerate(size.tolist())]
             set_keys = [None if i is None else xxhash.xxh3_128_digest(sets[at[i] : at[i + 1]].tobytes()) for i in full]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(set_keys, pa.binary()), pa.array([None if i is None else key[i].tobytes() for i in full], pa.binary()), pa.array([None if i is None else sig[i].tobytes() for i in full], pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [rows.column("doc_id"), rows.column("text_key"), pa.array(size, pa.int64()), pa.array(set_keys, pa.binary()), pa.array([None if i is None else key[i].tobytes() for i in full], pa.binary()), pa.array([None if i is None else sig[i].tobytes() for i in full], pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "bands", "sig"],
             )
 
     return run
@@ -349,24 +350,32 @@ def _between(spark: SparkSession, members: DataFrame, dense: DataFrame, percent:
 # --- the operator -----------------------------------------------------------------------------------------
 
 
-def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def _document(docs: DataFrame) -> list[Column]:
+    """What tells documents apart: doc_id and a digest of the text (of no bytes where it is null)."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.unhex(F.md5(docs["text"].cast("string"))), F.lit(b"")).alias("text_key")]
+
+
+def _groups(spark: SparkSession, docs: DataFrame, k: int, percent: int, buckets: int | None) -> DataFrame:
+    """doc_id (null as _NULL_ID), text_key, n_shingles, component_id (likewise), kept for each row of docs(doc_id, text)."""
     core.tune(spark)
-    since = core.mark()
     buckets = buckets or 4 * core.partitions(spark)
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(*_document(docs), F.col("text").cast("string").alias("text"))
     sketched = core.keep(spark, slim.mapInArrow(_sketch(k), _SKETCHED), "sketches")
-    classes = core.keep(spark, sketched.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    one = sketched.where("n_shingles > 0").join(classes.withColumnRenamed("set_key", "s"), (F.col("set_key") == F.col("s")) & (F.col("doc_id") == F.col("node")))
-    one = core.keep(spark, one.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "bands"]), "representatives")
+    # A class has a number of its own as node, whatever its doc_ids are; its first document stands for it.
+    first = F.min(F.struct("doc_id", "text_key"))
+    classes = sketched.where("n_shingles > 0").groupBy("set_key").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
+    classes = core.keep(spark, classes, "classes")
+    speaker = classes.select("node", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t"))
+    is_speaker = (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("t"))
+    one = sketched.where("n_shingles > 0").join(speaker, is_speaker)
+    one = core.keep(spark, one.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node"]), "representatives")
     led = core.keep(spark, one.select("node", "n_shingles", "bands").mapInArrow(_local_leaders(buckets), _LED), "local_leaders")
     over = led.where("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_leaders, _LED)
     pairs = led.where("bucket < 0").select("a", "b", "ok").unionByName(over.select("a", "b", "ok"))
     pairs = core.keep(spark, pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("ok").alias("ok")), "pairs")
     nodes = core.keep(spark, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidates")
-    texts = core.keep(spark, slim.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidate_texts")
+    texts = core.keep(spark, slim.join(speaker.join(nodes, "node", "left_semi"), is_speaker).select("node", "text").dropDuplicates(["node"]), "candidate_texts")
     tested = core.keep(spark, _confirmed(pairs.where("ok = 1"), texts, k, percent), "confirmed")
-    # Several sets under one doc_id are one node.
     members = one.join(nodes, "node", "left_semi").select("node", "n_shingles", "sig", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8))).alias("keys"))
     members = core.keep(spark, members, "members")
     def closed(links: DataFrame) -> DataFrame:
@@ -376,20 +385,32 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     sig = members.select("node", "sig")
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a long, b long, near double")
     dense = closed(near.where(F.col("near") >= DENSE))
-    inside = core.keep(spark, _inside(spark, dense, labels, texts, members.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), k, percent), "inside")
+    inside = core.keep(spark, _inside(spark, dense, labels, texts, members.select("node", "n_shingles"), k, percent), "inside")
     between = core.keep(spark, _between(spark, members, dense, percent).join(tested, ["a", "b"], "left_anti"), "between")
     more = core.keep(spark, _confirmed(between, texts, k, percent).where("linked").select("a", "b").unionByName(inside), "more_links")
     if not more.isEmpty():
         labels = closed(tested.where("linked").select("a", "b").unionByName(more))
-    final = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), F.coalesce("component", "node").alias("component"))
-    out = sketched.join(final, F.col("set_key") == F.col("s"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    final = core.keep(spark, classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), "first", "component"), "labelled")
+    firsts = core.keep(spark, final.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first").alias("least")), "firsts")
+    final = final.join(firsts, F.col("component") == F.col("c"), "left").select("s", F.coalesce("least", "first").alias("first"))
+    out = sketched.join(final, F.col("set_key") == F.col("s"), "left").withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
+    kept = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.coalesce("first.text_key", "text_key"))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    since = core.mark()
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    out = out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = _groups(spark, docs, k, percent, buckets).select(real("doc_id"), "n_shingles", real("component_id"), "kept")
     return core.finish(spark, out, "groups", since)
 
 
 def rows(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each group stays, with their own columns; equal rows of one doc_id stay once."""
-    stay = groups(spark, docs, k, percent).where("kept").select("doc_id").distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"))
-    return packed.join(stay, F.col("d").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["d"]).select("row.*")
+    """The documents of which one of each group stays, with their own columns; rows equal in doc_id and text stay once."""
+    since = core.mark()
+    stay = _groups(spark, docs, k, percent, None).where("kept").select("doc_id", "text_key").distinct()
+    stay = core.finish(spark, stay, "stay", since)
+    doc_id, text_key = _document(docs)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("d"), text_key.alias("t"))
+    return packed.join(stay, (F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("text_key")), "left_semi").dropDuplicates(["d", "t"]).select("row.*")

@@ -83,6 +83,22 @@ def test_near_dedup_rows_and_empty(spark, docs, rows):
     assert found == [("4", "None", False), ("4", "None", False), ("5", "5", True), ("None", "None", True)]
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(8)
+    fresh = lambda n=60: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    near = lambda w: [*w[:-1], "changed"]
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, near(b)), (7, c), (7, d), (7, [*d]), (8, near(c)), (9, near(d)), (9, e), (3, near(e)), (3, f), (5, [w.upper() for w in a])]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(None, None), (None, ""), (None, ""), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.rows(spark, df, k=4).collect()]
+    links = [{rows[i] for i in group} for group in ([0, 12], [1, 3], [4, 7], [5, 8], [9, 10], [11], [13], [14], [16])]
+    assert len(got) == len(links) and all(sum(x in group for x in got) == 1 for group in links)
+    assert rows[0] in got and rows[4] in got and rows[5] in got and rows[10] in got
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.groups(spark, df, k=4).collect()}
+    assert found == {(None, None, True), (None, None, False), (7, 7, True), (8, 7, False), (9, 7, False), (9, 3, False), (3, 3, True), (5, None, False)}
+
+
 def test_sketch_is_filled_and_estimates():
     rng = np.random.default_rng(5)
     for n, same in ((3, 3), (40, 30), (2000, 1500)):
