@@ -5,13 +5,16 @@ end, which is also the context of the first word.
 
 Learning. All training words are counted (by 64-bit hash, summed in each task before they are sent). Units are the ``UNITS``
 most frequent words, one unit for each of ``FORMS`` word endings (all other words, by their last three bytes), and the end. Exchange
-clustering moves units between ``CLASSES`` classes while the class bigram likelihood of the corpus grows; a word's
-class is its unit's. Emissions discount every count by D (Kneser and Ney's estimate from the words seen once and twice); what a class's words
+clustering moves units between classes, ``CLASSES`` and more in larger corpora, while the class bigram likelihood of the corpus grows.
+Then every other word that occurs ``LEAST`` times gets a class by its own neighbours: their classes are counted for each word,
+and it goes where the corpus is most likely with the other words' classes as they are. Only rarer words keep their ending's
+class. Class bigrams are counted again after that. Emissions discount every count by D (Kneser and Ney's estimate from the words seen once and twice); what a class's words
 lose goes to its unseen words, one unknown type for each ending. Transitions are smoothed towards class frequencies. So the probabilities of
 the next token, all known words and unknown types together, add up to one.
 
 Scoring. Counts of the ``HEAD`` most frequent words are held in every task (16 bytes each); for the other words of a
-text the task sends (hash, row, times) to the bucket that holds the word's count, which sends sums by row back.
+text the task sends (hash, row, times) to the bucket that holds the word's count, which sends sums by row back. Classes of words
+outside the head that occur ``LEAST`` times are held in every task too (10 bytes each).
 
 Defined cases: null and empty texts are the end alone; nothing learned: both scores are 0; rows with one doc_id are scored
 one by one; a null doc_id counts as a training row; extra columns are ignored.
@@ -31,6 +34,8 @@ from . import core
 from .language_id import held_out
 
 UNITS, FORMS, CLASSES, SWEEPS = 1000, 256, 64, 12
+#: Words that occur so often have classes of their own; classes grow with the fourth root of the tokens, from CLASSES at so many.
+LEAST, BASE_TOKENS = 5, 10_000_000
 HEAD = 1 << 17
 SMOOTH = 4.0
 #: Rows whose answers are added up together, for each bucket of words.
@@ -211,6 +216,8 @@ class Model:
     v: int
     ends: int
     n_units: int
+    rare: np.ndarray  # hashes of words outside the head that have a class of their own, sorted
+    rare_unit: np.ndarray  # a unit of that class
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head and whether it is there."""
@@ -222,6 +229,10 @@ class Model:
     def units(self, h: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, there = self.look_up(h)
         unit = np.where(there, self.head_unit[at], -1) if len(self.head) else np.full(len(h), -1)
+        out = np.flatnonzero(~there)
+        if len(self.rare) and len(out):
+            place = np.minimum(np.searchsorted(self.rare, h[out]), len(self.rare) - 1)
+            unit[out] = np.where(self.rare[place] == h[out], self.rare_unit[place], -1)
         return np.where(unit < 0, self.n_units + forms, unit), at, there
 
     def base(self, count: np.ndarray) -> np.ndarray:
@@ -238,8 +249,8 @@ def _sequence(words: core.Words, units: np.ndarray, end: int) -> tuple[np.ndarra
     return before, after
 
 
-def _bigrams(model: Model, blocks: int):
-    size = model.n_units + FORMS + 1
+def _bigrams(model: Model, blocks: int, of: np.ndarray, size: int):
+    """Counts of pairs, of what ``of`` gives for each unit."""
     per = -(-size // blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +259,7 @@ def _bigrams(model: Model, blocks: int):
             words = core.Words(buf, bounds)
             units, _, _ = model.units(words.hashes(), _forms(words).astype(np.int64))
             before, after = _sequence(words, units, model.n_units + FORMS)
-            total += np.bincount(before * size + after, minlength=size * size)
+            total += np.bincount(of[before] * size + of[after], minlength=size * size)
         rows = []
         for b in range(blocks):
             part = total[b * per * size : (b + 1) * per * size]
@@ -268,6 +279,102 @@ def _add_bigrams(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(["block", "data"], [(table.column("block")[0].as_py(), _pack(at[first], np.add.reduceat(n, first)))])])
 
 
+def _count_pairs(texts: DataFrame, model: Model, of: np.ndarray, size: int, blocks: int = 16) -> np.ndarray:
+    per = -(-size // blocks)
+    pairs = np.zeros(size * size, dtype=np.int64)
+    added = texts.mapInArrow(_bigrams(model, blocks, of, size), "block long, data binary").groupBy("block").applyInArrow(_add_bigrams, "block long, data binary")
+    for r in added.toLocalIterator():  # at most size**2 counts in all
+        at, n = _unpack((np.uint32, np.int64), [r["data"]])
+        pairs[at + r["block"] * per * size] = n
+    return pairs.reshape(size, size)
+
+
+_NEAR = (np.uint64, np.uint16, np.uint32)  # hash, class before or classes + class after, times
+_OWN = (np.uint64, np.int64, np.uint16, np.uint16)  # hash, count, ending, unit
+
+
+def _neighbours(model: Model, buckets: int):
+    """Classes before and after each word that is no unit, and may occur LEAST times."""
+    end, classes = model.n_units + FORMS, len(model.transition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send():
+            h, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((k, h))
+            h, k = h[order], k[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
+            h, k, n = h[first], k[first], np.diff(np.r_[first, len(h)]).astype(np.uint32)
+            return _rows(["bucket", "data"], [(b, _pack(h[at], k[at], n[at])) for b, at in _split((h % _U(buckets)).astype(np.int64))])
+
+        for _, buf, bounds in core.chunks(batches):
+            words = core.Words(buf, bounds)
+            h = words.hashes()
+            unit, at, there = model.units(h, _forms(words).astype(np.int64))
+            before, after = _sequence(words, unit, end)
+            asked = unit >= model.n_units
+            if len(model.head):
+                asked &= ~there | (model.head_count[at] >= LEAST)
+            asked = np.flatnonzero(asked)
+            place = asked + words.doc_of_word()[asked]  # each document before adds an end
+            held.append((np.tile(h[asked], 2), np.r_[model.classes[before[place]], classes + model.classes[after[place + 1]]].astype(np.uint16)))
+            size += 2 * len(asked)
+            if size > _HELD:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
+
+    return run
+
+
+def _best_classes(classes: int, transition: np.ndarray, tokens: np.ndarray, unit_of: np.ndarray):
+    """The class under which the tokens of a word and those after it are most likely, for each word of a bucket that occurs LEAST times."""
+    worth = np.where(unit_of >= 0, -np.log10(np.maximum(tokens, 1)), -np.inf)
+
+    def run(near: pa.Table, words: pa.Table) -> pa.Table:
+        h, k, n = _unpack(_NEAR, near.column("data").to_pylist())
+        known, count, form = _unpack(_COUNT, words.column("data").to_pylist())  # sorted by hash
+        rows = []
+        if len(h) and len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            ok = (known[at] == h) & (count[at] >= LEAST)
+            order = np.flatnonzero(ok)[np.argsort(at[ok], kind="stable")]
+            at, k, n = at[order], k[order].astype(np.int64), n[order]
+            ids, first = np.unique(at, return_index=True)
+            first = np.r_[first, len(at)]
+            unit = np.empty(len(ids), dtype=np.uint16)
+            for a in range(0, len(ids), 4096):
+                b = min(a + 4096, len(ids))
+                part = slice(first[a], first[b])
+                row = np.searchsorted(ids[a:b], at[part])
+                seen = np.bincount(row * 2 * classes + k[part], weights=n[part], minlength=(b - a) * 2 * classes).reshape(b - a, 2 * classes)
+                score = seen[:, :classes] @ transition + seen[:, classes:] @ transition.T + count[ids[a:b], None] * worth
+                unit[a:b] = unit_of[np.argmax(score, axis=1)]
+            rows = [(_pack(known[ids], count[ids], form[ids], unit),)]
+        return pa.Table.from_batches([_rows(["data"], rows)])
+
+    return run
+
+
+def _estimate(model: Model, by_unit: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Transitions and emissions from statistics of units and class bigrams; gives the tokens of each class."""
+    classes, size = model.classes, len(table)
+    n_c, v_c, one, two = (np.bincount(classes, weights=x, minlength=size) for x in by_unit)
+    unseen = np.bincount(classes[model.n_units : model.n_units + FORMS], minlength=size)  # unknown types
+    once, twice = one.sum(), two.sum()
+    model.discount = d = float(once / (once + 2 * twice)) if once and twice else 0.5
+    # A class without unknown types has nothing to give its discounts to; it keeps them by a smaller total.
+    tokens = np.where(unseen > 0, n_c, n_c - d * v_c)
+    model.known = -np.log10(np.maximum(tokens, 1e-9))
+    mass = np.where(n_c > 0, d * v_c / np.maximum(n_c, 1), 1.0)
+    model.unknown = np.log10(np.maximum(mass / np.maximum(unseen, 1), 1e-300))
+    prior = (n_c + 0.5) / (n_c + 0.5).sum()
+    model.transition = np.log10((table + SMOOTH * prior) / (table.sum(axis=1, keepdims=True) + SMOOTH))
+    return n_c
+
+
 def fit(spark: SparkSession, train: DataFrame, buckets: int, head_size: int = HEAD, n_units: int = UNITS) -> tuple[Model, DataFrame]:
     """The model, and the table of all words' counts: bucket, data."""
     texts = train.select(F.col("text").cast("string").alias("text"))
@@ -301,16 +408,10 @@ def fit(spark: SparkSession, train: DataFrame, buckets: int, head_size: int = HE
     unit = np.full(len(head), -1, dtype=np.int64)
     unit[best] = np.arange(len(best))
     end, size = n_units + FORMS, n_units + FORMS + 1
-    model = Model(head, count, unit, np.zeros(size, dtype=np.int64), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.5, int(stats[0].sum()) + ends, int(stats[1].sum()) + (ends > 0), ends, n_units)
-    blocks = 16
-    per = -(-size // blocks)
-    pairs = np.zeros(size * size, dtype=np.int64)
-    added = texts.mapInArrow(_bigrams(model, blocks), "block long, data binary").groupBy("block").applyInArrow(_add_bigrams, "block long, data binary")
-    for r in added.toLocalIterator():  # at most (n_units + FORMS + 1)**2 counts in all
-        at, n = _unpack((np.uint32, np.int64), [r["data"]])
-        pairs[at + r["block"] * per * size] = n
-    pairs = pairs.reshape(size, size)
-    model.classes = classes = exchange(pairs)
+    model = Model(head, count, unit, np.zeros(size, dtype=np.int64), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.5, int(stats[0].sum()) + ends, int(stats[1].sum()) + (ends > 0), ends, n_units, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+    n_classes = max(CLASSES, int(CLASSES * (model.n / BASE_TOKENS) ** 0.25))
+    pairs = _count_pairs(texts, model, np.arange(size), size)
+    model.classes = classes = exchange(pairs, n_classes)
     # Tokens, types, types seen once and twice of each unit, then of each class.
     by_unit = np.zeros((4, size), dtype=np.int64)
     by_unit[:, n_units:end] = stats
@@ -319,20 +420,25 @@ def fit(spark: SparkSession, train: DataFrame, buckets: int, head_size: int = HE
         by_unit[:, u] += own
         by_unit[:, n_units + form[i]] -= own
     by_unit[:, end] = (ends, ends > 0, 0, 0)
-    n_c, v_c, one, two = (np.bincount(classes, weights=x, minlength=CLASSES) for x in by_unit)
-    unseen = np.bincount(classes[n_units:end], minlength=CLASSES)  # unknown types
-    once, twice = one.sum(), two.sum()
-    model.discount = d = float(once / (once + 2 * twice)) if once and twice else 0.5
-    # A class without unknown types has nothing to give its discounts to; it keeps them by a smaller total.
-    tokens = np.where(unseen > 0, n_c, n_c - d * v_c)
-    model.known = -np.log10(np.maximum(tokens, 1e-9))
-    mass = np.where(n_c > 0, d * v_c / np.maximum(n_c, 1), 1.0)
-    model.unknown = np.log10(np.maximum(mass / np.maximum(unseen, 1), 1e-300))
-    member = np.zeros((size, CLASSES))
+    member = np.zeros((size, n_classes))
     member[np.arange(size), classes] = 1
-    table = member.T @ pairs @ member
-    prior = (n_c + 0.5) / (n_c + 0.5).sum()
-    model.transition = np.log10((table + SMOOTH * prior) / (table.sum(axis=1, keepdims=True) + SMOOTH))
+    n_c = _estimate(model, by_unit, member.T @ pairs @ member)
+    # Other words by their own neighbours. A unit of its class stands for each.
+    unit_of = np.full(n_classes, -1, dtype=np.int64)
+    unit_of[classes[:end][::-1]] = np.arange(end)[::-1]
+    unit_of[n_c == 0] = -1
+    near = texts.mapInArrow(_neighbours(model, buckets), "bucket long, data binary")
+    own = near.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_best_classes(n_classes, model.transition, n_c, unit_of), "data binary")
+    h, c, f, u = _unpack(_OWN, [r["data"] for r in own.toLocalIterator()])  # the words that occur LEAST times
+    if len(h):
+        for k, x in ((0, c), (1, np.ones(len(c), dtype=np.int64))):
+            np.subtract.at(by_unit[k], n_units + f.astype(np.int64), x)
+            np.add.at(by_unit[k], u.astype(np.int64), x)
+        at, there = model.look_up(h)
+        model.head_unit[at[there]] = u[there]
+        order = np.flatnonzero(~there)[np.argsort(h[~there])]
+        model.rare, model.rare_unit = h[order], u[order].astype(np.int64)
+        _estimate(model, by_unit, _count_pairs(texts, model, classes, n_classes))
     return model, counts
 
 
@@ -396,7 +502,7 @@ def _answer(model: Model, homes: int):
             known, count, _ = _unpack(_COUNT, words.column("data").to_pylist())  # sorted by hash
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             c = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-            cls = model.classes[model.n_units + form.astype(np.int64)]
+            cls = model.classes[model.units(h, form.astype(np.int64))[0]]
             order = np.argsort(row, kind="stable")
             row, times, c, cls = row[order], times[order].astype(np.int64), c[order], cls[order]
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,32 @@ def test_probabilities_add_up(spark, docs):
     assert np.allclose((10.0**model.transition).sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("head_size", [40, 1 << 17])
+def test_other_words_get_classes_by_their_neighbours(spark, head_size):
+    rng = random.Random(2)
+    nouns, verbs = ([f"{rng.randrange(10**6)}{p}{i}same" for i in range(150)] for p in "nv")  # all of one ending
+    rows = [(i, " ".join(w for _ in range(12) for w in ("the", rng.choice(nouns), "can", rng.choice(verbs)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, counts = class_lm.fit(spark, df, 3, head_size=head_size, n_units=20)
+    buf, bounds = core.utf8(pa.array([" ".join(nouns + verbs)]))
+    words = core.Words(buf, bounds)
+    unit, _, _ = model.units(words.hashes(), class_lm._forms(words).astype(np.int64))
+    found = model.classes[unit].tolist()
+    assert not set(found[:150]) & set(found[150:])
+    h, c, form = (np.concatenate(x) for x in zip(*(class_lm._unpack(class_lm._COUNT, [r["data"]]) for r in counts.collect())))
+    cls, forms = model.classes[model.units(h, form.astype(np.int64))[0]], model.classes[20 : 20 + class_lm.FORMS]
+    total = np.bincount(cls, weights=10.0 ** model.emission(c, cls), minlength=class_lm.CLASSES)
+    total += np.bincount(forms, weights=10.0 ** model.unknown[forms], minlength=class_lm.CLASSES)
+    assert np.allclose(total[np.unique(np.r_[cls, forms])], 1) and np.allclose((10.0**model.transition).sum(axis=1), 1)
+
+
+def test_classes_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "BASE_TOKENS", 10)
+    df = spark.createDataFrame([(i, f"a{i % 9} b{i % 7} c{i % 5}") for i in range(400)], "doc_id long, text string")
+    model, _ = class_lm.fit(spark, df, 3)
+    assert len(model.transition) == int(64 * 160**0.25) and model.classes.max() == len(model.transition) - 1
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(0)
     n, k = 41, 5
