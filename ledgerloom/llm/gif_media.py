@@ -1,15 +1,18 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-``encode`` stores a payload as frames of 24 by 24 palette indexes (576 bytes a frame, grey palette). ``decode`` reads
-any GIF87a/89a stream: global and local palettes, interlacing, transparency, disposal methods and frame delays; its frames
-are full canvases, after the rules for what stays of earlier frames.
+``encode`` stores a payload as frames of 24 by 24 samples (576 bytes a frame, grey palette). Each frame is an LZW stream whose codes
+grow from 9 bits on as the table of repeated runs grows. A frame stays on the canvas for the next one (disposal 1), which writes its
+transparent index where the canvas already shows the right sample, provided that the frame leaves an index unused.
+``decode`` reads any GIF87a/89a stream: global and local palettes, interlacing, transparency, disposal methods and
+frame delays; its frames are full canvases, after the rules for what stays of earlier frames. ``media`` reads its payload
+from these canvases, and ``frames`` gives one row for each timed frame.
 
-The encoder writes literal codes and clears the table before the code width would grow, so both directions run on whole
-arrays; the decoder takes that quick way only for a code stream that is found to be of this form, code by code,
-and decodes every other stream by the general algorithm.
+Both directions of LZW are one general way each: the widths of the codes between two clear codes follow from their number,
+so codes are packed and unpacked as arrays; runs are looked up code by code.
 
 Defined cases: a null or empty text is one frame of 255; frames are never dropped; a stream that ends
-early raises ValueError instead of giving fewer pixels; extra columns are ignored.
+early or holds a code outside its table raises ValueError instead of giving fewer or other pixels; an empty table gives
+an empty result; rows with one doc_id are stored one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,96 +31,123 @@ from pyspark.sql import functions as F
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY = 4  # hundredths of a second
-#: After a clear code, this many literal codes keep the table under 512 entries, so codes stay 9 bits wide.
-_LITERALS = 250
-_CLEAR, _STOP = 256, 257
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 _HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0b11110111, 0, 0) + _GREY
-_FRAME_HEAD = b"\x21\xf9\x04\x00" + struct.pack("<H", DELAY) + b"\x00\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+_FULL = 4096  # entries of a table that grows no further
+#: Codes that one step unpacks.
+_STEP = 1 << 14
 
 
 @dataclass
 class Frame:
-    delay: int
+    delay: int  # hundredths of a second
+    disposal: int
     rgb: np.ndarray  # height, width, 3: the canvas as shown
     index: np.ndarray  # height, width: the frame's own palette indexes
 
 
 # --- LZW -------------------------------------------------------------------------------------------------
 
-_AT = np.array([i for i in range(FRAME + -(-FRAME // _LITERALS) + 1) if i % (_LITERALS + 1) and i < FRAME + -(-FRAME // _LITERALS)])
-_CODES = FRAME + -(-FRAME // _LITERALS) + 1
-
-
-def lzw_literal(pixels: np.ndarray) -> np.ndarray:
-    """Code streams of (frames, 576) pixels, one row of bytes each."""
-    codes = np.full((len(pixels), _CODES), _CLEAR, dtype=np.uint16)
-    codes[:, _AT] = pixels
-    codes[:, -1] = _STOP
-    return _pack9(codes)
-
-
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """9-bit codes, least significant bit first: eight codes fill nine bytes."""
-    n, m = codes.shape
-    wide = np.zeros((n, -(-m // 8) * 8), dtype=np.uint16)
-    wide[:, :m] = codes
-    c = wide.reshape(n, -1, 8)
-    out = np.empty((n, c.shape[1], 9), dtype=np.uint8)
-    for k in range(9):
-        value = c[:, :, k] << k if k < 8 else 0
-        out[:, :, k] = (value | (c[:, :, k - 1] >> (9 - k)) if k else value) & 0xFF
-    return out.reshape(n, -1)[:, : -(-m * 9 // 8)]
-
-
-def _unpack9(data: np.ndarray, m: int) -> np.ndarray:
-    """The first m 9-bit codes of each row."""
-    n = len(data)
-    wide = np.zeros((n, -(-m // 8) * 9), dtype=np.uint16)
-    wide[:, : data.shape[1]] = data[:, : wide.shape[1]]
-    b = wide.reshape(n, -1, 9)
-    out = np.empty((n, b.shape[1], 8), dtype=np.uint16)
-    for k in range(8):
-        out[:, :, k] = ((b[:, :, k] >> k) | (b[:, :, k + 1] << (8 - k))) & 0x1FF
-    return out.reshape(n, -1)[:, :m]
+_widths: dict[int, np.ndarray] = {}
+
+
+def _width(size: int, n: int, since: int = 0) -> np.ndarray:
+    """The widths of n codes, of which ``since`` came before them since the last clear code.
+
+    A reader's table has 2**size + 2 entries when it reads the first code and the second, and one more before each later one.
+    """
+    if size not in _widths:
+        table = (1 << size) + 1 + np.maximum(np.arange(_FULL), 1)
+        _widths[size] = np.clip(np.floor(np.log2(table)).astype(np.int64) + 1, size + 1, 12)
+    return _widths[size][np.minimum(np.arange(since, since + n), _FULL - 1)]
+
+
+def lzw_encode(pixels: bytes, size: int) -> bytes:
+    """The code stream of pixels below 2**size: a clear code first, and again whenever the table is full; a stop code last."""
+    clear = 1 << size
+    codes: list[int] = [clear]
+    starts = [0, 1]  # codes since the last clear code are counted from here
+    table: dict[int, int] = {}
+    top, now = clear + 2, -1
+    for b in pixels:
+        if now < 0:
+            now = b
+            continue
+        run = now << 8 | b
+        code = table.get(run)
+        if code is not None:
+            now = code
+            continue
+        codes.append(now)
+        now = b
+        if top < _FULL:
+            table[run] = top
+            top += 1
+        else:
+            codes.append(clear)
+            starts.append(len(codes))
+            table, top = {}, clear + 2
+    if now >= 0:
+        codes.append(now)
+    codes.append(clear + 1)
+    ends = [*starts[1:], len(codes)]
+    width = np.concatenate([_width(size, b - a) for a, b in zip(starts, ends, strict=True)])
+    end = np.cumsum(width)
+    at = end - width
+    value = np.array(codes, dtype=np.int64) << (at & 7)
+    out = np.zeros(int(end[-1] + 7 >> 3) + 2, dtype=np.int64)
+    for k in range(3):  # a code reaches into three bytes at most; no two codes share a bit, so sums are unions
+        out += np.bincount((at >> 3) + k, weights=(value >> 8 * k) & 255, minlength=len(out)).astype(np.int64)
+    return out[:-2].astype(np.uint8).tobytes()
+
+
+def _code_runs(data: bytes, size: int) -> Iterator[tuple[list[int], bool]]:
+    """The codes of a stream in runs, and whether a clear code came before a run; a stop code or the stream's end ends it."""
+    raw = np.zeros(len(data) + 3, dtype=np.int64)
+    raw[: len(data)] = np.frombuffer(data, dtype=np.uint8)
+    bit, since, cleared, clear, bits, step = 0, 0, True, 1 << size, 8 * len(data), 1024
+    while True:
+        width = _width(size, min(step, bits - bit), since)
+        end = bit + np.cumsum(width)
+        end, width = end[end <= bits], width[: int(np.searchsorted(end, bits, side="right"))]
+        at = end - width
+        codes = ((raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[(at >> 3) + 2] << 16) >> (at & 7)) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        n = int(marks[0]) if len(marks) else len(codes)
+        if n:
+            yield codes[:n].tolist(), cleared
+        if n == len(codes):
+            if not n:
+                return
+            bit, since, cleared, step = int(end[-1]), since + n, False, min(2 * step, _STEP)
+        elif codes[n] == clear:
+            bit, since, cleared, step = int(end[n]), 0, True, 1024
+        else:
+            return
 
 
 def lzw_decode(data: bytes, size: int, pixels: int) -> np.ndarray:
-    """The general decoder: codes of growing width, clear and stop codes, and codes that are defined while read."""
-    clear, stop = 1 << size, (1 << size) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, out, made = list(base), size + 1, [], 0
-    acc = bits = 0
-    last = None
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= width:
-            code, acc, bits = acc & ((1 << width) - 1), acc >> width, bits - width
-            if code == clear:
-                table, width, last = list(base), size + 1, None
-                continue
-            if code == stop:
-                bits = -(1 << 30)
-                break
-            if last is None:
-                entry = table[code] if code < clear else None
-            elif code < len(table):
+    """The pixels of a code stream: codes of growing width, clear and stop codes, and codes that are defined while read."""
+    base = [bytes([i]) for i in range(1 << size)] + [b"", b""]
+    table, out, last, made = base, [], b"", 0
+    for codes, cleared in _code_runs(data, size):
+        if cleared:
+            if codes[0] >> size:
+                raise ValueError("a code outside the table")
+            table, last = list(base), b""
+        for code in codes:
+            if code < len(table):
                 entry = table[code]
-            elif code == len(table):
+            elif code == len(table) and last:
                 entry = last + last[:1]
             else:
-                entry = None
-            if entry is None:
                 raise ValueError("a code outside the table")
-            if last is not None and len(table) < 4096:
+            if last and len(table) < _FULL:
                 table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
             out.append(entry)
-            made += len(entry)
             last = entry
-        if bits < 0:
+        made = sum(map(len, out))
+        if made >= pixels:
             break
     if made < pixels:
         raise ValueError(f"the code stream holds {made} of {pixels} pixels")
@@ -129,14 +159,22 @@ def lzw_decode(data: bytes, size: int, pixels: int) -> np.ndarray:
 
 def encode(payload: np.ndarray) -> bytes:
     """A payload of a positive multiple of 576 bytes as one animated GIF."""
-    streams = lzw_literal(payload.reshape(-1, FRAME))
-    size = streams.shape[1]
-    blocks = [np.full((len(streams), len(_FRAME_HEAD)), np.frombuffer(_FRAME_HEAD, dtype=np.uint8))]
-    for at in range(0, size, 255):
-        part = streams[:, at : at + 255]
-        blocks += [np.full((len(streams), 1), part.shape[1], dtype=np.uint8), part]
-    blocks.append(np.zeros((len(streams), 1), dtype=np.uint8))
-    return _HEAD + np.concatenate(blocks, axis=1).tobytes() + b"\x3b"
+    samples = payload.reshape(-1, FRAME)
+    n = len(samples)
+    used = np.zeros((n, 256), dtype=bool)
+    used[np.arange(n)[:, None], samples] = True
+    free, same = np.argmin(used, axis=1), np.zeros(samples.shape, dtype=bool)
+    same[1:] = samples[1:] == samples[:-1]
+    clear = ~used.all(axis=1) & same.any(axis=1)
+    index = np.where(same & clear[:, None], free[:, None], samples).astype(np.uint8)
+    parts = [_HEAD]
+    for pixels, transparent, t in zip(index, clear.tolist(), free.tolist(), strict=True):
+        codes = lzw_encode(pixels.tobytes(), 8)
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2 | transparent, DELAY, t if transparent else 0) + b"\x00\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08")
+        for at in range(0, len(codes), 255):
+            parts += [bytes([min(255, len(codes) - at)]), codes[at : at + 255]]
+        parts.append(b"\x00")
+    return b"".join(parts) + b"\x3b"
 
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -178,59 +216,56 @@ def parse(data: bytes) -> tuple[int, int, bytes | None, int, list[dict]]:
     return width, height, palette, background, images
 
 
-def indexes(images: list[dict]) -> list[np.ndarray]:
-    """The palette indexes of each image; streams of the encoder's form are decoded together."""
-    quick = [i for i, m in enumerate(images) if m["size"] == 8 and m["box"][2] * m["box"][3] == FRAME and len(m["codes"]) == -(-_CODES * 9 // 8)]
-    out: dict[int, np.ndarray] = {}
-    if quick:
-        codes = _unpack9(np.frombuffer(b"".join(images[i]["codes"] for i in quick), dtype=np.uint8).reshape(len(quick), -1), _CODES)
-        rest = np.delete(codes, _AT, axis=1)
-        fits = (codes[:, _AT] < 256).all(axis=1) & (rest[:, :-1] == _CLEAR).all(axis=1) & (rest[:, -1] == _STOP)
-        literal = codes[:, _AT].astype(np.uint8)
-        out = {i: literal[k] for k, i in enumerate(quick) if fits[k]}
-    for i, m in enumerate(images):
-        x, y, w, h = m["box"]
-        pixels = out[i] if i in out else lzw_decode(m["codes"], m["size"], w * h)
-        pixels = pixels.reshape(h, w)
-        if m["interlaced"]:
-            rows = [r for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(start, h, step)]
-            pixels = pixels[np.argsort(rows)]
-        out[i] = pixels
-    return [out[i] for i in range(len(images))]
+def indexes(image: dict) -> np.ndarray:
+    """The palette indexes of an image, in rows."""
+    _, _, w, h = image["box"]
+    pixels = lzw_decode(image["codes"], image["size"], w * h).reshape(h, w)
+    if image["interlaced"]:
+        rows = [r for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(start, h, step)]
+        pixels = pixels[np.argsort(rows)]
+    return pixels
+
 
+def _colours(palette: bytes) -> np.ndarray:
+    out = np.zeros((256, 3), dtype=np.uint8)
+    out[: len(palette) // 3] = np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)
+    return out
 
-def decode(data: bytes) -> list[Frame]:
+
+def decode(data: bytes) -> Iterator[Frame]:
     """The timed frames as shown: palettes, transparency, and what each disposal method leaves of the frame before."""
     width, height, shared, _, images = parse(data)
-    canvas, frames = np.zeros((height, width, 3), dtype=np.uint8), []
-    for m, index in zip(images, indexes(images), strict=True):
+    canvas = np.zeros((height, width, 3), dtype=np.uint8)
+    of_all = _colours(shared) if shared is not None else None
+    for m in images:
+        index = indexes(m)
         x, y, w, h = m["box"]
-        palette = m["palette"] or shared
-        if palette is None:
+        colours = _colours(m["palette"]) if m["palette"] is not None else of_all
+        if colours is None:
             raise ValueError("an image without a palette")
-        colours = np.zeros((256, 3), dtype=np.uint8)
-        colours[: len(palette) // 3] = np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)
         before = canvas.copy() if m["disposal"] == 3 else None
-        shown = np.ones((h, w), dtype=bool) if m["transparent"] is None else index != m["transparent"]
-        canvas[y : y + h, x : x + w][shown] = colours[index][shown]
-        frames.append(Frame(m["delay"], canvas.copy(), index))
+        place = canvas[y : y + h, x : x + w]
+        if m["transparent"] is None:
+            place[:] = colours[index]
+        else:
+            np.copyto(place, colours[index], where=(index != m["transparent"])[:, :, None])
+        yield Frame(m["delay"], m["disposal"], canvas.copy(), index)
         if m["disposal"] == 2:
-            canvas[y : y + h, x : x + w] = 0
+            place[:] = 0
         elif before is not None:
             canvas = before
-    return frames
 
 
-def histogram(samples: np.ndarray) -> np.ndarray:
-    """Counts of 16 equal ranges of grey levels."""
-    return np.bincount(samples >> 4, minlength=16)
+def histogram(rgb: np.ndarray) -> np.ndarray:
+    """Counts of 16 equal ranges of each of the channels red, green and blue: 48 numbers."""
+    return np.bincount(((rgb >> 4) + np.array([0, 16, 32], dtype=np.uint8)).ravel(), minlength=48)
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long"
 
 
 def media(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """Each text stored as a GIF and read back: digests, frame timing and the colour histogram as a feature."""
+    """Each text stored as a GIF and read back from its canvases: digests, frame timing and the colour histogram of all frames as a feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,14 +275,46 @@ def media(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                     raw = text or b""
                     size = max(1, -(-len(raw) // FRAME)) * FRAME
                     stored = encode(np.frombuffer(raw + b"\xff" * (size - len(raw)), dtype=np.uint8))
-                    _, _, _, _, images = parse(stored)
-                    back = np.concatenate([x.ravel() for x in indexes(images)])
-                    read = back.tobytes()
-                    counts = histogram(back)
-                    row = (doc_id, len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), ",".join(map(str, counts)), len(images), sum(m["delay"] for m in images) * 10)
+                    digest, counts, n, shown, duration = hashlib.sha256(), np.zeros(48, dtype=np.int64), 0, b"", 0
+                    for frame in decode(stored):
+                        shown = frame.rgb[:, :, 0].tobytes()
+                        digest.update(shown)
+                        counts += histogram(frame.rgb)
+                        n, duration = n + 1, duration + 10 * frame.delay
+                    row = (doc_id, len(raw), n * len(shown), digest.hexdigest(), zlib.crc32(shown), len(stored), hashlib.sha256(stored).hexdigest(), ",".join(map(str, counts)), n, duration)
                     rows.append((*row, stored) if with_bytes else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["media"] * with_bytes
     types = [pa.string() if c.endswith("string") else pa.int64() for c in SCHEMA.split(", ")] + [pa.binary()] * with_bytes
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", media binary" * with_bytes)
+
+
+FRAMES = "doc_id long, frame long, at_ms long, delay_ms long, disposal long, width long, height long, red array<long>, green array<long>, blue array<long>, rgb binary"
+
+
+def frames(stored: DataFrame) -> DataFrame:
+    """One row for each timed frame of stored(doc_id, media): when it is shown, its colour histogram by channel, and the canvas."""
+    longs = pa.list_(pa.int64())
+    types = [pa.int64()] * 7 + [longs] * 3 + [pa.binary()]
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+                at = 0
+                for k, frame in enumerate(decode(data)):
+                    red, green, blue = histogram(frame.rgb).reshape(3, 16).tolist()
+                    rows.append((doc_id, k, at, 10 * frame.delay, frame.disposal, frame.rgb.shape[1], frame.rgb.shape[0], red, green, blue, frame.rgb.tobytes()))
+                    at += 10 * frame.delay
+                    if len(rows) == 256:
+                        yield made(rows)
+                        rows = []
+            if rows:
+                yield made(rows)
+
+    return stored.where("media is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, FRAMES)

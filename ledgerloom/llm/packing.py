@@ -7,14 +7,16 @@ table of runs (length, ranks, first bin, offset); a piece finds its place by its
 So neither the driver nor a task ever holds the documents: the driver holds ``width`` counts and the runs.
 
 Defined cases: a null or empty text is its end token alone; rows with one doc_id are documents of their own; an empty table
-gives an empty result; texts of any length are cut into pieces of ``width`` tokens, the first being the shorter one.
+gives an empty result; texts of any length are cut into pieces of ``width`` tokens, the first being the shorter one; very long
+runs of white space, which the quick encoder's pattern can't go through, are encoded by ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +29,48 @@ WIDTH = 1024
 END = 2
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-_encoders: dict[str, object] = {}
+#: White space of so many characters on end goes to ``tokenizers``: the quick encoder's pattern fails from a million on.
+LONG_SPACE = 20_000
+_BLANK = re.compile(rf"\s{{{LONG_SPACE}}}")
+_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
-def encoder(path: str, added: bool = False):
+def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
     """text -> ids, as the ``tokenizers`` library gives with that file, where nothing is put around the text.
 
     With ``added``, the file's added tokens are found in the text, which is the library's default; without, they are plain text.
     Byte-level BPE is a function of the vocabulary's ranks, so the merge loop runs in ``tiktoken``, which is four times
     as fast on one core; the ranks come from the same file's vocabulary (tests hold the ids against ``tokenizers``).
     """
-    if path not in _encoders:
-        import json
-
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
-            raise ValueError(f"{path}: added tokens that take in spaces or stand alone")
-        # Byte-level vocabularies print each byte as one character: the printable ones as themselves, the rest from U+0100 on.
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        import public_tokenizers
-
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    found = _encoders[path]
-    return partial(found.encode, allowed_special="all") if added else found.encode_ordinary
+    if (path, added) not in _encoders:
+        _encoders[path, added] = _make_encoder(path, added)
+    return _encoders[path, added]
+
+
+def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path}: added tokens that take in spaces or stand alone")
+    # Byte-level vocabularies print each byte as one character: the printable ones as themselves, the rest from U+0100 on.
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not added
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and _BLANK.search(text):
+            return whole.encode(text, add_special_tokens=False).ids
+        return quick.encode(text, allowed_special="all") if added else quick.encode_ordinary(text)
+
+    return encode
 
 
 def pieces(docs: DataFrame, path: str, width: int = WIDTH, end: int = END) -> DataFrame:

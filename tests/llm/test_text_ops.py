@@ -138,12 +138,37 @@ def lzw_encode(pixels: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzw_read(data: bytes, size: int) -> bytes:
+    """A plain decoder, bit by bit."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, width, table, last, out = 1 << size, 0, size + 1, {}, None, b""
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, last = {i: bytes([i]) for i in range(clear)} | {clear: b"", clear + 1: b""}, size + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        entry = table[code] if code in table else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table[len(table)] = last + entry[:1]
+        width = min(12, max(size + 1, len(table).bit_length()))
+        last, out = entry, out + entry
+
+
 @pytest.mark.parametrize("size", [2, 4, 8])
 def test_lzw_general(size):
     rng = random.Random(size)
-    for n in (1, 5, 700, 9000):
+    for n in (0, 1, 5, 700, 9000, 60000):
         pixels = bytes(rng.choice(range(1 << size)) if rng.random() < 0.3 else 1 for _ in range(n))
         assert gif_media.lzw_decode(lzw_encode(pixels, size), size, n).tobytes() == pixels
+        own = gif_media.lzw_encode(pixels, size)
+        assert lzw_read(own, size) == pixels and gif_media.lzw_decode(own, size, n).tobytes() == pixels
+    flat = gif_media.lzw_encode(b"\x01" * 60000, size)
+    assert lzw_read(flat, size) == b"\x01" * 60000 and len(flat) < 700
+    with pytest.raises(ValueError):
+        gif_media.lzw_decode(gif_media.lzw_encode(b"\x01\x02\x03", size), size, 4)
 
 
 def gif(frames, width=4, height=3, palette=None):
@@ -165,7 +190,7 @@ def gif(frames, width=4, height=3, palette=None):
 def test_gif_disposal_transparency_interlace():
     palette = np.array([(10 * i, i, 255 - i) for i in range(4)], dtype=np.uint8)
     data = gif([(0, 0, 4, 3, [1] * 12, 1, None, 5, False), (1, 1, 2, 1, [2, 0], 3, 0, 7, False), (0, 0, 1, 1, [3], 2, None, 0, False), (0, 0, 4, 3, [2, 0, 0, 0] * 2 + [1, 0, 0, 0], 0, 0, 9, True)])
-    a, b, c, d = gif_media.decode(data)
+    a, b, c, d = [*gif_media.decode(data)]
     assert [f.delay for f in (a, b, c, d)] == [5, 7, 0, 9]
     assert (a.rgb == palette[1]).all()
     assert (b.rgb[1, 1] == palette[2]).all() and (b.rgb[1, 2] == palette[1]).all()
@@ -183,11 +208,48 @@ def test_media_round_trip(spark, docs, rows):
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-576:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
-        frames = gif_media.decode(bytes(r["media"]))
-        assert b"".join(f.index.tobytes() for f in frames) == payload and r["n_frames"] == len(frames)
-        assert all((f.rgb[:, :, 0] == f.index).all() for f in frames)
+        frames = [*gif_media.decode(bytes(r["media"]))]
+        assert b"".join(f.rgb[:, :, 1].tobytes() for f in frames) == payload and (r["n_frames"], r["duration_ms"]) == (len(frames), 40 * len(frames))
         counts = [sum(b >> 4 == k for b in payload) for k in range(16)]
-        assert r["feature"] == ",".join(map(str, counts))
+        assert r["feature"] == ",".join(map(str, counts * 3))
+    assert gif_media.media(docs.limit(0)).collect() == []
+
+
+def test_media_depends_on_codes_palette_and_transparency():
+    payload = np.frombuffer((b"the same words again, and again. " * 60)[:1728], dtype=np.uint8)
+    data = gif_media.encode(payload)
+    assert len(data) < len(gif_media._HEAD) + 1728  # runs are found
+    _, _, _, _, images = gif_media.parse(data)
+    assert [m["transparent"] is not None for m in images] == [False, True, True]
+    read = lambda d: np.concatenate([f.rgb[:, :, 0].ravel() for f in gif_media.decode(d)])
+    assert (read(data) == payload).all()
+    ground = data[:13] + bytes(767) + data[780:]
+    assert not read(ground).all()  # a black palette
+    first = len(gif_media._HEAD) + 19
+    broken = bytearray(data)
+    broken[first + 40] ^= 0x10  # a bit of a code
+    try:
+        assert (read(bytes(broken)) != payload).any()
+    except ValueError:
+        pass
+    opaque = data.replace(b"\x21\xf9\x04\x05", b"\x21\xf9\x04\x04")
+    assert (read(opaque) != payload).any()
+    full = np.tile(np.arange(256, dtype=np.uint8), 9)  # frames that leave no index unused
+    assert (read(gif_media.encode(full[: 4 * 576])) == full[: 4 * 576]).all()
+
+
+def test_frames(spark, docs, rows):
+    stored = gif_media.media(docs, with_bytes=True)
+    got = gif_media.frames(stored.select("doc_id", "media")).orderBy("doc_id", "frame").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for doc_id, text, *_ in rows:
+        raw, found = (text or "").encode(), by[doc_id]
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert [(r["frame"], r["at_ms"], r["delay_ms"], r["width"], r["height"]) for r in found] == [(k, 40 * k, 40, 24, 24) for k in range(len(payload) // 576)]
+        assert b"".join(bytes(r["rgb"])[::3] for r in found) == payload
+        assert all(r["red"] == r["green"] == r["blue"] == [sum(b >> 4 == k for b in payload[576 * i : 576 * (i + 1)]) for k in range(16)] for i, r in enumerate(found))
 
 
 # --- packing ---------------------------------------------------------------------------------------------
@@ -204,6 +266,15 @@ def test_encoder_equals_the_tokenizers_library(rows):
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [packing.encoder(path)(x) for x in texts]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a\n" + "\u00a0\t " * 1_800_000, "x" * 5_000_000, "ab" + " " * 30_000 + "<|endoftext|> y", "é!" * 400_000])
+def test_encoder_takes_very_long_runs(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert packing.encoder(P.path("byte_bpe_50k.json"), added=True)(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_takes_added_tokens_as_the_tokenizers_library_does(spark, rows):
     import public_tokenizers as P
     from tokenizers import Tokenizer
