@@ -67,28 +67,26 @@ def lzw_encode(pixels: bytes, size: int) -> bytes:
     clear = 1 << size
     codes: list[int] = [clear]
     starts = [0, 1]  # codes since the last clear code are counted from here
-    table: dict[int, int] = {}
-    top, now = clear + 2, -1
-    for b in pixels:
-        if now < 0:
-            now = b
-            continue
-        run = now << 8 | b
-        code = table.get(run)
-        if code is not None:
-            now = code
-            continue
-        codes.append(now)
-        now = b
-        if top < _FULL:
+    at, n = 0, len(pixels)
+    while at < n:
+        table: dict[int, int] = {}
+        get, add, top, now = table.get, codes.append, clear + 2, pixels[at]
+        for at, b in enumerate(pixels[at + 1 :], at + 1):
+            run = now << 8 | b
+            if code := get(run):
+                now = code
+                continue
+            add(now)
+            if top == _FULL:
+                add(clear)
+                starts.append(len(codes))
+                break
             table[run] = top
             top += 1
+            now = b
         else:
-            codes.append(clear)
-            starts.append(len(codes))
-            table, top = {}, clear + 2
-    if now >= 0:
-        codes.append(now)
+            add(now)
+            break
     codes.append(clear + 1)
     ends = [*starts[1:], len(codes)]
     width = np.concatenate([_width(size, b - a) for a, b in zip(starts, ends, strict=True)])
@@ -134,18 +132,23 @@ def lzw_decode(data: bytes, size: int, pixels: int) -> np.ndarray:
         if cleared:
             if codes[0] >> size:
                 raise ValueError("a code outside the table")
-            table, last = list(base), b""
-        for code in codes:
-            if code < len(table):
+            table, last = list(base), base[codes[0]]
+            out.append(last)
+            del codes[0]
+        room = _FULL - len(table)
+        define, show = table.append, out.append
+        for code in codes[:room]:
+            try:
                 entry = table[code]
-            elif code == len(table) and last:
+                define(last + entry[:1])
+            except IndexError:  # the entry that this very code defines
+                if code != len(table):
+                    raise ValueError("a code outside the table") from None
                 entry = last + last[:1]
-            else:
-                raise ValueError("a code outside the table")
-            if last and len(table) < _FULL:
-                table.append(last + entry[:1])
-            out.append(entry)
+                define(entry)
+            show(entry)
             last = entry
+        out += [table[code] for code in codes[room:]]
         made = sum(map(len, out))
         if made >= pixels:
             break

@@ -134,6 +134,48 @@ def test_parser_keeps_what_follows_raw_elements_and_open_heads(page):
     assert [b.text for b in html_text.blocks(page)] == ["kept"]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>5</mn><annotation>x=5</annotation></math> be.</p>", ["Let x=5 be."]),
+        ("<p>See <svg viewBox='0 0 1 1'><title>t</title><desc>d</desc><g><text x=1>one</text><text>two</text><path d='M0'/></g></svg>.", ["See one two ."]),
+        ("<p>a<script>1</script>b <x-y>c<z>d</z></x-y>e<p>f<video>no</video>g<select><option>no</select>h", ["ab cde", "f g h"]),
+        ("<a href=/x/>link</a><div/>in<p title='a>b' data-id='ad'>more", ["link", "in", "more"]),
+        ("a<!-->b<!--->c<!-- <p> -->d<!x>e<?y?>f</ z>g</>h<1", ["abcdefgh<1"]),
+        ("<p>x</br>y</p>z<b>un<i>closed<div>w</b></i>v</div>", ["x y", "zunclosed", "wv"]),
+        ("<li>a<ul><li>b</ul><li>c<table><tr><td>d<td>e<tr><th>f</table>g", ["a", "b", "c", "d", "e", "f", "g"]),
+        ("<p title=\"odd>one <b class='x'>two</b> <i>three</i>", ["one two three"]),
+    ],
+)
+def test_parser_edges(page, texts):
+    assert [b.text for b in html_text.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<b>", "</b><i>", "<li><ul><x></li>", "<a x='>", '<a x=">y', "<!--", "<!-- x -->y", "<", "&", "<p><td>z</p>", "</x><p>y<b>", "<script>", "<svg><text>q", "<table><tr><td>"])
+def test_parser_is_linear(field, unit):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(unit * n, field)
+        return time.process_time() - start
+
+    small, large = max(seconds(4_000), 0.02), seconds(32_000)
+    assert large < 8 * small * 3
+
+
+def test_pages_without_known_names(field):
+    """Layouts whose class names say nothing: tags, text and place must do."""
+    hits = wrong = missed = 0
+    for page, texts in html_text.training_pages(150, seed=77, known_names=0.0):
+        found = html_text.blocks(page)
+        gold, said = html_text._labels(found, texts), field.decode(html_text.features(found))
+        hits += sum(a and b for a, b in zip(gold, said))
+        wrong += sum(b and not a for a, b in zip(gold, said))
+        missed += sum(a and not b for a, b in zip(gold, said))
+    assert 2 * hits / (2 * hits + wrong + missed) > 0.9
+
+
 def brute_viterbi(field, page):
     import itertools
 
