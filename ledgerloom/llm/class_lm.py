@@ -139,6 +139,19 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(["bucket", "kind", "data"], data)])
 
 
+def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = max(len(a), len(b))
+    return np.pad(a, (0, n - len(a))) + np.pad(b, (0, n - len(b)))
+
+
+def _add_statistics(table: pa.Table) -> pa.Table:
+    """The sum of some buckets' statistics of one kind."""
+    total = np.zeros(0, dtype=np.int64)
+    for blob in table.column("data").to_pylist():
+        total = _padded_sum(total, np.frombuffer(blob, dtype=np.int64))
+    return pa.Table.from_batches([_rows(["kind", "data"], [(table.column("kind")[0].as_py(), total.tobytes())])])
+
+
 # --- clustering -------------------------------------------------------------------------------------------
 
 
@@ -381,13 +394,13 @@ def fit(spark: SparkSession, train: DataFrame, buckets: int, head_size: int = HE
     ends = train.count()
     found = core.keep(spark, texts.mapInArrow(_count_words(buckets), "bucket long, data binary").groupBy("bucket").applyInArrow(_add_counts, "bucket long, kind long, data binary"), "word_counts")
     stats, levels = np.zeros((4, FORMS), dtype=np.int64), np.zeros(1, dtype=np.int64)
-    for r in found.where("kind > 0").select("kind", "data").toLocalIterator():  # one small row of each kind a bucket
+    small = found.where("kind > 0").withColumn("part", F.pmod(F.xxhash64("data"), F.lit(32))).groupBy("kind", "part").applyInArrow(_add_statistics, "kind long, data binary")
+    for r in small.collect():  # 64 rows of at most 8 KB
         part = np.frombuffer(r["data"], dtype=np.int64)
         if r["kind"] == 1:
             stats += part.reshape(4, FORMS)
         else:
-            n = max(len(levels), len(part))
-            levels = np.pad(levels, (0, n - len(levels))) + np.pad(part, (0, n - len(part)))
+            levels = _padded_sum(levels, part)
     above = np.cumsum(levels[::-1])[::-1]
     cut = int(np.argmax(above <= head_size)) if (above <= head_size).any() else len(levels)
     counts = found.where("kind = 0").select("bucket", "data")
@@ -540,7 +553,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame,
 def evaluate(spark: SparkSession, docs: DataFrame, buckets: int | None = None, head_size: int = HEAD, n_units: int = UNITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the rows that are not held out."""
     core.tune(spark)
-    buckets = buckets or core.partitions(spark)
+    buckets = buckets or core.group_count(spark, core.text_bytes(docs))
     model, counts = fit(spark, docs.where(~held_out(mod=7)), buckets, head_size, n_units)
     found = score(spark, docs, model, counts, buckets)
     return found.select("doc_id", held_out(mod=7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,55 +1,59 @@
 """Connected components of a link table, by alternating large-star and small-star steps; nothing goes to the driver.
 
 Both steps keep the components and hang nodes on smaller ones; when nothing changes, each node hangs on its component's smallest.
-A node with very many links costs one minimum (summed before the shuffle) and one join whose hot partitions Spark can split.
+A node may have a third of all links, so no step brings a node's links together by the node alone: they are dealt by
+(node, salt), a minimum is taken of each salt and then of the node's minima, and goes back to the salts by a join in which a node has
+at most as many rows as there are salts. Small and large graphs take the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import core
 
 
-#: In large graphs, nodes with more than one in so many of all link ends are joined by broadcast: there are at most so many of them.
-HOT, LARGE = 500, 1_000_000
+def salts(spark: SparkSession) -> int:
+    """A hot key is spread over as many salts as there are shuffle partitions."""
+    return max(32, core.partitions(spark))
 
 
-def _lowest(directed: DataFrame, ends: int) -> DataFrame:
-    """directed(u, v) with m: the smallest of u and its neighbours.
+def with_least(rows: DataFrame, key: str, value: Column, spread: Column, n: int, name: str) -> DataFrame:
+    """The rows and the smallest ``value`` of their key, in a column ``name``. ``spread``: what rows of one key differ in."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
+    part = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    low = part.groupBy(F.col(key).alias("least_key")).agg(F.min("least").alias(name))
+    back = part.select(F.col(key).alias("part_key"), F.col("salt").alias("part_salt")).join(low, F.col("part_key") == F.col("least_key")).select("part_key", "part_salt", name)
+    return salted.join(back, (F.col(key) == F.col("part_key")) & (F.col("salt") == F.col("part_salt"))).drop("salt", "part_key", "part_salt")
 
-    A node may have a third of all links. Where that is more than a task can carry, the few such nodes are joined by
-    broadcast and the others by their key; a graph of fewer ends is joined by key alone, with the same result.
-    """
-    low = directed.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    if ends < LARGE:
-        return directed.join(low, F.col("u") == F.col("x")).select("u", "v", "m")
-    hot = F.col("n") * HOT >= ends
-    first = directed.join(F.broadcast(low.where(hot).select(F.col("x").alias("h"), F.col("m").alias("hm"))), F.col("u") == F.col("h"), "left")
-    rest = first.where("hm is null").join(low.where(~hot), F.col("u") == F.col("x")).select("u", "v", "m")
-    return first.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
 
+def _lowest(directed: DataFrame, n: int) -> DataFrame:
+    """directed(u, v) with m: the smallest of u and its neighbours."""
+    return with_least(directed, "u", F.least("u", "v"), F.col("v"), n, "m")
 
-def _large(links: DataFrame, ends: int) -> DataFrame:
+
+def _large(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _lowest(both, 2 * ends).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _lowest(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(links: DataFrame, ends: int) -> DataFrame:
+def _small(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _lowest(down, ends)
+    hung = _lowest(down, n)
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, component for each node of links(u, v): the smallest node that it reaches."""
-    now = core.keep(spark, links.where("u <> v").select("u", "v").distinct(), "links")
-    state, ends = None, now.count()
+    scratch, n, state = core.Scratch(spark), salts(spark), None
+    now = scratch.keep(links.where("u <> v").select("u", "v").distinct(), "links")
     while True:
-        now = core.keep(spark, _small(_large(now, ends), ends).where("u <> v").distinct(), "links")
+        # What changes is the set of links: its size and two sums that are the same only for equal sets (but for chance).
+        now = scratch.keep(_small(_large(now, n), n).where("u <> v").distinct(), "links")
         found = tuple(now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             break
-        state, ends = found, found[0]
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        state = found
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return scratch.finish(out, "components")

@@ -142,13 +142,15 @@ def n_words(text: Column) -> Column:
 
 # --- tables in the shared folder -------------------------------------------------------------------------
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where it is unset and all executors are here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"{tempfile.gettempdir()}/ledgerloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -156,37 +158,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends here, and a lost executor costs a reread."""
+    """Write a table to the shared folder and read it back: its lineage ends here, and a lost executor costs a reread.
+
+    It stays until the session ends; what only one operator reads is kept by its ``Scratch``.
+    """
     path = f"{shared_dir(spark).rstrip('/')}/ledgerloom/{uuid.uuid4().hex}/{name}"
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A place in the list of tables, for finish()."""
-    return len(_written)
+class Scratch:
+    """The tables that one call of an operator writes for itself. ``finish`` writes the result and removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/ledgerloom/{uuid.uuid4().hex}/{name}"
+        _written[path] = self.spark
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """The result as a table of its own; nothing else reads this scratch's tables any more."""
+        out = keep(self.spark, df, name)
+        while self.paths:
+            _drop(self.paths.pop())
+        return out
 
-def finish(spark: SparkSession, df: DataFrame, name: str, since: int) -> DataFrame:
-    """Write a result and remove the tables that were written for it since ``since``: it reads none of them any more."""
-    out = keep(spark, df, name)
-    last = _written.pop()
-    drop_tables(since)
-    _written.append(last)
-    return out
 
+def _drop(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended
+        return
 
-def drop_tables(since: int = 0) -> None:
+
+def drop_tables() -> None:
     """Remove the tables that keep() wrote; call it when no result that reads them is needed any more."""
-    while len(_written) > since:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended
-            return
+    for path in [*_written]:
+        _drop(path)
 
 
 atexit.register(drop_tables)
@@ -204,3 +221,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """The bytes of all texts: what the number of groups that Python workers hold one at a time follows."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
+
+
+def group_count(spark: SparkSession, nbytes: int, held: int = 8 << 20) -> int:
+    """Groups of about ``held`` bytes each, and enough of them to load all shuffle partitions evenly."""
+    return max(8 * partitions(spark), -(-nbytes // held))
+
+
+def dealt(spark: SparkSession, df: DataFrame, key: str, nbytes: int, task: int = 256 << 20) -> DataFrame:
+    """df by a group's key in as many partitions as keep a task's share at ``task`` bytes, where the session's own number is too small for that."""
+    n = -(-nbytes // task)
+    return df.repartition(n, key) if n > partitions(spark) else df

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import core
-from .components import components
+from .components import components, salts, with_least
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -282,19 +282,19 @@ def _block_links(left: list[dict], right: list[dict], percent: int) -> list[tupl
     return rows
 
 
-def _inside(spark: SparkSession, dense: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+def _inside(scratch: core.Scratch, dense: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between the components of each dense group (node, component: its group), on full sets."""
     member = dense.select("node", F.col("component").alias("group")).join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "group", F.coalesce("component", "node").alias("component"))
-    member = core.keep(spark, member.join(sizes.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("node", "group", "component", "n_shingles"), "dense_members")
+    member = scratch.keep(member.join(sizes.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("node", "group", "component", "n_shingles"), "dense_members")
     parts = member.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
     main = parts.groupBy(F.col("group").alias("g")).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "words"))["words"].alias("main_words"), F.sum("words").alias("words"), F.count("*").alias("parts")).where("parts > 1")
     main = main.select("g", "main", F.ceil(F.col("words") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("words") - F.col("main_words")) / BLOCK).cast("int").alias("minor_blocks"))
     # A group may hold a large share of all documents: its one row of facts is dealt out beside its members.
     main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = member.withColumn("s", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int"))
-    open_ = core.keep(spark, salted.join(main, (F.col("group") == F.col("g")) & (F.col("s") == F.col("salt"))).select("node", "group", "component", "main", "blocks", "minor_blocks"), "open_members")
+    open_ = scratch.keep(salted.join(main, (F.col("group") == F.col("g")) & (F.col("s") == F.col("salt"))).select("node", "group", "component", "main", "blocks", "minor_blocks"), "open_members")
     sets = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_node_sets(k), "node long, shingles binary")
-    full = core.keep(spark, open_.join(sets, "node"), "open_sets")
+    full = scratch.keep(open_.join(sets, "node"), "open_sets")
     row = F.collect_list(F.struct("node", "component", "shingles"))
     blocks = full.groupBy("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(row.alias("members"))
     minor = full.where("component <> main").groupBy("group", "blocks", F.pmod(F.xxhash64("node"), F.col("minor_blocks")).alias("part")).agg(row.alias("minor"))
@@ -331,7 +331,7 @@ def _columns(members: list[dict]):
     )
 
 
-def _between(spark: SparkSession, members: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+def _between(scratch: core.Scratch, members: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     """a, b: candidate pairs that share a bucket but not a dense group. members: node, n_shingles, sig, keys."""
     now = members.join(dense.select(F.col("node").alias("x"), F.col("component").alias("group")), F.col("node") == F.col("x"), "left").withColumn("group", F.coalesce("group", "node"))
     in_bucket = now.select("node", "group", "n_shingles", "sig", F.explode("keys").alias("key"))
@@ -339,7 +339,7 @@ def _between(spark: SparkSession, members: DataFrame, dense: DataFrame, percent:
     # Buckets with more than one group; members of the largest are compared with the others only.
     open_ = parts.groupBy(F.col("key").alias("k")).agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     open_ = open_.select("k", "main", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / MEMBERS).cast("int").alias("minor_blocks"))
-    dealt = core.keep(spark, in_bucket.join(open_, F.col("key") == F.col("k")).drop("k"), "open_buckets")
+    dealt = scratch.keep(in_bucket.join(open_, F.col("key") == F.col("k")).drop("k"), "open_buckets")
     row = F.collect_list(F.struct("node", "group", "n_shingles", "sig"))
     blocks = dealt.groupBy("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("block")).agg(row.alias("members"))
     minor = dealt.where("group <> main").groupBy("key", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_blocks")).alias("part")).agg(row.alias("minor"))
@@ -355,44 +355,48 @@ def _document(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.unhex(F.md5(docs["text"].cast("string"))), F.lit(b"")).alias("text_key")]
 
 
-def _groups(spark: SparkSession, docs: DataFrame, k: int, percent: int, buckets: int | None) -> DataFrame:
+def _groups(scratch: core.Scratch, docs: DataFrame, k: int, percent: int, buckets: int | None) -> DataFrame:
     """doc_id (null as _NULL_ID), text_key, n_shingles, component_id (likewise), kept for each row of docs(doc_id, text)."""
+    spark = scratch.spark
     core.tune(spark)
-    buckets = buckets or 4 * core.partitions(spark)
     slim = docs.select(*_document(docs), F.col("text").cast("string").alias("text"))
-    sketched = core.keep(spark, slim.mapInArrow(_sketch(k), _SKETCHED), "sketches")
+    sketched = scratch.keep(slim.mapInArrow(_sketch(k), _SKETCHED), "sketches")
     # A class has a number of its own as node, whatever its doc_ids are; its first document stands for it.
     first = F.min(F.struct("doc_id", "text_key"))
     classes = sketched.where("n_shingles > 0").groupBy("set_key").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
-    classes = core.keep(spark, classes, "classes")
+    classes = scratch.keep(classes, "classes")
     speaker = classes.select("node", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t"))
     is_speaker = (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("t"))
     one = sketched.where("n_shingles > 0").join(speaker, is_speaker)
-    one = core.keep(spark, one.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node"]), "representatives")
-    led = core.keep(spark, one.select("node", "n_shingles", "bands").mapInArrow(_local_leaders(buckets), _LED), "local_leaders")
-    over = led.where("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_leaders, _LED)
+    one = scratch.keep(one.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node"]), "representatives")
+    held = one.count() * BANDS * 24  # bytes of all band keys
+    buckets = buckets or core.group_count(spark, held)
+    led = scratch.keep(one.select("node", "n_shingles", "bands").mapInArrow(_local_leaders(buckets), _LED), "local_leaders")
+    over = core.dealt(spark, led.where("bucket >= 0"), "bucket", held).groupBy("bucket").applyInArrow(_bucket_leaders, _LED)
     pairs = led.where("bucket < 0").select("a", "b", "ok").unionByName(over.select("a", "b", "ok"))
-    pairs = core.keep(spark, pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("ok").alias("ok")), "pairs")
-    nodes = core.keep(spark, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidates")
-    texts = core.keep(spark, slim.join(speaker.join(nodes, "node", "left_semi"), is_speaker).select("node", "text").dropDuplicates(["node"]), "candidate_texts")
-    tested = core.keep(spark, _confirmed(pairs.where("ok = 1"), texts, k, percent), "confirmed")
+    pairs = scratch.keep(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("ok").alias("ok")), "pairs")
+    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidates")
+    texts = scratch.keep(slim.join(speaker.join(nodes, "node", "left_semi"), is_speaker).select("node", "text").dropDuplicates(["node"]), "candidate_texts")
+    tested = scratch.keep(_confirmed(pairs.where("ok = 1"), texts, k, percent), "confirmed")
     members = one.join(nodes, "node", "left_semi").select("node", "n_shingles", "sig", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8))).alias("keys"))
-    members = core.keep(spark, members, "members")
+    members = scratch.keep(members, "members")
+
     def closed(links: DataFrame) -> DataFrame:
-        return core.keep(spark, components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+        return scratch.keep(components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
     labels = closed(tested.where("linked"))
     sig = members.select("node", "sig")
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a long, b long, near double")
     dense = closed(near.where(F.col("near") >= DENSE))
-    inside = core.keep(spark, _inside(spark, dense, labels, texts, members.select("node", "n_shingles"), k, percent), "inside")
-    between = core.keep(spark, _between(spark, members, dense, percent).join(tested, ["a", "b"], "left_anti"), "between")
-    more = core.keep(spark, _confirmed(between, texts, k, percent).where("linked").select("a", "b").unionByName(inside), "more_links")
+    inside = scratch.keep(_inside(scratch, dense, labels, texts, members.select("node", "n_shingles"), k, percent), "inside")
+    between = scratch.keep(_between(scratch, members, dense, percent).join(tested, ["a", "b"], "left_anti"), "between")
+    more = scratch.keep(_confirmed(between, texts, k, percent).where("linked").select("a", "b").unionByName(inside), "more_links")
     if not more.isEmpty():
         labels = closed(tested.where("linked").select("a", "b").unionByName(more))
-    final = core.keep(spark, classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), "first", "component"), "labelled")
-    firsts = core.keep(spark, final.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first").alias("least")), "firsts")
-    final = final.join(firsts, F.col("component") == F.col("c"), "left").select("s", F.coalesce("least", "first").alias("first"))
+    final = scratch.keep(classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set_key").alias("s"), "first", "component"), "labelled")
+    # A group may hold a third of all classes: its first document is found over salts, as the components are.
+    grouped = with_least(final.where("component is not null"), "component", F.col("first"), F.col("s"), salts(spark), "least")
+    final = grouped.select("s", F.col("least").alias("first")).unionByName(final.where("component is null").select("s", "first"))
     out = sketched.join(final, F.col("set_key") == F.col("s"), "left").withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
     kept = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.coalesce("first.text_key", "text_key"))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", kept.alias("kept"))
@@ -400,17 +404,17 @@ def _groups(spark: SparkSession, docs: DataFrame, k: int, percent: int, buckets:
 
 def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    since = core.mark()
+    scratch = core.Scratch(spark)
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    out = _groups(spark, docs, k, percent, buckets).select(real("doc_id"), "n_shingles", real("component_id"), "kept")
-    return core.finish(spark, out, "groups", since)
+    out = _groups(scratch, docs, k, percent, buckets).select(real("doc_id"), "n_shingles", real("component_id"), "kept")
+    return scratch.finish(out, "groups")
 
 
 def rows(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one of each group stays, with their own columns; rows equal in doc_id and text stay once."""
-    since = core.mark()
-    stay = _groups(spark, docs, k, percent, None).where("kept").select("doc_id", "text_key").distinct()
-    stay = core.finish(spark, stay, "stay", since)
+    scratch = core.Scratch(spark)
+    stay = _groups(scratch, docs, k, percent, None).where("kept").select("doc_id", "text_key").distinct()
+    stay = scratch.finish(stay, "stay")
     doc_id, text_key = _document(docs)
     packed = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("d"), text_key.alias("t"))
     return packed.join(stay, (F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("text_key")), "left_semi").dropDuplicates(["d", "t"]).select("row.*")

@@ -8,11 +8,12 @@ all but the earliest (smallest doc_id, then start) are removed. Nothing is sampl
 speakers at every level, and a level only drops windows that cannot be repeated.
 
 Shuffles: a task sends each distinct hash once, however often it has met it, in packed arrays; so a passage that a third
-of all documents share costs one entry a task. Answers come back packed by the documents' bucket. The number of
-buckets follows spark.sql.shuffle.partitions.
+of all documents share costs one entry a task. Answers come back packed by the documents' group. A worker holds one group of
+documents or one bucket of hashes at a time; their number follows the bytes of all texts.
 
-Defined cases: null, empty and shorter texts have no window and lose nothing; equal rows (doc_id and text) are one
-document; rows with a null doc_id come first, as one document's would; extra columns are ignored by ``digests`` and kept by ``rows``.
+Defined cases: null, empty and shorter texts have no window and lose nothing; rows equal in doc_id and text are one
+document, different texts under one doc_id (or under none) are documents of their own, in the order of their checksums; a null doc_id
+comes before all others; an empty table gives an empty result; extra columns are ignored by ``digests`` and kept by ``rows``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import core
@@ -34,14 +35,18 @@ _NULL_ID = -(2**63)
 _U = np.uint64
 _SENT = "bucket long, home long, data binary"
 _BACK = "home long, data binary"
-#: Groups of documents for each shuffle partition; every group and bucket of hashes exchange one message at most.
-HOMES = 4
 #: Entries that a task holds before it sends them.
 _HELD = 4_000_000
 
 
-def _home(ids: np.ndarray, n: int) -> np.ndarray:
-    """pmod(xxhash64(id), n) as Spark has it for a bigint."""
+def _home_of(doc_id: Column, crc: Column, n: int) -> Column:
+    """The group of a document; those without a doc_id are dealt by their text."""
+    return F.pmod(F.xxhash64(F.coalesce(F.nullif(doc_id.cast("long"), F.lit(_NULL_ID)), crc)), F.lit(n))
+
+
+def _home(ids: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
+    """The same as ``_home_of``: pmod(xxhash64(id), n) as Spark has it for a bigint."""
+    ids = np.where(ids == _NULL_ID, crc.astype(np.int64), ids)
     p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turn(x, k):
@@ -56,8 +61,9 @@ def _home(ids: np.ndarray, n: int) -> np.ndarray:
     return h.view(np.int64) % n
 
 
-_ENTRY = (("h", np.uint64), ("g", np.uint32), ("doc", np.int64), ("pos", np.uint32))
-_PLACE = (("doc", np.int64), ("pos", np.uint32))
+#: A document is its doc_id and its text's CRC-32.
+_PLACE = (("doc", np.int64), ("crc", np.uint32), ("pos", np.uint32))
+_ENTRY = (("h", np.uint64), ("g", np.uint32), *_PLACE)
 
 
 def _pack(fields, arrays: list[np.ndarray]) -> bytes:
@@ -104,27 +110,33 @@ def _speakers(hashes: np.ndarray, inner: int) -> np.ndarray:
     return at
 
 
+def _document(ids: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """One number for a document."""
+    return core.mix(ids.astype(np.int64).view(np.uint64) ^ core.mix(crc.astype(np.uint64) + _U(1)))
+
+
 class _Text:
     """The words of some documents, and which ``length``-windows lie inside one of them."""
 
-    def __init__(self, buf: np.ndarray, bounds: np.ndarray, ids: np.ndarray, length: int):
-        self.words, self.ids, self.length = core.Words(buf, bounds), ids, length
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, ids: np.ndarray, crc: np.ndarray, length: int):
+        self.words, self.ids, self.crc, self.length = core.Words(buf, bounds), ids, crc, length
         self.hash = self.words.hashes(lower=False)
         n = len(self.words)
         self.doc = self.words.doc_of_word()
         self.pos = np.arange(n) - self.words.offset[:-1][self.doc] if n else np.empty(0, dtype=np.int64)
         count = max(0, n - length + 1)
         self.whole = self.doc[:count] == self.doc[length - 1 :] if count else np.empty(0, dtype=bool)
-        self._by_id = np.argsort(ids, kind="stable")
+        self._key = _document(ids, crc)
+        self._by_key = np.argsort(self._key, kind="stable")
 
-    def marks(self, docs: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """The places as flags over all words; rows with one id all get them."""
+    def marks(self, docs: np.ndarray, crc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """The places as flags over all words; equal rows all get them."""
         out = np.zeros(len(self.words) + 1, dtype=bool)
-        ids = self.ids[self._by_id]
-        lo, hi = np.searchsorted(ids, docs, "left"), np.searchsorted(ids, docs, "right")
+        keys, asked = self._key[self._by_key], _document(docs, crc)
+        lo, hi = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
         for k in range(int((hi - lo).max(initial=0))):
             ok = lo + k < hi
-            row = self._by_id[(lo + k)[ok]]
+            row = self._by_key[(lo + k)[ok]]
             inside = pos[ok] < self.words.counts[row]
             out[self.words.offset[row[inside]] + pos[ok][inside]] = True
         return out[:-1]
@@ -134,16 +146,16 @@ class _Text:
         return _speakers(core.windows(self.hash, w), self.length - w + 1)[alive]
 
     def entries(self, w: int, at: np.ndarray) -> list[np.ndarray]:
-        """Hash, second hash, document and place of the w-windows that start at ``at``."""
+        """Hash, second hash, document (two numbers) and place of the w-windows that start at ``at``."""
         if not len(at):
             return [np.empty(0, dtype=t) for _, t in _ENTRY]
         second = core.windows(core.mix(self.hash ^ _U(0x5DEECE66D1234567)), w)
-        return [core.windows(self.hash, w)[at], (second[at] >> _U(32)).astype(np.uint32), self.ids[self.doc[at]], self.pos[at].astype(np.uint32)]
+        return [core.windows(self.hash, w)[at], (second[at] >> _U(32)).astype(np.uint32), self.ids[self.doc[at]], self.crc[self.doc[at]], self.pos[at].astype(np.uint32)]
 
 
-def _groups(h, g, doc, pos):
+def _groups(h, g, doc, crc, pos):
     """Sorted by hash, then place: the order, and for each sorted entry whether it is its hash's first, and the first's index."""
-    order = np.lexsort((pos, doc, g, h))
+    order = np.lexsort((pos, crc, doc, g, h))
     h, g = h[order], g[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
@@ -153,8 +165,8 @@ def _groups(h, g, doc, pos):
 def _found(entries: list[np.ndarray], last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of one entry of each hash, and of the entries known to be repeated (at the last level: later ones)."""
     order, first, head = _groups(*entries)
-    doc, pos = entries[2][order], entries[3][order]
-    later = (doc != doc[head]) | (pos != pos[head])
+    doc, crc, pos = (x[order] for x in entries[2:])
+    later = (doc != doc[head]) | (crc != crc[head]) | (pos != pos[head])
     if not last:
         has = np.zeros(len(order), dtype=bool)
         has[head[later]] = True
@@ -169,8 +181,8 @@ def _send(entries: list[np.ndarray], last: bool, buckets: int, homes: int) -> It
     sent = [a[heads] for a in entries]
     for bucket, part in _split((sent[0] % _U(buckets)).astype(np.int64), sent):
         yield bucket, -1, _pack(_ENTRY, part)
-    place = [entries[2][known], entries[3][known]]
-    for home, part in _split(_home(place[0], homes), place):
+    place = [x[known] for x in entries[2:]]
+    for home, part in _split(_home(place[0], place[1], homes), place):
         yield home % buckets, home, _pack(_PLACE, part)
 
 
@@ -183,11 +195,15 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _crcs(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.uint32)
+
+
 def _first_level(length: int, w: int, buckets: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, buf, bounds in core.chunks(batches):
-            text = _Text(buf, bounds, _ids(rows.column("doc_id")), length)
+            text = _Text(buf, bounds, _ids(rows.column("doc_id")), _crcs(rows.column("crc")), length)
             at = np.zeros(len(text.words), dtype=bool)
             at[text.level(w, text.whole)] = True
             held.append(text.entries(w, np.flatnonzero(at)))
@@ -215,9 +231,10 @@ def _slices(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
         at = to
 
 
-def _table_text(table: pa.Table, length: int) -> _Text:
-    buf, bounds = core.utf8(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.large_string()))
-    return _Text(buf, bounds, _ids(table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())), length)
+def _table_text(table: pa.Table, length: int, crc: str) -> _Text:
+    """Of a table with rows."""
+    text, ids, crcs = (table.column(c).combine_chunks() for c in ("text", "doc_id", crc))
+    return _Text(*core.utf8(text), _ids(ids), _crcs(crcs), length)
 
 
 def _next_level(length: int, before: int, w: int, buckets: int, homes: int):
@@ -226,7 +243,7 @@ def _next_level(length: int, before: int, w: int, buckets: int, homes: int):
         if docs.num_rows and places.num_rows:
             where, found = _places(places), []
             for _, part in _slices(docs):
-                text = _table_text(part, length)
+                text = _table_text(part, length, "crc")
                 alive = text.whole.copy()
                 marked = text.marks(*where)
                 alive[alive] = marked[text.level(before, alive)]
@@ -249,17 +266,17 @@ def _resolve(last: bool, homes: int):
         if len(entries[0]):
             _, known = _found(entries, last)
             place = [np.concatenate([a, b[known]]) for a, b in zip(place, entries[2:], strict=True)]
-        rows = [(home, _pack(_PLACE, part)) for home, part in _split(_home(place[0], homes), place)]
+        rows = [(home, _pack(_PLACE, part)) for home, part in _split(_home(place[0], place[1], homes), place)]
         return pa.Table.from_batches([_batch(rows, ["home", "data"])])
 
     return run
 
 
-def _removal(table: pa.Table, places: pa.Table, length: int) -> Iterator[tuple[int, list[bytes], np.ndarray | None]]:
+def _removal(table: pa.Table, places: pa.Table, length: int, crc: str = "crc") -> Iterator[tuple[int, list[bytes], np.ndarray | None]]:
     """For each row its words and, if any goes, the flags of those that stay."""
     where = _places(places)
     for first, part in _slices(table):
-        text = _table_text(part, length)
+        text = _table_text(part, length, crc)
         starts = np.flatnonzero(text.marks(*where))
         cover = np.zeros(len(text.words) + length + 1, dtype=np.int32)
         cover[starts] += 1
@@ -286,12 +303,12 @@ def _digest(length: int):
     return run
 
 
-def _rewrite(length: int, schema: pa.Schema):
+def _rewrite(length: int, schema: pa.Schema, crc: str):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         texts, chars = docs.column("text").to_pylist(), docs.column("n_chars").to_pylist() if "n_chars" in docs.column_names else None
-        for i, words, stay in _removal(docs, places, length):
+        for i, words, stay in _removal(docs, places, length, crc):
             if stay is not None:
                 texts[i] = b" ".join(compress(words, stay)).decode("utf-8", "replace")
                 if chars is not None:
@@ -310,18 +327,24 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
-def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, buckets: int, homes: int) -> tuple[DataFrame, DataFrame]:
-    """The documents by home bucket, and the starts of the windows to remove."""
+def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, buckets: int | None) -> tuple[DataFrame, DataFrame, str, str]:
+    """The documents by home group, the starts of the windows to remove, and the documents' columns of group and checksum."""
     if length % base or (length // base) & (length // base - 1):
         raise ValueError("length must be base times a power of two")
-    home = _free("home", docs.columns)
-    homed = docs.withColumn(home, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))), F.lit(homes)))
-    slim = homed.select(F.col(home).alias("home"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent, w = slim.drop("home").mapInArrow(_first_level(length, base, buckets, homes), _SENT), base
+    core.tune(spark)
+    nbytes = core.text_bytes(docs)
+    buckets = buckets or core.group_count(spark, nbytes)
+    homes, home, crc = 2 * buckets, _free("home", docs.columns), _free("crc", docs.columns)
+    homed = docs.withColumn(crc, F.coalesce(F.crc32(F.col("text").cast("string")), F.lit(0)))
+    slim = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(crc).alias("crc")]
+    sent, w = homed.select(*slim).mapInArrow(_first_level(length, base, buckets, homes), _SENT), base
+    homed = core.dealt(spark, homed.withColumn(home, _home_of(F.col("doc_id"), F.col(crc), homes)), home, nbytes)
+    slim = homed.select(F.col(home).alias("home"), *slim)
     while True:
-        back = sent.groupBy("bucket").applyInArrow(_resolve(w == length, homes), _BACK)
+        back = core.dealt(spark, sent, "bucket", nbytes).groupBy("bucket").applyInArrow(_resolve(w == length, homes), _BACK)
+        back = core.dealt(spark, back, "home", nbytes)
         if w == length:
-            return homed, back
+            return homed, back, home, crc
         # Survivors are few and small; the next level looks only at them.
         sent = slim.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(_next_level(length, w, 2 * w, buckets, homes), _SENT)
         w *= 2
@@ -329,10 +352,8 @@ def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, bucke
 
 def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words that stay, for each row of docs(doc_id, text)."""
-    core.tune(spark)
-    buckets = buckets or max(1, core.partitions(spark) // 2)
-    homed, places = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets, 2 * HOMES * buckets)
-    slim = homed.select("home", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    homed, places, _, _ = _answers(spark, docs.select("doc_id", "text"), length, base or length // 2, buckets)
+    slim = homed.select("home", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "crc")
     return slim.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_digest(length), DIGEST)
 
 
@@ -340,7 +361,5 @@ def rows(spark: SparkSession, docs: DataFrame, length: int = LENGTH, base: int |
     """The documents with repeated windows removed: untouched texts stay as they are, others are their words joined by spaces."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    core.tune(spark)
-    buckets = buckets or max(1, core.partitions(spark) // 2)
-    homed, places = _answers(spark, docs, length, base or length // 2, buckets, 2 * HOMES * buckets)
-    return homed.groupBy(_free("home", docs.columns)).cogroup(places.groupBy("home")).applyInArrow(_rewrite(length, to_arrow_schema(docs.schema)), docs.schema)
+    homed, places, home, crc = _answers(spark, docs, length, base or length // 2, buckets)
+    return homed.groupBy(home).cogroup(places.groupBy("home")).applyInArrow(_rewrite(length, to_arrow_schema(docs.schema), crc), docs.schema)

@@ -383,3 +383,26 @@ def test_substring_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (9, None), (7, text + " tail")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in substring.digests(spark, df).collect())
     assert got == [("5", 30), ("5", 30), ("7", 30), ("9", 0), ("None", 0)]
+
+
+def test_substring_tells_different_texts_of_one_id_apart(spark):
+    a, b = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(45))
+    df = spark.createDataFrame([(5, a), (5, b), (None, b), (None, a + " x"), (None, None), (6, f"{b} {a}"), (4, "short")], "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring.digests(spark, df).collect()}
+    assert got == {(5, 30): 30, (5, 45): 45, (None, 45): 0, (None, 31): 0, (None, 0): 0, (6, 75): 75, (4, 1): 0}
+    one = spark.createDataFrame([(7, f"{a} {a} {b}"), (7, b), (8, a)], "doc_id long, text string")
+    kept = sorted(r["text"] for r in substring.rows(spark, one).collect())
+    # Of the two texts of id 7 one keeps the common passage, and the long one the other.
+    assert sum(len(t.split()) for t in kept) == 75 and kept[0] == ""
+
+
+def test_scratch_tables_belong_to_one_call(spark):
+    import os
+
+    mine, other = core.Scratch(spark), core.Scratch(spark)
+    a, b = mine.keep(spark.range(5), "a"), other.keep(spark.range(7), "b")
+    done = mine.finish(a.where("id > 1"), "done")
+    assert (done.count(), b.count(), len(other.paths), mine.paths) == (3, 7, 1, [])
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(a.inputFiles()[0]).count()
+    assert all(os.path.exists(f.removeprefix("file:")) for f in done.inputFiles())
