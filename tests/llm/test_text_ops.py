@@ -218,14 +218,14 @@ def test_media_round_trip(spark, docs, rows):
 def test_media_depends_on_codes_palette_and_transparency():
     payload = np.frombuffer((b"the same words again, and again. " * 60)[:1728], dtype=np.uint8)
     data = gif_media.encode(payload)
-    assert len(data) < len(gif_media._HEAD) + 1728  # runs are found
+    assert len(data) < 781 + 1728  # runs are found
     _, _, _, _, images = gif_media.parse(data)
     assert [m["transparent"] is not None for m in images] == [False, True, True]
     read = lambda d: np.concatenate([f.rgb[:, :, 0].ravel() for f in gif_media.decode(d)])
     assert (read(data) == payload).all()
     ground = data[:13] + bytes(767) + data[780:]
     assert not read(ground).all()  # a black palette
-    first = len(gif_media._HEAD) + 19
+    first = 781 + 19
     broken = bytearray(data)
     broken[first + 40] ^= 0x10  # a bit of a code
     try:
@@ -238,6 +238,22 @@ def test_media_depends_on_codes_palette_and_transparency():
     assert (read(gif_media.encode(full[: 4 * 576])) == full[: 4 * 576]).all()
 
 
+def test_frames_side_by_side_equal_single_ones(monkeypatch):
+    rng = random.Random(3)
+    payloads = [np.frombuffer(bytes(rng.choice(range(rng.choice([2, 30, 256]))) for _ in range(576 * rng.randint(1, 6))), dtype=np.uint8) for _ in range(40)]
+    stored = gif_media.encode_all(payloads)
+    for payload, data in zip(payloads, stored):
+        images = gif_media.parse(data)[4]
+        index = [*gif_media.indexes(images)]
+        assert [m["codes"] for m in images] == [gif_media.lzw_encode(x.tobytes(), 8) for x in index] == [m["codes"] for m in gif_media.parse(gif_media.encode(payload))[4]]
+        assert [x.tobytes() for x in index] == [lzw_read(m["codes"], 8) for m in images]
+        assert b"".join(f.rgb[:, :, 2].tobytes() for f in gif_media.decode(data)) == payload.tobytes()
+    large = np.tile(payloads[0], 90 * 90)[: 3 * 90 * 90]
+    assert np.array_equal(np.concatenate([f.rgb[:, :, 0].ravel() for f in gif_media.decode(gif_media.encode(large, side=90))]), large)
+    wide = [lzw_encode(bytes(rng.choice(b"abc") for _ in range(n)), 8) for n in (575, 576, 577)]  # too short, right, too long
+    assert [x is not None for x in gif_media._decode_abreast(wide, 576)] == [False, True, False]
+
+
 def test_frames(spark, docs, rows):
     stored = gif_media.media(docs, with_bytes=True)
     got = gif_media.frames(stored.select("doc_id", "media")).orderBy("doc_id", "frame").collect()
