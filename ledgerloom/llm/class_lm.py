@@ -553,7 +553,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame,
 def evaluate(spark: SparkSession, docs: DataFrame, buckets: int | None = None, head_size: int = HEAD, n_units: int = UNITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the rows that are not held out."""
     core.tune(spark)
-    buckets = buckets or core.group_count(spark, core.text_bytes(docs))
+    buckets = buckets or core.group_count(core.partitions(spark), core.text_bytes(docs))
     model, counts = fit(spark, docs.where(~held_out(mod=7)), buckets, head_size, n_units)
     found = score(spark, docs, model, counts, buckets)
     return found.select("doc_id", held_out(mod=7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

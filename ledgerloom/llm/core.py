@@ -228,9 +228,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
 
 
-def group_count(spark: SparkSession, nbytes: int, held: int = 8 << 20) -> int:
-    """Groups of about ``held`` bytes each, and enough of them to load all shuffle partitions evenly."""
-    return max(8 * partitions(spark), -(-nbytes // held))
+def group_count(least: int, nbytes: int, held: int = 32 << 20) -> int:
+    """Groups of at most about ``held`` bytes each: what a worker holds doesn't grow with the corpus, whatever the session's number of partitions."""
+    return max(1, least, -(-nbytes // held))
 
 
 def dealt(spark: SparkSession, df: DataFrame, key: str, nbytes: int, task: int = 256 << 20) -> DataFrame:

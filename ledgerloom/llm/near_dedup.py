@@ -370,7 +370,7 @@ def _groups(scratch: core.Scratch, docs: DataFrame, k: int, percent: int, bucket
     one = sketched.where("n_shingles > 0").join(speaker, is_speaker)
     one = scratch.keep(one.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node"]), "representatives")
     held = one.count() * BANDS * 24  # bytes of all band keys
-    buckets = buckets or core.group_count(spark, held)
+    buckets = buckets or core.group_count(4 * core.partitions(spark), held)
     led = scratch.keep(one.select("node", "n_shingles", "bands").mapInArrow(_local_leaders(buckets), _LED), "local_leaders")
     over = core.dealt(spark, led.where("bucket >= 0"), "bucket", held).groupBy("bucket").applyInArrow(_bucket_leaders, _LED)
     pairs = led.where("bucket < 0").select("a", "b", "ok").unionByName(over.select("a", "b", "ok"))

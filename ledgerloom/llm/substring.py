@@ -35,6 +35,8 @@ _NULL_ID = -(2**63)
 _U = np.uint64
 _SENT = "bucket long, home long, data binary"
 _BACK = "home long, data binary"
+#: Groups of documents for each bucket of hashes.
+HOMES = 8
 #: Entries that a task holds before it sends them.
 _HELD = 4_000_000
 
@@ -333,8 +335,9 @@ def _answers(spark: SparkSession, docs: DataFrame, length: int, base: int, bucke
         raise ValueError("length must be base times a power of two")
     core.tune(spark)
     nbytes = core.text_bytes(docs)
-    buckets = buckets or core.group_count(spark, nbytes)
-    homes, home, crc = 2 * buckets, _free("home", docs.columns), _free("crc", docs.columns)
+    # Every bucket of hashes may have a message for every group of documents: hashes are compact, so there are fewer buckets than groups.
+    buckets = buckets or core.group_count(core.partitions(spark) // 2, nbytes)
+    homes, home, crc = HOMES * buckets, _free("home", docs.columns), _free("crc", docs.columns)
     homed = docs.withColumn(crc, F.coalesce(F.crc32(F.col("text").cast("string")), F.lit(0)))
     slim = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(crc).alias("crc")]
     sent, w = homed.select(*slim).mapInArrow(_first_level(length, base, buckets, homes), _SENT), base
