@@ -108,20 +108,20 @@ def c10(spark, sf_dir):
     return _HEADINGS.df(spark).select("label", T.detect_section(F.col("label")).alias("section"))
 
 
-_UNITS = Table("text string", [("in Rs. crores",), ("Rs in lakhs",), ("SAR '000",), ("US$ million",), ("(In US dollars)",), ("(Expressed in Mexican pesos)",), ("in thousands of CLP",), ("HK$ bn",), ("miles de millones",), ("nothing",)])
+_UNITS = Table("text string", [("in Rs. crores",), ("Rs in lakhs",), ("SAR '000",), ("US$ million",), ("(In US dollars)",), ("(Expressed in Mexican pesos)",), ("in thousands of CLP",), ("HK$ bn",), ("miles de millones",), ("nothing",), ("EUR m",), ("€ million",), ("£'000",), ("MX$",), ("TL",), ("₩ bn",), ("in KRW",), ("⃂ 1",), ("AED",), ("QAR",), ("RMB",)])
 
 
-@query("c11_units", expected("text string, units string", [("in Rs. crores", "crores"), ("Rs in lakhs", "lakhs"), ("SAR '000", "thousands"), ("US$ million", "millions"), ("(In US dollars)", "units"), ("(Expressed in Mexican pesos)", "units"), ("in thousands of CLP", "thousands"), ("HK$ bn", "billions"), ("miles de millones", "billions"), ("nothing", None)]))
+@query("c11_units", expected("text string, units string", [("in Rs. crores", "crores"), ("Rs in lakhs", "lakhs"), ("SAR '000", "thousands"), ("US$ million", "millions"), ("(In US dollars)", "units"), ("(Expressed in Mexican pesos)", "units"), ("in thousands of CLP", "thousands"), ("HK$ bn", "billions"), ("miles de millones", "billions"), ("nothing", None), ("EUR m", None), ("€ million", "millions"), ("£'000", "thousands"), ("MX$", None), ("TL", None), ("₩ bn", "billions"), ("in KRW", None), ("⃂ 1", None), ("AED", None), ("QAR", None), ("RMB", None)]))
 def c11(spark, sf_dir):
     return _UNITS.df(spark).select("text", T.sniff_units(F.col("text")).alias("units"))
 
 
 @query("c12_whole_units", expected("text string, whole boolean", [(r[0], r[0] in ("(In US dollars)", "(Expressed in Mexican pesos)")) for r in _UNITS.rows]))
 def c12(spark, sf_dir):
-    return _UNITS.df(spark).select("text", F.col("text").rlike("(?i)" + T.WHOLE).alias("whole"))
+    return _UNITS.df(spark).select("text", T.states_whole_units(F.col("text")).alias("whole"))
 
 
-@query("c13_currency", expected("text string, currency string", [("in Rs. crores", "INR"), ("Rs in lakhs", "INR"), ("SAR '000", "SAR"), ("US$ million", "USD"), ("(In US dollars)", None), ("(Expressed in Mexican pesos)", None), ("in thousands of CLP", "CLP"), ("HK$ bn", "HKD"), ("miles de millones", None), ("nothing", None)]))
+@query("c13_currency", expected("text string, currency string", [("in Rs. crores", "INR"), ("Rs in lakhs", "INR"), ("SAR '000", "SAR"), ("US$ million", "USD"), ("(In US dollars)", None), ("(Expressed in Mexican pesos)", None), ("in thousands of CLP", "CLP"), ("HK$ bn", "HKD"), ("miles de millones", None), ("nothing", None), ("EUR m", "EUR"), ("€ million", "EUR"), ("£'000", "GBP"), ("MX$", "MXN"), ("TL", "TRY"), ("₩ bn", "KRW"), ("in KRW", "KRW"), ("⃂ 1", "SAR"), ("AED", "AED"), ("QAR", "QAR"), ("RMB", "CNY")]))
 def c13(spark, sf_dir):
     return _UNITS.df(spark).select("text", T.sniff_currency(F.col("text")).alias("currency"))
 
@@ -225,8 +225,7 @@ _AS_ISO = Table("v string", [("2026-06-30",), ("2026-06-15 00:00:00",), ("Jun 20
 def c25(spark, sf_dir):
     from ..functions import periods as P
 
-    text = P.month_end(F.nullif(F.regexp_extract("v", P.MONTH_COMMA_YEAR, 2), F.lit("")).cast("int"), P.month_number(F.nullif(F.regexp_extract("v", P.MONTH_COMMA_YEAR, 1), F.lit(""))))
-    return _AS_ISO.df(spark).select("v", F.coalesce(F.col("v").try_cast("date"), text).alias("iso"))
+    return _AS_ISO.df(spark).select("v", F.coalesce(F.col("v").try_cast("date"), P.month_and_year(F.col("v"))).alias("iso"))
 
 
 _PAGE = Table("page int, text string", [(1, "Intro words here\nConsolidated income statement\nSAR '000\nRevenue 10,000 9,000\nCosts (5,000) (4,000)\nProfit 5,000 5,000\nclosing words")])

@@ -19,9 +19,8 @@ _DEAL = Table("id int, phrases array<int>, dates array<string>", [(1, [3], ["a",
 @query("b3_phrases_over_dates", expected("id int, pos int, months int, d string", [(1, 0, 3, "a"), (1, 1, 3, "b"), (2, 0, 3, "a"), (2, 1, 3, "b"), (2, 2, 9, "c"), (2, 3, 9, "d")]))
 def b3(spark, sf_dir):
     """k phrases over n dates, if k divides n: n / k dates each, in printed order."""
-    t = _DEAL.df(spark).where(F.size("dates") % F.size("phrases") == 0)
-    dealt = F.transform("dates", lambda d, i: F.struct(F.get("phrases", F.floor(i * F.size("phrases") / F.size("dates")).cast("int")).alias("months"), d.alias("d")))
-    return t.select("id", F.posexplode(dealt).alias("pos", "x")).select("id", "pos", "x.months", "x.d")
+    t = _DEAL.df(spark)
+    return t.select("id", F.posexplode(P.deal(F.col("phrases"), F.col("dates"))).alias("pos", "x")).select("id", "pos", F.col("x.phrase").alias("months"), F.col("x.date").alias("d"))
 
 
 @query("b11_numeric_ranges", """
@@ -43,7 +42,7 @@ def b12(spark, sf_dir):
 def b12_lines(spark, sf_dir):
     """Several ranges of one header line, newest first."""
     t = Table("line string", [("2026-04-01 - 2026-06-30 | 2025-04-01 - 2025-06-30 | 2026-01-01 - 2026-06-30",)]).df(spark)
-    ranges = t.select(F.explode(F.regexp_extract_all("line", F.lit(P.ISO_RANGE), 0)).alias("h")).withColumn("p", P.parse_header(F.col("h"))).select("p.months", "p.end")
+    ranges = t.select(F.explode(F.regexp_extract_all("line", F.lit(P.ISO_SPAN), 0)).alias("h")).withColumn("p", P.parse_header(F.col("h"))).select("p.months", "p.end")
     return ranges.select((F.row_number().over(Window.orderBy(F.desc("end"), "months")) - 1).alias("pos"), "months", "end")
 
 

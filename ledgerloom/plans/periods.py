@@ -50,13 +50,7 @@ _FLAT = Table("id int, flat string", [(1, "April - June 2026 April - June 2025 J
 @query("b2_block_headers", expected("id int, pos int, months int, end date", [(1, 0, 3, "2026-06-30"), (1, 1, 3, "2025-06-30"), (1, 2, 6, "2026-06-30"), (1, 3, 6, "2025-06-30"), (2, 0, 3, "2026-06-30"), (2, 1, 3, "2025-06-30"), (2, 2, 9, "2026-09-30"), (2, 3, 9, "2025-09-30"), (3, 0, 3, "2026-06-30"), (3, 1, 3, "2025-06-30"), (4, 0, 6, "2026-06-30"), (4, 1, 6, "2025-06-30"), (5, 0, None, "2026-06-30"), (5, 1, None, "2025-12-31")]))
 def b2(spark, sf_dir):
     """The first family of forms that a header block has decides; phrases are dealt over dates in printed order."""
-    whole = lambda pattern: F.regexp_extract_all("flat", F.lit(pattern), 0)
-    dates, phrases = whole(P.FULL_DATE), whole(P.MONTHS_PHRASE)
-    dealt = F.transform(dates, lambda d, i: F.concat(F.get(phrases, F.floor(i / (F.size(dates) / F.size(phrases))).cast("int")), F.lit(" "), d))
-    fits = (F.size(phrases) > 0) & (F.size(dates) > 0) & (F.size(dates) % F.greatest(F.size(phrases), F.lit(1)) == 0)
-    some = lambda a: F.when(F.size(a) > 0, a)
-    found = F.coalesce(some(whole(P.RANGE)), F.when(fits, dealt), some(whole(P.QUARTER)), some(whole(P.HALF)), some(dates))
-    return _FLAT.df(spark).select("id", F.posexplode(found).alias("pos", "h")).withColumn("p", P.parse_header(F.col("h"))).select("id", "pos", "p.months", "p.end")
+    return _FLAT.df(spark).select("id", F.posexplode(P.header_texts(F.col("flat"))).alias("pos", "h")).withColumn("p", P.parse_header(F.col("h"))).select("id", "pos", "p.months", "p.end")
 
 
 @query("b4_month_span", "SELECT a.m AS start_month, b.m AS end_month, CAST(((b.m - a.m) % 12 + 12) % 12 + 1 AS INTEGER) AS months FROM (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m) a, (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m) b")
@@ -108,9 +102,7 @@ _DAY_FIRST = Table("stmt int, col int, header string", [(1, 0, "03/04/2026"), (1
 @query("b14_statement_headers", expected("stmt int, col int, end date", [(1, 0, "2026-04-03"), (1, 1, "2025-12-31"), (2, 0, "2026-03-04"), (2, 1, "2025-12-31"), (3, 0, "2026-04-03")]))
 def b14(spark, sf_dir):
     """One column whose values settle the order of day and month settles it for the statement."""
-    a, b = (F.regexp_extract("header", P.NUMERIC, i).cast("int") for i in (1, 2))
-    own = F.when(a > 12, True).when(b > 12, False)
-    settled = F.first(own, ignorenulls=True).over(Window.partitionBy("stmt").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    settled = F.first(P.settles_day_first(F.col("header")), ignorenulls=True).over(Window.partitionBy("stmt").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return _DAY_FIRST.df(spark).withColumn("day_first", settled).select("stmt", "col", P.numeric_date(F.col("header"), F.col("day_first")).alias("end"))
 
 
@@ -140,7 +132,7 @@ def b16(spark, sf_dir):
 @query("b17_default_span", expected("stmt int, col int, months int", [(r[0], r[1], r[3] if r[3] or not r[4] or not r[5] or "YTD" in r[2] else 3) for r in _COLS.rows]))
 def b17(spark, sf_dir):
     """A span printed once above the columns goes to dated ones without a span, unless their header says year to date."""
-    default = F.when(F.col("flow") & F.col("end").isNotNull() & ~F.col("header").rlike(P.YTD), F.lit(3))
+    default = F.when(F.col("flow") & F.col("end").isNotNull() & ~P.says_to_date(F.col("header")), F.lit(3))
     return _COLS.df(spark).select("stmt", "col", F.coalesce("months", default).alias("months"))
 
 
@@ -180,7 +172,7 @@ _BARE = Table("stmt int, col int, header string, title string, flow boolean", [(
 def b22(spark, sf_dir):
     """If every header is a bare year, the month comes from the title."""
     bare = F.min(F.col("header").rlike(r"^(19|20)\d{2}$")).over(Window.partitionBy("stmt"))
-    month = P.month_number(F.regexp_extract("title", P.FULL_DATE, 2))
+    month = P.month_in_date(F.col("title"))
     df = _BARE.df(spark).withColumn("bare", bare)
     return df.select("stmt", "col", F.when(F.col("bare") & F.col("flow"), month).alias("months"), F.when(F.col("bare"), P.month_end(F.col("header").try_cast("int"), month)).alias("end"))
 
@@ -202,7 +194,7 @@ _ONE_LINE = Table("stmt int, line string", [(1, "Particulars Jun-26 Mar-26 Jun-2
 
 @query("b24_month_year_line", expected("stmt int, pos int, header string", [(1, 0, "Jun-26"), (1, 1, "Mar-26"), (1, 2, "Jun-25"), (1, 3, "Growth")]))
 def b24(spark, sf_dir):
-    dates = F.regexp_extract_all("line", F.lit(P.MONTH_DASH_YEAR), 0)
+    dates = F.regexp_extract_all("line", F.lit(P.month_dash_year()), F.lit(0))
     tail = F.trim(F.regexp_extract("line", r".*[A-Za-z]{3,9}[-'’]\d{2}\b(.*)$", 1))
     return _ONE_LINE.df(spark).select("stmt", F.posexplode(F.concat(dates, F.when(tail != "", F.array(tail)).otherwise(F.array().cast("array<string>")))).alias("pos", "header"))
 
@@ -217,7 +209,7 @@ def b25(spark, sf_dir):
     cover = _COVER.df(spark).agg(F.countDistinct("end").alias("n"), F.max("end").alias("cover")).where("n = 1").withColumn("one", F.lit(1))
     df = _UNDATED.df(spark).withColumn("one", F.lit(1)).join(F.broadcast(cover), "one", "left")
     y = F.coalesce(F.regexp_extract("header", r"((?:19|20)\d{2})", 1).try_cast("int"), F.year("cover"))
-    return df.select("stmt", "col", F.coalesce("end", P.month_end(y, F.month("cover"))).alias("end"), F.coalesce("months", F.when(F.col("header").rlike(P.YTD), F.month("cover"))).alias("months"))
+    return df.select("stmt", "col", F.coalesce("end", P.month_end(y, F.month("cover"))).alias("end"), F.coalesce("months", F.when(P.says_to_date(F.col("header")), F.month("cover"))).alias("months"))
 
 
 _GROUPS = Table("stmt int, col int, header string", [(1, 0, "2026"), (1, 1, "2025"), (1, 2, "H1 2026"), (1, 3, "H1 2025")])
