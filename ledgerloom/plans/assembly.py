@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assembly as A
 from ..operators import verify as V
-from .registry import Table, expected, load, query
+from .registry import Table, each, expected, load, query
 
 _PAGE = Table("page int, ln int, line string", [
     (1, 0, "Income statement ........ 5"), (1, 1, "Consolidated statement of income"), (1, 2, "For the three months ended 30 June 2026"), (1, 3, "SAR '000"), (1, 4, "Revenue 10,000 9,000"), (1, 5, "Cost of sales and"), (1, 6, "services rendered (5,000) (4,000)"), (1, 7, "Statement of nothing"),
@@ -16,27 +15,24 @@ _PAGE = Table("page int, ln int, line string", [
 ])
 
 
-@query("e1_title_and_heading", expected("page int, title string, heading string", [(1, "Consolidated statement of income", "For the three months ended 30 June 2026"), (2, None, None)]))
+_DOC = ["company"]
+
+
+@query("e1_title_and_heading", each("page int, title string, heading string", [(1, "Consolidated statement of income", "For the three months ended 30 June 2026"), (2, None, None)]))
 def e1(spark, sf_dir):
-    """Title and heading among the first twelve lines, before the first row of figures; contents lines are none."""
-    return A.title_and_heading(_PAGE.df(spark))
+    """Contents lines are no titles."""
+    return A.title_and_heading(_PAGE.across(spark, sf_dir), _DOC)
 
 
-@query("e2_header_block", expected("page int, block string", [(1, "Income statement ........ 5\nConsolidated statement of income\nFor the three months ended 30 June 2026\nSAR '000"), (2, "Notes to the accounts\nSome prose about the business")]))
+@query("e2_header_block", f"""
+    SELECT company, page, string_agg(line, chr(10) ORDER BY ln) AS block FROM {_PAGE.sql_across()} WHERE ln < CASE page WHEN 1 THEN 4 ELSE 10 END GROUP BY company, page""")
 def e2(spark, sf_dir):
-    """At most sixteen lines up to the first row of figures, else ten."""
-    first = F.min(F.when(T.is_data_row(F.col("line")), F.col("ln"))).over(Window.partitionBy("page"))
-    cut = _PAGE.df(spark).withColumn("stop", F.coalesce(F.least(first, F.lit(16)), F.lit(10))).where("ln < stop")
-    return cut.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("block"))
+    return A.header_blocks(_PAGE.across(spark, sf_dir), _DOC)
 
 
-@query("e3_body_rows", expected("caption string, values array<double>", [("Revenue", [10000.0, 9000.0]), ("Cost of sales and services rendered", [-5000.0, -4000.0])]))
+@query("e3_body_rows", each("caption string, values array<double>", [("Revenue", [10000.0, 9000.0]), ("Cost of sales and services rendered", [-5000.0, -4000.0])]))
 def e3(spark, sf_dir):
-    """Rows of figures; a wrapped caption is joined with the line before it."""
-    w = Window.partitionBy("page").orderBy("ln")
-    rows = _PAGE.df(spark).withColumn("before", F.lag("line").over(w)).where(T.is_data_row(F.col("line"))).withColumn("r", T.parse_row(F.col("line")))
-    wrapped = F.col("r.caption").rlike("^[a-z]") & ~T.is_data_row(F.col("before"))
-    return rows.select(F.when(wrapped, F.concat_ws(" ", "before", "r.caption")).otherwise(F.col("r.caption")).alias("caption"), "r.values")
+    return A.body_rows(_PAGE.across(spark, sf_dir), _DOC).select("company", "caption", "values")
 
 
 _TEXT_ROWS = Table("caption string, v double", [("Revenue", 1.0), ("Revenue", 1.0), ("Costs", 2.0), ("Tax", 3.0)])
@@ -49,18 +45,22 @@ def e3_multiset(spark, sf_dir):
     return _TEXT_ROWS.df(spark).exceptAll(_PIPE_ROWS.df(spark))
 
 
-@query("e4_extract_statement", expected("page int, n_rows long, kept boolean", [(1, 2, False), (2, 0, False), (3, 3, True)]))
+_MORE = Table("page int, ln int, line string", [(3, 0, "Revenue 10,000 9,000"), (3, 1, "Costs (5,000) (4,000)"), (3, 2, "Profit 5,000 5,000"), (3, 3, "end")])
+
+
+@query("e4_extract_statement", f"""
+    SELECT company, page, count(CASE WHEN regexp_matches(line, '[0-9],[0-9]{{3}}.* ') THEN 1 END) AS n_rows, count(CASE WHEN regexp_matches(line, '[0-9],[0-9]{{3}}.* ') THEN 1 END) >= 3 AS kept
+    FROM (SELECT * FROM {_PAGE.sql_across()} UNION ALL SELECT * FROM {_MORE.sql_across()}) GROUP BY company, page""")
 def e4(spark, sf_dir):
-    """A page is a statement from three captioned rows of figures on."""
-    more = Table("page int, ln int, line string", [(3, 0, "Revenue 10,000 9,000"), (3, 1, "Costs (5,000) (4,000)"), (3, 2, "Profit 5,000 5,000"), (3, 3, "end")]).df(spark)
-    rows = F.count(F.when(T.is_data_row(F.col("line")), T.parse_row(F.col("line"))))
-    return _PAGE.df(spark).unionByName(more).groupBy("page").agg(rows.alias("n_rows"), (rows >= 3).alias("kept"))
+    return A.statement_pages(_PAGE.across(spark, sf_dir).unionByName(_MORE.across(spark, sf_dir)), _DOC)
+
 
+_TEXT = Table("page int, ln int, line string", [(1, 0, "text"), (1, 1, "Reconciliation of EBITDA"), (1, 2, "Profit 1,000 900"), (2, 0, "reconciliation  of cash"), (2, 1, "irreconciliation of")])
 
-@query("e5_embedded_tables", expected("page int, ln int, kind string", [(1, 1, "summary")]))
+
+@query("e5_embedded_tables", f"SELECT company, page, ln, 'summary' AS kind FROM {_TEXT.sql_across()} WHERE regexp_matches(lower(line), '(^| )reconciliation +of ')")
 def e5(spark, sf_dir):
-    pages = Table("page int, ln int, line string", [(1, 0, "text"), (1, 1, "Reconciliation of EBITDA"), (1, 2, "Profit 1,000 900")]).df(spark)
-    return pages.where(F.col("line").rlike(r"(?i)\breconciliation\s+of\b")).select("page", "ln", F.lit("summary").alias("kind"))
+    return A.embedded_tables(_TEXT.across(spark, sf_dir), _DOC)
 
 
 _PAGES = Table("stmt int, page int, kind string, title string, sig string, untitled boolean", [
@@ -69,16 +69,22 @@ _PAGES = Table("stmt int, page int, kind string, title string, sig string, untit
 ])
 
 
-@query("e6_continuation_append", expected("head int, n long, pages array<int>", [(1, 1, [4]), (2, 1, [5]), (3, 1, [6]), (4, 1, [8]), (5, 2, [9, 10]), (7, 1, [11])]))
+_RUNS = f"""
+    WITH p AS (SELECT *, lag(page) OVER w AS pp, lag(sig) OVER w AS ps, lag(kind) OVER w AS pk, trim(replace(lower(title), '(continued)', '')) AS f, lag(trim(replace(lower(title), '(continued)', ''))) OVER w AS pf FROM {_PAGES.sql_across()} WINDOW w AS (PARTITION BY company ORDER BY page)),
+    n AS (SELECT *, CASE WHEN page = pp + 1 AND sig = ps AND (untitled OR %s) THEN 0 ELSE 1 END AS new FROM p), r AS (SELECT *, sum(new) OVER (PARTITION BY company ORDER BY page) AS run FROM n)
+    SELECT company, arg_min(stmt, page) AS head, count(*) AS n, '[' || string_agg(page, '|' ORDER BY page) || ']' AS pages FROM r GROUP BY company, run"""
+
+
+@query("e6_continuation_append", _RUNS % "false")
 def e6(spark, sf_dir):
     """An untitled next page with the same periods belongs to the statement before it: gaps and islands."""
-    return A.continuations(_PAGES.df(spark), untitled_only=True)
+    return A.continuations(_PAGES.across(spark, sf_dir), _DOC, untitled_only=True)
 
 
-@query("e7_continued_view", expected("head int, n long, pages array<int>", [(1, 2, [4, 5]), (3, 1, [6]), (4, 1, [8]), (5, 2, [9, 10]), (7, 1, [11])]))
+@query("e7_continued_view", _RUNS % "(kind = pk AND coalesce(starts_with(f, pf) OR ends_with(pf, f), false))")
 def e7(spark, sf_dir):
     """Consecutive pages with the same kind, title (one may be the other's beginning) and periods are read as one."""
-    return A.continuations(_PAGES.df(spark), untitled_only=False)
+    return A.continuations(_PAGES.across(spark, sf_dir), _DOC, untitled_only=False)
 
 
 @query("e9_running_headers", "WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) SELECT line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 3")
@@ -91,50 +97,45 @@ def e9(spark, sf_dir):
 _NOTES = Table("ln int, line string", [(0, "intro"), (1, "10. SEGMENT REPORTING"), (2, "30 June 2026"), (3, "Retail 1,000 2,000 3,000"), (4, "30 June 2025"), (5, "Retail 900 - 900"), (6, "11. PROPERTY"), (7, "Land 5,000 5,000")])
 
 
-@query("e10_note_blocks", expected("note int, n_lines long", [(10, 5), (11, 2)]))
+_NOTED = f"""
+    WITH l AS (SELECT *, last_value(TRY_CAST(nullif(regexp_extract(line, '^([0-9]{{1,2}})\\. +[A-Z ]{{4,}}$', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY company ORDER BY ln ROWS UNBOUNDED PRECEDING) AS note FROM {_NOTES.sql_across()})"""
+
+
+@query("e10_note_blocks", _NOTED + " SELECT company, note, count(*) AS n_lines FROM l WHERE note IS NOT NULL GROUP BY company, note")
 def e10(spark, sf_dir):
-    """Numbered headings in capitals delimit notes: the last heading above is carried forward."""
-    note = F.nullif(F.regexp_extract("line", r"^(\d{1,2})\.\s+[A-Z ]{4,}$", 1), F.lit("")).cast("int")
-    filled = F.last(note, ignorenulls=True).over(Window.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0))
-    return _NOTES.df(spark).withColumn("note", filled).where("note is not null").groupBy("note").agg(F.count("*").alias("n_lines"))
+    """The last heading above is carried forward."""
+    return A.noted(_NOTES.across(spark, sf_dir), _DOC).where("note is not null").groupBy("company", "note").agg(F.count("*").alias("n_lines"))
 
 
-@query("e11_note_tables", expected("note int, end date, caption string, values array<double>", [(10, "2026-06-30", "Retail", [1000.0, 2000.0, 3000.0]), (10, "2025-06-30", "Retail", [900.0, None, 900.0])]))
+@query("e11_note_tables", each("note int, end date, caption string, values array<double>", [(10, "2026-06-30", "Retail", [1000.0, 2000.0, 3000.0]), (10, "2025-06-30", "Retail", [900.0, None, 900.0])]))
 def e11(spark, sf_dir):
-    """One table for each note and period heading above its rows."""
-    from ..functions.periods import parse_header
+    return A.note_tables(_NOTES.across(spark, sf_dir), _DOC).select("company", "note", "end", "caption", "values")
 
-    w = Window.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    note = F.last(F.nullif(F.regexp_extract("line", r"^(\d{1,2})\.\s+[A-Z ]{4,}$", 1), F.lit("")).cast("int"), ignorenulls=True).over(w)
-    dated = F.when(F.col("line").rlike(r"^\d{1,2} [A-Z][a-z]+ \d{4}$"), parse_header(F.col("line"))["end"])
-    df = _NOTES.df(spark).withColumn("note", note).withColumn("end", F.last(dated, ignorenulls=True).over(w)).withColumn("r", T.parse_row(F.col("line")))
-    return df.where("r is not null and note = 10").where(~F.col("line").rlike(r"^\d{1,2}\.? ")).select("note", "end", "r.caption", "r.values")
 
+_SHORT = Table("id int, values array<double>, width int", [(1, [-1222.0, -1222.0], 5), (2, [5.0, 9.0], 5), (3, [1.0, 2.0, 3.0, 4.0, 10.0], 5)])
 
-@query("e11_right_align", expected("id int, values array<double>", [(1, [None, None, None, -1222.0, -1222.0]), (2, None), (3, [1.0, 2.0, 3.0, 4.0, 10.0])]))
+
+@query("e11_right_align", f"""
+    WITH t AS (SELECT *, abs("values"[-1] - list_sum("values"[:-2])) <= 0.02 * abs("values"[-1]) AS agrees FROM {_SHORT.sql_across(["values"])}),
+    a AS (SELECT company, id, CASE WHEN len("values") = width THEN "values" WHEN agrees THEN list_concat(list_transform(range(width - len("values")), lambda i: CAST(NULL AS DOUBLE)), "values") END AS v FROM t)
+    SELECT company, id, CASE WHEN v IS NOT NULL THEN '[' || array_to_string(list_transform(v, lambda x: CASE WHEN x IS NULL THEN 'null' ELSE printf('%.4f', x) END), '|') || ']' END AS "values" FROM a""")
 def e11_align(spark, sf_dir):
-    """A short row is aligned right if its total agrees."""
-    t = Table("id int, values array<double>, width int", [(1, [-1222.0, -1222.0], 5), (2, [5.0, 9.0], 5), (3, [1.0, 2.0, 3.0, 4.0, 10.0], 5)]).df(spark)
-    parts = F.aggregate(F.slice("values", 1, F.size("values") - 1), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    agree = F.abs(F.element_at("values", -1) - parts) <= 0.02 * F.abs(F.element_at("values", -1))
-    padded = F.concat(F.array_repeat(F.lit(None).cast("double"), F.col("width") - F.size("values")), F.col("values"))
-    return t.select("id", F.when(F.size("values") == F.col("width"), F.col("values")).when(agree, padded).alias("values"))
+    return _SHORT.across(spark, sf_dir, ["values"]).select("company", "id", A.right_align(F.col("values"), F.col("width")).alias("values"))
 
 
-@query("e12_note_columns", expected("w int, headers array<string>", [(1, ["Total"]), (3, ["segment 1", "segment 2", "Total"])]))
+@query("e12_note_columns", "SELECT w, '[' || array_to_string(list_concat(list_transform(range(1, w), lambda i: 'segment ' || i), ['Total']), '|') || ']' AS headers FROM (SELECT DISTINCT CAST(p_size AS INTEGER) AS w FROM part)")
 def e12(spark, sf_dir):
-    t = Table("w int", [(1,), (3,)]).df(spark)
-    return t.select("w", F.transform(F.sequence(F.lit(1), F.col("w")), lambda i: F.when(i == F.col("w"), F.lit("Total")).otherwise(F.concat(F.lit("segment "), i))).alias("headers"))
+    """For as many columns as the parts have sizes."""
+    return load(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("w")).distinct().select("w", A.note_columns(F.col("w")).alias("headers"))
 
 
 _UNITS = Table("doc int, stmt int, page int, is_note boolean, units string", [(1, 1, 3, False, None), (1, 2, 5, False, "thousands"), (1, 3, 9, True, "millions"), (2, 1, 2, True, "units"), (3, 1, 2, False, None)])
 
 
-@query("e13_document_units", expected("doc int, units string, disagree boolean", [(1, "thousands", True), (2, "units", False), (3, None, False)]))
+@query("e13_document_units", f"""
+    SELECT company, doc, arg_min(units, page + CASE WHEN is_note THEN 1000 ELSE 0 END) FILTER (units IS NOT NULL) AS units, count(DISTINCT units) > 1 AS disagree FROM {_UNITS.sql_across()} GROUP BY company, doc""")
 def e13(spark, sf_dir):
-    """The first readable statement that names a scale, primary ones before notes; a disagreement is a warning."""
-    t = _UNITS.df(spark)
-    return t.groupBy("doc").agg(F.min_by("units", F.when(F.col("units").isNotNull(), F.struct("is_note", "page"))).alias("units"), (F.countDistinct("units") > 1).alias("disagree"))
+    return A.document_units(_UNITS.across(spark, sf_dir), ["company", "doc"])
 
 
 @query("e14_rounding_proof", "SELECT l_suppkey, count(*) >= 20 AND avg(CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 THEN 1.0 ELSE 0.0 END) >= 0.25 AS rounded FROM lineitem GROUP BY l_suppkey")
@@ -148,12 +149,11 @@ _DOCS = Table("doc string, readable int, units string", [("b.pdf", 3, "thousands
 _STMTS = Table("doc string, stmt int, units string", [("a.pdf", 1, None), ("b.pdf", 1, None), ("c.pdf", 1, "millions")])
 
 
-@query("e15_filing_merge", expected("doc string, stmt int, units string, lead boolean", [("a.pdf", 1, None, False), ("b.pdf", 1, "thousands", False), ("c.pdf", 1, "millions", True)]))
+@query("e15_filing_merge", f"""
+    WITH d AS (SELECT * FROM {_DOCS.sql_across()}), l AS (SELECT company, doc, row_number() OVER (PARTITION BY company ORDER BY readable DESC, doc DESC) = 1 AS lead FROM d)
+    SELECT s.company, s.doc, s.stmt, coalesce(s.units, d.units) AS units, lead FROM {_STMTS.sql_across()} s JOIN d ON s.company = d.company AND s.doc = d.doc JOIN l ON s.company = l.company AND s.doc = l.doc""")
 def e15(spark, sf_dir):
-    """Statements of all filings, each with its own scale or its document's; the fullest filing leads, later paths first (K3)."""
-    lead = _DOCS.df(spark).agg(F.max_by("doc", F.struct("readable", "doc")).alias("lead_doc")).withColumn("one", F.lit(1))
-    t = _STMTS.df(spark).withColumnRenamed("units", "own").join(_DOCS.df(spark), "doc").withColumn("one", F.lit(1)).join(F.broadcast(lead), "one")
-    return t.select("doc", "stmt", F.coalesce("own", "units").alias("units"), (F.col("doc") == F.col("lead_doc")).alias("lead"))
+    return A.merge_filings(_DOCS.across(spark, sf_dir), _STMTS.across(spark, sf_dir), _DOC)
 
 
 @query("e16_same_period", "SELECT o_custkey, count(DISTINCT year(o_orderdate)) = 1 AS same FROM orders GROUP BY o_custkey")
@@ -167,57 +167,63 @@ _READ = Table("row int, caption string, values array<double>", [(0, "Trade recei
 _WITNESS = Table("ln int, line string", [(0, "Trade receivabies 36,929 100"), (1, "Inventories 466 200"), (2, "Cash 1,000 300")])
 
 
-@query("i1_witness_match", expected("row int, col int, confirmed boolean", [(0, 0, False), (0, 1, True), (1, 0, False), (1, 1, True), (2, 0, True), (2, 1, True)]))
+@query("i1_witness_match", each("row int, col int, confirmed boolean", [(0, 0, False), (0, 1, True), (1, 0, False), (1, 1, True), (2, 0, True), (2, 1, True)]))
 def i1(spark, sf_dir):
-    """A figure is confirmed if the best witness line (most figures, then most words in common) prints it."""
-    return V.witness(_READ.df(spark), _WITNESS.df(spark)).select("row", "col", "confirmed")
+    return V.witness(_READ.across(spark, sf_dir), _WITNESS.across(spark, sf_dir), _DOC).select("company", "row", "col", "confirmed")
 
 
-_SUBTOTALS = Table("ord int, caption string, v double, best double", [(0, "Receivables", 35929.0, 36929.0), (1, "Inventories", 465.0, 466.0), (2, "Cash", 1000.0, 1000.0), (3, "", 38394.0, None), (4, "Land", 10.0, None), (5, "Plant", 20.0, None), (6, "", 30.0, None)])
+_SUBTOTALS = Table("ord int, caption string, v double, best double", [(0, "Receivables", 35929.0, 36929.0), (1, "Inventories", 465.0, 466.0), (2, "Cash", 1000.0, 1000.0), (3, "", 38394.0, None), (4, "Land", 10.0, None), (5, "Plant", 20.0, None), (6, "", 30.0, None), (7, "Open", 1.0, None)])
 
 
-@query("i2_subtotal_repair", expected("caption string, v double, status string", [("Receivables", 36929.0, "corrected"), ("Inventories", 465.0, "confirmed"), ("Cash", 1000.0, "confirmed"), ("Land", 10.0, "confirmed"), ("Plant", 20.0, "confirmed")]))
+@query("i2_subtotal_repair", f"""
+    WITH b AS (SELECT *, coalesce(sum(CASE WHEN caption = '' THEN 1 ELSE 0 END) OVER (PARTITION BY company ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM {_SUBTOTALS.sql_across(["v", "best"])}),
+    g AS (SELECT *, max(v) FILTER (caption = '') OVER o - sum(v) FILTER (caption <> '') OVER o AS gap FROM b WINDOW o AS (PARTITION BY company, block)),
+    m AS (SELECT *, coalesce(abs(gap) > 0.5 AND caption <> '' AND abs(v + gap - best) <= 0.5, false) AS mends FROM g), n AS (SELECT *, count(*) FILTER (mends) OVER (PARTITION BY company, block) AS k FROM m)
+    SELECT company, caption, CASE WHEN mends AND k = 1 THEN v + gap ELSE v END AS v, CASE WHEN mends AND k = 1 THEN 'corrected' WHEN gap IS NULL THEN 'open' WHEN abs(gap) <= 0.5 OR k = 1 THEN 'confirmed' ELSE 'unverified' END AS status FROM n WHERE caption <> ''""")
 def i2(spark, sf_dir):
     """A block's uncaptioned subtotal confirms its lines; if it does not, the only single witness figure that mends the sum is taken."""
-    return V.subtotals(_SUBTOTALS.df(spark)).select("caption", "v", "status")
+    return V.subtotals(_SUBTOTALS.across(spark, sf_dir, ["v", "best"]), _DOC).select("company", "caption", "v", "status")
+
+
+_INCOME = Table("ord int, kind string, v double", [(0, "line", 7.0), (1, "subtotal", 100.0), (2, "subtotal", 60.0), (3, "line", 40.0), (4, "subtotal", 10.0), (5, "subtotal", 3.0), (6, "line", 8.0)])
 
 
-@query("i3_income_less_expense", expected("ord int, confirmed boolean", [(3, True), (6, False)]))
+@query("i3_income_less_expense", f"""
+    WITH w AS (SELECT *, lag(v, 2) OVER o AS a, lag(v) OVER o AS b, lag(kind) OVER o = 'subtotal' AND lag(kind, 2) OVER o = 'subtotal' AS two FROM {_INCOME.sql_across(["v"])} WINDOW o AS (PARTITION BY company ORDER BY ord))
+    SELECT company, ord, abs(a - b - v) <= 0.5 AS confirmed FROM w WHERE kind = 'line' AND two""")
 def i3(spark, sf_dir):
-    """The line after two subtotals is their difference."""
-    t = Table("ord int, kind string, v double", [(1, "subtotal", 100.0), (2, "subtotal", 60.0), (3, "line", 40.0), (4, "subtotal", 10.0), (5, "subtotal", 3.0), (6, "line", 8.0)]).df(spark)
-    w = Window.orderBy("ord")
-    return t.withColumn("a", F.lag("v", 2).over(w)).withColumn("b", F.lag("v").over(w)).where("kind = 'line'").select("ord", (F.abs(F.col("a") - F.col("b") - F.col("v")) <= 0.5).alias("confirmed"))
+    return V.income_less_expense(_INCOME.across(spark, sf_dir, ["v"]), _DOC)
+
+
+_PROFITS = Table("ord int, caption string, v double", [(0, "Gross profit", 100.0), (1, "Selling", 20.0), (2, "Admin", 30.0), (3, "Operating profit", 50.0), (4, "Tax", 10.0), (5, "Profit for the year", 45.0), (6, "Other", 1.0)])
 
 
-@query("i4_profit_chain", expected("p int, q int, holds boolean", [(0, 3, True), (3, 5, False)]))
+@query("i4_profit_chain", f"""
+    WITH t AS (SELECT *, lower(caption) LIKE '%profit%' AS is_profit FROM {_PROFITS.sql_across(["v"])}), p AS (SELECT company, ord, v, lead(ord) OVER w AS q, lead(v) OVER w AS w FROM t WHERE is_profit WINDOW w AS (PARTITION BY company ORDER BY ord))
+    SELECT p.company, p.ord AS p, p.q, abs(p.v - coalesce(sum(t.v), 0) - p.w) <= 0.5 AS holds FROM p LEFT JOIN t ON t.company = p.company AND t.ord > p.ord AND t.ord < p.q WHERE p.q IS NOT NULL GROUP BY p.company, p.ord, p.q, p.v, p.w""")
 def i4(spark, sf_dir):
-    """Between two profit lines: the first less what lies between is the second."""
-    t = Table("ord int, caption string, v double", [(0, "Gross profit", 100.0), (1, "Selling", 20.0), (2, "Admin", 30.0), (3, "Operating profit", 50.0), (4, "Tax", 10.0), (5, "Profit for the year", 45.0)]).df(spark)
-    is_profit = F.lower("caption").contains("profit")
-    chained = t.withColumn("island", F.sum(is_profit.cast("int")).over(Window.orderBy("ord")))
-    blocks = chained.groupBy("island").agg(F.min("ord").alias("p"), F.sum(F.when(is_profit, F.col("v"))).alias("start"), F.sum(F.when(~is_profit, F.col("v")).otherwise(0.0)).alias("between"))
-    w = Window.orderBy("island")
-    return blocks.withColumn("q", F.lead("p").over(w)).withColumn("end", F.lead("start").over(w)).where("q is not null").select("p", "q", (F.abs(F.col("start") - F.col("between") - F.col("end")) <= 0.5).alias("holds"))
+    return V.profit_chain(_PROFITS.across(spark, sf_dir, ["v"]), _DOC)
 
 
-@query("i5_printed_line_repair", expected("row int, values array<double>", [(0, [-909333911.0]), (1, [5.0])]))
+_ROWS_READ = Table("row int, caption string, values array<double>, digits int", [(0, "Costo de ventas y servicios", [-99333931.0], 9), (1, "Otros ingresos", [5.0], 1)])
+_PRINTED = Table("line string, v double, n int", [("Costo de ventas y servicios (909.333.911)", -909333911.0, 9), ("Otros ingresos a", 6.0, 1), ("Otros ingresos b", 7.0, 1)])
+
+
+@query("i5_printed_line_repair", f"""
+    WITH h AS (SELECT r.company, r."row", count(p.line) AS k, max(p.v) AS v FROM {_ROWS_READ.sql_across(["values"])} r LEFT JOIN {_PRINTED.sql_across(["v"])} p ON r.company = p.company AND starts_with(lower(p.line), lower(r.caption)) GROUP BY r.company, r."row")
+    SELECT r.company, r."row", '[' || printf('%.4f', CASE WHEN k = 1 THEN v ELSE r."values"[1] END) || ']' AS "values" FROM {_ROWS_READ.sql_across(["values"])} r JOIN h ON r.company = h.company AND r."row" = h."row" """)
 def i5(spark, sf_dir):
-    """The only printed line that begins with the caption's first words, with as many digits, replaces the figures."""
-    read = Table("row int, caption string, values array<double>, digits int", [(0, "Costo de ventas y servicios", [-99333931.0], 9), (1, "Otros ingresos", [5.0], 1)]).df(spark)
-    page = Table("line string, v double, n int", [("Costo de ventas y servicios (909.333.911)", -909333911.0, 9), ("Otros ingresos a", 6.0, 1), ("Otros ingresos b", 7.0, 1)]).df(spark)
-    first = F.array_join(F.slice(F.split(F.lower("caption"), " "), 1, 5), " ")
-    hits = read.withColumn("lead", first).withColumn("k", F.substring("lead", 1, 5)).join(page.withColumn("k", F.substring(F.lower("line"), 1, 5)), "k").where(F.startswith(F.lower("line"), F.col("lead")))
-    one = hits.groupBy("row").agg(F.count("*").alias("n_hits"), F.first("v").alias("v"))
-    return read.join(one, "row", "left").select("row", F.when(F.col("n_hits") == 1, F.array("v")).otherwise(F.col("values")).alias("values"))
+    return V.printed_line(_ROWS_READ.across(spark, sf_dir, ["values"]), _PRINTED.across(spark, sf_dir, ["v"]).drop("n"), _DOC).select("company", "row", "values")
+
+
+_SIGNS = Table("id int, values array<double>, printed array<double>", [(1, [5.0, 6.0], [-5.0, 6.0]), (2, [5.0, 6.0], [-5.0, 7.0])])
 
 
-@query("i6_sign_restoration", expected("id int, values array<double>", [(1, [-5.0, 6.0]), (2, [5.0, 6.0])]))
+@query("i6_sign_restoration", f"""
+    SELECT company, id, '[' || array_to_string(list_transform(CASE WHEN list_transform("values", lambda x: abs(x)) = list_transform(printed, lambda x: abs(x)) THEN printed ELSE "values" END, lambda x: printf('%.4f', x)), '|') || ']' AS "values" FROM {_SIGNS.sql_across(["values"])}""")
 def i6(spark, sf_dir):
-    """If all magnitudes agree with the printed line, its signs are taken."""
-    t = Table("id int, values array<double>, printed array<double>", [(1, [5.0, 6.0], [-5.0, 6.0]), (2, [5.0, 6.0], [-5.0, 7.0])]).df(spark)
-    agree = F.forall(F.zip_with("values", "printed", lambda a, b: F.abs(a) == F.abs(b)), lambda x: x)
-    return t.select("id", F.when(agree, F.col("printed")).otherwise(F.col("values")).alias("values"))
+    """Only companies whose figures aren't scaled agree with what is printed."""
+    return _SIGNS.across(spark, sf_dir, ["values"]).select("company", "id", V.restore_signs(F.col("values"), F.col("printed")).alias("values"))
 
 
 @query("i7_repair_acceptance", expected("line string, used string", [("Land 9 15,780 2 31,694 1,147,474", "Land 915,780 231,694 1,147,474"), ("Land 1 2,000 3 4,000 99,999", "Land 1 2,000 3 4,000 99,999")]))

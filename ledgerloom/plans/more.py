@@ -11,7 +11,7 @@ from ..operators import assembly as A
 from ..sources import packages
 from .assembly import _NOTES
 from .facts import QUARTERLY, quarterly
-from .registry import Table, expected, load, query
+from .registry import Table, each, expected, load, query
 
 _DEAL = Table("id int, phrases array<int>, dates array<string>", [(1, [3], ["a", "b"]), (2, [3, 9], ["a", "b", "c", "d"]), (3, [3, 9], ["a", "b", "c"])])
 
@@ -67,19 +67,17 @@ def a19(spark, sf_dir):
     return Table("row int, formula string, cached double", [(1, "=1+2", None), (2, "=A1", 3.0), (3, None, 5.0)]).df(spark).select("row", "formula", "cached", shown(F.col("cached"), F.col("formula")).alias("figure"))
 
 
-@query("e8_vision_continuation", expected("head int, n long, pages array<int>", [(1, 3, [1, 2, 3]), (4, 1, [4])]))
+@query("e8_vision_continuation", each("head int, n long, pages array<int>", [(1, 3, [1, 2, 3]), (4, 1, [4])]))
 def e8(spark, sf_dir):
     """The next page goes on with the same columns under the same title, or under none."""
     t = Table("stmt int, page int, kind string, title string, sig string, untitled boolean", [(1, 1, "equity", "Changes in equity", "x", False), (2, 2, "equity", "Changes in equity (continued)", "x", False), (3, 3, None, None, "x", True), (4, 4, "equity", "Changes in equity", "y", False)])
-    return A.continuations(t.df(spark), untitled_only=False)
+    return A.continuations(t.across(spark, sf_dir), ["company"], untitled_only=False)
 
 
-@query("e17_note_period_headings", expected("ln int, end date", [(3, "2026-06-30"), (5, "2025-06-30")]))
+@query("e17_note_period_headings", each("ln int, end date", [(3, "2026-06-30"), (5, "2025-06-30")]))
 def e17(spark, sf_dir):
     """A date alone on its line is the period of the rows below it."""
-    dated = F.when(F.col("line").rlike(r"^\d{1,2} [A-Z][a-z]+ \d{4}$"), P.parse_header(F.col("line"))["end"])
-    w = Window.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    return _NOTES.df(spark).withColumn("end", F.last(dated, ignorenulls=True).over(w)).where("line like 'Retail%'").select("ln", "end")
+    return A.noted(_NOTES.across(spark, sf_dir), ["company"]).where("line like 'Retail%'").select("company", "ln", "end")
 
 
 @query("f21_balance_or_flow", expected("section string, basis string, balance boolean", [(s, b, b == "point_in_time" or (b != "quarter" and s not in ("income_statement", "cash_flow"))) for s in ("income_statement", "cash_flow", "balance_sheet", "other") for b in (None, "quarter", "point_in_time")]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,19 @@ class Table:
         df = spark.createDataFrame(self.rows, raw)
         return df.select(*[df[n].cast(t).alias(n) for n, t in self.columns])
 
+    def across(self, spark: SparkSession, sf_dir: str, scale: Sequence[str] = ()) -> DataFrame:
+        """The rows once for each supplier, as if each had filed them; the columns ``scale`` are multiplied by its own number."""
+        rows = json.dumps([dict(zip((n for n, _ in self.columns), r, strict=True)) for r in self.rows])
+        fields = ", ".join(f"`{n}`: {t}" for n, t in self.columns)
+        df = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company"), F.explode(F.from_json(F.lit(rows), f"array<struct<{fields}>>")).alias("x")).select("company", "x.*")
+        times = F.col("company") % 7 + 1
+        return df.withColumns({c: F.transform(c, lambda v: v * times) if dict(self.columns)[c].startswith("array") else F.col(c) * times for c in scale})
+
+    def sql_across(self, scale: Sequence[str] = ()) -> str:
+        kinds = dict(self.columns)
+        shown = ", ".join(f'list_transform(f."{n}", lambda v: v * (s_suppkey % 7 + 1)) AS "{n}"' if n in scale and kinds[n].startswith("array") else f'f."{n}" * (s_suppkey % 7 + 1) AS "{n}"' if n in scale else f'f."{n}"' for n, _ in self.columns)
+        return f"(SELECT s_suppkey AS company, {shown} FROM supplier, {self.sql} f)"
+
     @property
     def sql(self) -> str:
         names = ", ".join(f'"{n}"' for n, _ in self.columns)
@@ -90,6 +104,11 @@ class Table:
         return f"(SELECT {casts} FROM (VALUES {rows}) AS v({names}))"
 
 
+def each(ddl: str, rows: Sequence[tuple]) -> str:
+    """Oracle SQL that states the results of one filing, for each supplier's."""
+    return f"SELECT s_suppkey AS company, e.* FROM supplier, ({expected(ddl, rows)}) e"
+
+
 def expected(ddl: str, rows: Sequence[tuple]) -> str:
     """Oracle SQL that states the results; arrays as flat() shows them."""
     kinds = [c.strip().split(" ", 1)[1] for c in ddl.split(", ")]
