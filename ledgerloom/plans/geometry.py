@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators.lookup import nearest_band, slots
 from .registry import Table, expected, query
 
 #: A page: a band line over a label line, then three body lines and prose.
@@ -69,12 +70,15 @@ def d6(spark, sf_dir):
     return G.assign(frags, ranges, 30.0).join(frags.select("frag", "text"), "frag").select("text", "col")
 
 
-@query("d7_bands", expected("label string, band string", [("2Q26", "QoQ"), ("2Q25", "QoQ"), ("6M26", "YTD"), ("6M25", "YTD")]))
+_BANDS = Table("page int, band string, x double", [(1, "QoQ", 120.0), (1, "YTD", 300.0), (2, "Other", 100.0)])
+_LABELS = Table("page int, label string, c double", [(1, "2Q26", 90.0), (1, "2Q25", 150.0), (1, "6M26", 270.0), (1, "6M25", 330.0), (2, "2Q26", 300.0)])
+
+
+@query("d7_bands", f"""
+    SELECT l.company, l.page, label, arg_min(band, abs(x - c)) AS band FROM {_LABELS.sql_across()} l JOIN {_BANDS.sql_across()} b ON l.company = b.company AND l.page = b.page GROUP BY l.company, l.page, label""")
 def d7(spark, sf_dir):
     """Band labels over a tier of labels: each column takes the nearest band's centre."""
-    bands = Table("page int, band string, x double", [(1, "QoQ", 120.0), (1, "YTD", 300.0)]).df(spark)
-    labels = Table("page int, label string, c double", [(1, "2Q26", 90.0), (1, "2Q25", 150.0), (1, "6M26", 270.0), (1, "6M25", 330.0)]).df(spark)
-    return labels.join(bands, "page").groupBy("label").agg(F.min_by("band", F.abs(F.col("x") - F.col("c"))).alias("band"))
+    return nearest_band(_LABELS.across(spark, sf_dir), _BANDS.across(spark, sf_dir), ["company", "page"])
 
 
 @query("d8_table_layout", expected("caption string, cells array<string>", [("Net sales", ["1,250", "1,100", "14 bp"]), ("- Costs", ["(900)", "-", None]), ("EBITDA", ["350", "300", "(3)"])]))
@@ -86,13 +90,15 @@ def d8(spark, sf_dir):
     return rows.select("caption", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.try_element_at("m", c)).alias("cells"))
 
 
-@query("d9_slot_by_position", expected("id int, slots array<double>", [(1, [5.0, None, 7.0]), (2, None)]))
+_LAYOUT_ROWS = Table("line int, cells array<double>", [(1, [5.0, None, 7.0]), (2, [1.0, 2.0, 3.0]), (3, [8.0, None, 9.0]), (4, [None, 8.0, 9.0])])
+_SHORT_ROWS = Table("id int, values array<double>", [(1, [5.0, 7.0]), (2, [8.0, 9.0]), (3, [4.0])])
+
+
+@query("d9_slot_by_position", f"""
+    WITH h AS (SELECT s.company, s.id, count(l.line) AS n, any_value(cells) AS cells FROM {_SHORT_ROWS.sql_across(["values"])} s LEFT JOIN {_LAYOUT_ROWS.sql_across(["cells"])} l ON s.company = l.company AND list_filter(cells, lambda x: x IS NOT NULL) = "values" GROUP BY s.company, s.id)
+    SELECT company, id, CASE WHEN n = 1 THEN '[' || array_to_string(list_transform(cells, lambda x: CASE WHEN x IS NULL THEN 'null' ELSE printf('%.4f', x) END), '|') || ']' END AS slots FROM h""")
 def d9(spark, sf_dir):
-    """A short row takes the columns of the one layout row that prints the same figures; of two such rows none."""
-    layout = Table("line int, cells array<double>", [(1, [5.0, None, 7.0]), (2, [1.0, 2.0, 3.0]), (3, [8.0, None, 9.0]), (4, [None, 8.0, 9.0])]).df(spark)
-    short = Table("id int, values array<double>", [(1, [5.0, 7.0]), (2, [8.0, 9.0])]).df(spark)
-    hits = short.join(layout.withColumn("values", F.filter("cells", lambda v: v.isNotNull())), "values").groupBy("id").agg(F.count("*").alias("n"), F.first("cells").alias("cells"))
-    return short.select("id").join(hits, "id", "left").select("id", F.when(F.col("n") == 1, F.col("cells")).alias("slots"))
+    return slots(_SHORT_ROWS.across(spark, sf_dir, ["values"]), _LAYOUT_ROWS.across(spark, sf_dir, ["cells"]), ["company"])
 
 
 @query("d10_alignment", "SELECT conv_id, CAST(count(CASE WHEN len(string_split(text, ' ')) >= 8 THEN 1 END) AS DOUBLE) / count(*) < 0.5 AS misaligned FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label, rescale
+from ..operators import lookup as L
 from ..operators import program
 from .facts import QUARTERLY, quarterly
 from .registry import Table, expected, load, query
@@ -55,12 +56,14 @@ def h1(spark, sf_dir):
     return quarterly(spark, sf_dir).groupBy("company", "period_end").agg(F.sum(signed).alias("value"))
 
 
-@query("h2_stacked_signs", expected("term string, sign int, body string", [("--A", 1, "A"), ("-+B", -1, "B"), ("- - -C", -1, "C"), ("D", 1, "D")]))
+_STACKED = Table("term string", [("--A",), ("-+B",), ("- - -C",), ("D",), ("+-  -E f",)])
+
+
+@query("h2_stacked_signs", f"""
+    SELECT company, term, CASE WHEN len(regexp_extract_all(regexp_extract(term, '^[-+ ]*'), '-')) % 2 = 1 THEN -1 ELSE 1 END AS sign, trim(ltrim(term, '+- ')) AS body FROM {_STACKED.sql_across()}""")
 def h2(spark, sf_dir):
-    t = Table("term string", [("--A",), ("-+B",), ("- - -C",), ("D",)]).df(spark)
-    lead = F.regexp_extract("term", r"^([+\-\s]*)", 1)
-    minus = F.length(lead) - F.length(F.replace(lead, F.lit("-")))
-    return t.select("term", F.when(minus % 2 == 1, -1).otherwise(1).alias("sign"), F.trim(F.regexp_replace("term", r"^[+\-\s]*", "")).alias("body"))
+    sign, body = L.signed_body(F.col("term"))
+    return _STACKED.across(spark, sf_dir).select("company", "term", sign.alias("sign"), body.alias("body"))
 
 
 @query("h3_cross_statement_terms", expected("row int, value double, reason string", [(1, 1005.0, None), (2, None, "span")]))
@@ -71,12 +74,14 @@ def h3(spark, sf_dir):
     return t.withColumn("own", own).groupBy("row").agg(F.bool_and(F.col("months").eqNullSafe(F.col("own.months"))).alias("ok"), F.sum(rescale(F.col("value"), F.col("units"), F.col("own.units"))).alias("v")).select("row", F.when(F.col("ok"), F.col("v")).alias("value"), F.when(~F.col("ok"), "span").alias("reason"))
 
 
-@query("h4_cross_column_terms", expected("row int, value double", [(1, 7.0)]))
+_BY_HEADER = Table("caption string, header string, value double", [("Cash", "Current", 3.0), ("Cash", "Non-current", 9.0), ("Debt", "Non-current", 4.0)])
+_HEADER_TERMS = Table("row int, caption string, header string", [(1, "Cash", "Current"), (1, "Debt", "Non-current"), (2, "Cash", "Non-current")])
+
+
+@query("h4_cross_column_terms", f"""
+    SELECT t.company, "row", sum(value) AS value FROM {_HEADER_TERMS.sql_across()} t JOIN {_BY_HEADER.sql_across(["value"])} c ON t.company = c.company AND t.caption = c.caption AND t.header = c.header GROUP BY t.company, "row" """)
 def h4(spark, sf_dir):
-    """Each term may name its own column by header."""
-    cells = Table("caption string, header string, value double", [("Cash", "Current", 3.0), ("Cash", "Non-current", 9.0), ("Debt", "Non-current", 4.0)]).df(spark)
-    terms = Table("row int, caption string, header string", [(1, "Cash", "Current"), (1, "Debt", "Non-current")]).df(spark)
-    return terms.join(cells, ["caption", "header"]).groupBy("row").agg(F.sum("value").alias("value"))
+    return L.column_terms(_HEADER_TERMS.across(spark, sf_dir), _BY_HEADER.across(spark, sf_dir, ["value"]), ["company"])
 
 
 @query("h5_constant_terms", expected("row int, value double", [(1, 12.5), (2, 4.0)]))
@@ -105,11 +110,14 @@ def h9(spark, sf_dir):
     return t.select("caption", F.when(both, F.col("printed")).otherwise(-F.col("printed")).alias("value"))
 
 
-@query("h10_dash_is_zero", expected("caption string, found boolean, value double", [("A", True, 0.0), ("B", True, 5.0), ("C", False, None)]))
+_DASHES = Table("caption string, value double", [("A", None), ("B", 5.0)])
+_ASKED = Table("caption string", [("A",), ("B",), ("C",)])
+
+
+@query("h10_dash_is_zero", f"""
+    SELECT w.company, w.caption, c.caption IS NOT NULL AS found, CASE WHEN c.caption IS NOT NULL THEN coalesce(value, 0) END AS value FROM {_ASKED.sql_across()} w LEFT JOIN {_DASHES.sql_across(["value"])} c ON w.company = c.company AND w.caption = c.caption""")
 def h10(spark, sf_dir):
-    """A printed dash of a found row is 0; a row that is not there stays null."""
-    cells = Table("caption string, value double", [("A", None), ("B", 5.0)]).df(spark).withColumn("hit", F.lit(True))
-    return Table("caption string", [("A",), ("B",), ("C",)]).df(spark).join(cells, "caption", "left").select("caption", F.coalesce("hit", F.lit(False)).alias("found"), F.when(F.col("hit"), F.coalesce("value", F.lit(0.0))).alias("value"))
+    return L.found_or_null(_ASKED.across(spark, sf_dir), _DASHES.across(spark, sf_dir, ["value"]), ["company"]).select("company", "caption", "found", "value")
 
 
 @query("h11_constant_carry_absent", expected("row int, value double, stale boolean", [(1, 2.5, False), (2, 7.0, False), (3, None, True), (4, None, False)]))
@@ -122,12 +130,14 @@ def h11(spark, sf_dir):
     return out.select("row", F.when(F.col("kind") == "const", F.col("const")).when(F.col("kind") == "carry", F.col("previous")).alias("value"), (F.coalesce("hit", F.lit(False)) & (F.col("kind") == "absent")).alias("stale"))
 
 
-@query("h12_totals_agree", expected("id int, agrees boolean", [(1, True), (2, False), (3, True)]))
+_TOTALS = Table("id int, values array<double>", [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 4.0]), (3, [50.0, 50.0, 101.0]), (4, [1.0, None, 1.0])])
+
+
+@query("h12_totals_agree", f"""SELECT company, id, abs("values"[-1] - list_sum("values"[:-2])) <= 0.02 * abs("values"[-1]) AS agrees FROM {_TOTALS.sql_across(["values"])}""")
 def h12(spark, sf_dir):
-    t = Table("id int, values array<double>", [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 4.0]), (3, [50.0, 50.0, 101.0])]).df(spark)
-    parts = F.aggregate(F.slice("values", 1, F.size("values") - 1), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    total = F.element_at("values", -1)
-    return t.select("id", (F.abs(total - parts) <= 0.02 * F.abs(total)).alias("agrees"))
+    from ..operators.assembly import total_agrees
+
+    return _TOTALS.across(spark, sf_dir, ["values"]).select("company", "id", total_agrees(F.col("values")).alias("agrees"))
 
 
 @query("h14_coverage", f"""

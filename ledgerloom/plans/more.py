@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions.text import normalize_label
 from ..operators import assembly as A
+from ..operators import lookup as L
 from ..sources import packages
 from .assembly import _NOTES
 from .facts import QUARTERLY, quarterly
@@ -80,19 +81,22 @@ def e17(spark, sf_dir):
     return A.noted(_NOTES.across(spark, sf_dir), ["company"]).where("line like 'Retail%'").select("company", "ln", "end")
 
 
-@query("f21_balance_or_flow", expected("section string, basis string, balance boolean", [(s, b, b == "point_in_time" or (b != "quarter" and s not in ("income_statement", "cash_flow"))) for s in ("income_statement", "cash_flow", "balance_sheet", "other") for b in (None, "quarter", "point_in_time")]))
+_BASES = Table("section string, basis string", [(s, b) for s in ("income_statement", "cash_flow", "balance_sheet", "other") for b in (None, "quarter", "point_in_time")])
+
+
+@query("f21_balance_or_flow", f"SELECT company, section, basis, coalesce(basis = 'point_in_time', section NOT IN ('income_statement', 'cash_flow')) AS balance FROM {_BASES.sql_across()}")
 def f21(spark, sf_dir):
-    t = Table("section string, basis string", [(s, b) for s in ("income_statement", "cash_flow", "balance_sheet", "other") for b in (None, "quarter", "point_in_time")]).df(spark)
-    flow = F.col("section").isin("income_statement", "cash_flow")
-    return t.select("section", "basis", F.when(F.col("basis") == "point_in_time", True).when(F.col("basis") == "quarter", False).otherwise(~flow).alias("balance"))
+    return _BASES.across(spark, sf_dir).select("company", "section", "basis", L.is_balance(F.col("section"), F.col("basis")).alias("balance"))
+
+
+_ALIASES = Table("field string, forms array<string>", [("revenue", ["revenue", "net sales"])])
+_WANTS = Table("want string", [("field:revenue",), ("Cost of sales",), ("field:none",)])
 
 
-@query("f22_search_forms", expected("want string, forms array<string>", [("field:revenue", ["revenue", "net sales"]), ("Cost of sales", ["Cost of sales"])]))
+@query("f22_search_forms", f"""
+    SELECT company, want, '[' || array_to_string(coalesce(forms, [want]), '|') || ']' AS forms FROM {_WANTS.sql_across()} w LEFT JOIN {_ALIASES.sql} a ON want = 'field:' || field""")
 def f22(spark, sf_dir):
-    """A canonical field is searched by its spellings, never by its id."""
-    aliases = Table("field string, forms array<string>", [("revenue", ["revenue", "net sales"])]).df(spark)
-    t = Table("want string", [("field:revenue",), ("Cost of sales",)]).df(spark).withColumn("field", F.regexp_extract("want", r"^field:(\w+)$", 1))
-    return t.join(F.broadcast(aliases), "field", "left").select("want", F.coalesce("forms", F.array("want")).alias("forms"))
+    return L.search_forms(_WANTS.across(spark, sf_dir), _ALIASES.df(spark)).select("company", "want", "forms")
 
 
 @query("j8_islands_facts", f"""

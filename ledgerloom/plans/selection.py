@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label
+from ..operators import lookup as L
 from ..operators import select as S
 from .facts import QUARTERLY, quarterly
 from .registry import Table, expected, load, query
@@ -19,26 +20,28 @@ def f1(spark, sf_dir):
     return S.pick_statement(requests, _STATEMENTS.df(spark))
 
 
-@query("f2_statement_by_title", expected("req int, stmt int, n long", [(1, 4, 2), (2, 3, 2), (3, 5, 1), (4, None, 0)]))
+_CO = ["company"]
+_TITLES = Table("req int, title string", [(1, "cash flows"), (2, "nothing || balance sheet"), (3, "CASH FLOWS: INVESTING"), (4, "segments")])
+
+
+@query("f2_statement_by_title", f"""
+    WITH w AS (SELECT company, req, unnest(string_split(title, ' || ')) AS want, generate_subscripts(string_split(title, ' || '), 1) AS turn FROM {_TITLES.sql_across()}),
+    h AS (SELECT w.company, req, turn, stmt, readable, ord, min(turn) OVER (PARTITION BY w.company, req) AS best FROM w JOIN {_STATEMENTS.sql_across()} s ON w.company = s.company AND contains(lower(s.title), lower(want))),
+    f AS (SELECT company, req, arg_min(stmt, ord + CASE WHEN readable THEN 0 ELSE 100 END) AS stmt, count(*) AS n FROM h WHERE turn = best GROUP BY company, req)
+    SELECT t.company, t.req, f.stmt, coalesce(n, 0) AS n FROM {_TITLES.sql_across()} t LEFT JOIN f ON t.company = f.company AND t.req = f.req""")
 def f2(spark, sf_dir):
-    """Titles by substring, dashes and case aside; of alternatives the first that any title holds; readable ones first."""
-    fold = lambda c: F.regexp_replace(F.lower(c), r"\s*[-–—]\s*", "-")
-    requests = Table("req int, title string", [(1, "cash flows"), (2, "nothing || balance sheet"), (3, "CASH FLOWS: INVESTING"), (4, "segments")]).df(spark)
-    asked = requests.select("req", F.posexplode(F.split("title", r"\s*\|\|\s*")).alias("turn", "want"))
-    hits = asked.join(F.broadcast(_STATEMENTS.df(spark)), F.contains(fold(F.col("title")), fold(F.col("want"))))
-    first = hits.withColumn("best", F.min("turn").over(Window.partitionBy("req"))).where("turn = best")
-    found = first.groupBy("req").agg(F.min_by("stmt", F.struct((~F.col("readable")).alias("u"), "ord")).alias("stmt"), F.count("*").alias("n"))
-    return requests.join(found, "req", "left").select("req", "stmt", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return L.by_title(_TITLES.across(spark, sf_dir), _STATEMENTS.across(spark, sf_dir), _CO)
+
 
+_NOTES_BY_NUMBER = Table("stmt int, note int, end date", [(11, 5, "2026-06-30"), (12, 5, "2025-06-30"), (13, 7, "2025-12-31")])
+_NOTES_ASKED = Table("req int, note int, target date", [(1, 5, "2026-06-30"), (2, 5, "2024-06-30"), (3, 7, "2026-06-30")])
 
-@query("f3_note_by_number", expected("req int, stmt int", [(1, 11), (2, None), (3, 13)]))
+
+@query("f3_note_by_number", f"""
+    WITH n AS (SELECT company, note, stmt, "end", (SELECT count(DISTINCT "end") FROM {_NOTES_BY_NUMBER.sql} x WHERE x.note = y.note) AS periods FROM {_NOTES_BY_NUMBER.sql_across()} y)
+    SELECT r.company, r.req, min(stmt) AS stmt FROM {_NOTES_ASKED.sql_across()} r LEFT JOIN n ON r.company = n.company AND r.note = n.note AND ("end" = target OR periods = 1) GROUP BY r.company, r.req""")
 def f3(spark, sf_dir):
-    """A note at the period asked for; another period only if the note reports no other."""
-    notes = Table("stmt int, note int, end date", [(11, 5, "2026-06-30"), (12, 5, "2025-06-30"), (13, 7, "2025-12-31")]).df(spark)
-    requests = Table("req int, note int, target date", [(1, 5, "2026-06-30"), (2, 5, "2024-06-30"), (3, 7, "2026-06-30")]).df(spark)
-    n = notes.withColumn("periods", F.size(F.collect_set("end").over(Window.partitionBy("note"))))
-    found = requests.join(n, "note").where((F.col("end") == F.col("target")) | (F.col("periods") == 1)).groupBy("req").agg(F.min("stmt").alias("stmt"))
-    return requests.select("req").join(found, "req", "left")
+    return L.by_note(_NOTES_ASKED.across(spark, sf_dir), _NOTES_BY_NUMBER.across(spark, sf_dir), _CO)
 
 
 _COLUMNS = Table("stmt int, col int, header string, kind string, months int, end date", [
@@ -178,27 +181,33 @@ def f16(spark, sf_dir):
     return asked.select("req").join(best, "req", "left").select("req", F.coalesce("by", F.lit("absent")).alias("by"))
 
 
-@query("f18_unverified", expected("row int, value double, reason string", [(0, 1.0, None), (1, None, "unverified"), (2, None, None)]))
+_WITHHELD = Table("row int, values array<double>, unverified array<int>, col int", [(0, [1.0, 2.0], [1], 0), (1, [1.0, 2.0], [1], 1), (2, [None], [], 0)])
+
+
+@query("f18_unverified", f"""
+    SELECT company, "row", CASE WHEN NOT list_contains(unverified, col) THEN "values"[col + 1] END AS value, CASE WHEN list_contains(unverified, col) THEN 'unverified' END AS reason FROM {_WITHHELD.sql_across(["values"])}""")
 def f18(spark, sf_dir):
-    t = Table("row int, values array<double>, unverified array<int>, col int", [(0, [1.0, 2.0], [1], 0), (1, [1.0, 2.0], [1], 1), (2, [None], [], 0)]).df(spark)
-    bad = F.array_contains("unverified", F.col("col"))
-    return t.select("row", F.when(~bad, F.get("values", "col")).alias("value"), F.when(bad, "unverified").alias("reason"))
+    value, reason = L.withhold(F.col("values"), F.col("unverified"), F.col("col"))
+    return _WITHHELD.across(spark, sf_dir, ["values"]).select("company", "row", value.alias("value"), reason.alias("reason"))
+
+
+_ELSEWHERE = Table("caption string, kind string", [("Depreciation", "cash_flow"), ("Goodwill", "note"), ("Tax", "cash_flow"), ("Tax", "balance_sheet"), ("Depreciation", "note"), ("Land", "note"), ("Land", "note")])
 
 
-@query("f19_elsewhere", expected("caption string, kind string", [("Depreciation", "cash_flow"), ("Goodwill", "note"), ("Tax", None)]))
+@query("f19_elsewhere", f"""
+    SELECT company, caption, CASE WHEN count(DISTINCT kind) FILTER (kind <> 'note') = 1 THEN max(kind) FILTER (kind <> 'note') WHEN count(*) FILTER (kind <> 'note') = 0 AND count(*) = 1 THEN 'note' END AS kind FROM {_ELSEWHERE.sql_across()} GROUP BY company, caption""")
 def f19(spark, sf_dir):
-    """A caption missing in its own statement: the only other primary statement that has it, else the only note."""
-    t = Table("caption string, kind string", [("Depreciation", "cash_flow"), ("Goodwill", "note"), ("Tax", "cash_flow"), ("Tax", "balance_sheet"), ("Depreciation", "note")]).df(spark)
-    primary = F.col("kind") != "note"
-    return t.groupBy("caption").agg(F.countDistinct(F.when(primary, F.col("kind"))).alias("p"), F.max(F.when(primary, F.col("kind"))).alias("k"), F.count(F.when(~primary, 1)).alias("n")).select("caption", F.when(F.col("p") == 1, F.col("k")).when((F.col("p") == 0) & (F.col("n") == 1), "note").alias("kind"))
+    return L.elsewhere(_ELSEWHERE.across(spark, sf_dir), _CO)
+
+
+_DEFAULTS = Table("section string, basis string", [("income_statement", None), ("balance_sheet", None), ("other", None), ("other", "quarter"), ("cash_flow", "point_in_time")])
 
 
-@query("f20_derived_defaults", expected("section string, basis string, statement string, point_in_time boolean", [("income_statement", None, "income_statement", False), ("balance_sheet", None, "balance_sheet", True), ("other", None, None, True), ("other", "quarter", None, False), ("cash_flow", "point_in_time", "cash_flow", True)]))
+@query("f20_derived_defaults", f"""
+    SELECT company, section, basis, nullif(section, 'other') AS statement, CASE basis WHEN 'point_in_time' THEN true WHEN 'quarter' THEN false ELSE section NOT IN ('income_statement', 'cash_flow') END AS point_in_time FROM {_DEFAULTS.sql_across()}""")
 def f20(spark, sf_dir):
-    """A row's statement is its section's; a balance unless the section is a flow or the basis says so."""
-    t = Table("section string, basis string", [("income_statement", None), ("balance_sheet", None), ("other", None), ("other", "quarter"), ("cash_flow", "point_in_time")]).df(spark)
-    flow = F.col("section").isin("income_statement", "cash_flow")
-    return t.select("section", "basis", F.when(F.col("section") != "other", F.col("section")).alias("statement"), F.when(F.col("basis") == "point_in_time", True).when(F.col("basis") == "quarter", False).otherwise(~flow).alias("point_in_time"))
+    section, basis = F.col("section"), F.col("basis")
+    return _DEFAULTS.across(spark, sf_dir).select("company", "section", "basis", L.default_statement(section).alias("statement"), L.is_balance(section, basis).alias("point_in_time"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------
@@ -229,23 +238,28 @@ _MAP = Table("norm string, occurrence int, row int", [("revenue", 1, 3), ("costs
 _LAYOUT = Table("norm string, occurrence int, row int", [("revenue", 1, 3), ("costs", 1, 5), ("ebitda", 1, 6)])
 
 
-@query("g4_bind_diagnostics", expected("norm string, verdict string", [("revenue", "same"), ("costs", "moved"), ("tax", "missing"), ("ebitda", "new")]))
+@query("g4_bind_diagnostics", f"""
+    SELECT coalesce(m.company, l.company) AS company, coalesce(m.norm, l.norm) AS norm, CASE WHEN l.norm IS NULL THEN 'missing' WHEN m.norm IS NULL THEN 'new' WHEN m."row" <> l."row" THEN 'moved' ELSE 'same' END AS verdict
+    FROM {_MAP.sql_across()} m FULL JOIN {_LAYOUT.sql_across()} l ON m.company = l.company AND m.norm = l.norm AND m.occurrence = l.occurrence""")
 def g4(spark, sf_dir):
-    a, b = _MAP.df(spark).withColumnRenamed("row", "a"), _LAYOUT.df(spark).withColumnRenamed("row", "b")
-    return a.join(b, ["norm", "occurrence"], "full_outer").select("norm", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "new").when(F.col("a") != F.col("b"), "moved").otherwise("same").alias("verdict"))
+    return L.bind(_MAP.across(spark, sf_dir), _LAYOUT.across(spark, sf_dir), _CO).drop("occurrence")
 
 
-@query("g5_unmapped_inputs", expected("norm string", [("ebitda",)]))
+@query("g5_unmapped_inputs", f"SELECT company, norm FROM {_LAYOUT.sql_across()} l WHERE NOT EXISTS (SELECT 1 FROM {_MAP.sql_across()} m WHERE m.company = l.company AND m.norm = l.norm)")
 def g5(spark, sf_dir):
-    return _LAYOUT.df(spark).join(_MAP.df(spark), ["norm"], "left_anti").select("norm")
+    return L.unmapped(_LAYOUT.across(spark, sf_dir), _MAP.across(spark, sf_dir), _CO).select("company", "norm")
 
 
-@query("g6_nearest_captions", expected("want string, best string", [("revenu", "revenue"), ("cost", "costs")]))
+@query("g6_nearest_captions", """
+    WITH c AS (SELECT DISTINCT p_brand || ' ' || p_type AS norm, p_size AS size FROM part WHERE p_partkey % 3 = 0), w AS (SELECT DISTINCT p_brand || ' ' || lower(p_type) AS want, p_size AS size FROM part WHERE p_partkey % 7 = 0),
+    j AS (SELECT w.size, want, norm, round(1 - levenshtein(want, norm) / greatest(length(want), length(norm)), 6) AS ratio FROM w JOIN c ON w.size = c.size), r AS (SELECT *, row_number() OVER (PARTITION BY size, want ORDER BY ratio DESC, norm) AS place FROM j WHERE ratio >= 0.5)
+    SELECT size, want, CAST(place AS INTEGER) AS place, norm AS caption, ratio FROM r WHERE place <= 3""")
 def g6(spark, sf_dir):
-    """Suggestions for a message: the nearest caption by edit distance, if near enough."""
-    wants = Table("want string", [("revenu",), ("cost",), ("zzz",)]).df(spark)
-    ratio = 1 - F.levenshtein("want", "norm") / F.greatest(F.length("want"), F.length("norm"))
-    return wants.join(F.broadcast(_LAYOUT.df(spark)), ratio >= 0.6).groupBy("want").agg(F.max_by("norm", ratio).alias("best"))
+    """Suggestions for a message: the three nearest captions, if near enough."""
+    part = load(spark, sf_dir, "part").withColumnRenamed("p_size", "size")
+    captions = part.where("p_partkey % 3 = 0").select("size", F.concat_ws(" ", "p_brand", "p_type").alias("norm"))
+    wants = part.where("p_partkey % 7 = 0").select("size", F.concat_ws(" ", "p_brand", F.lower("p_type")).alias("want")).distinct()
+    return L.nearest(wants, captions, ["size"], 3, 0.5)
 
 
 @query("g7_substring_join", "SELECT p_partkey, r_name FROM part JOIN region ON contains(lower(p_name), substr(lower(r_name), 1, 2)) OR contains(lower(p_type), substr(lower(r_name), 1, 3))")
@@ -261,12 +275,10 @@ _FRAGMENTS = Table("page int, frag string, x0 double, x1 double", [(1, "Q2 2026"
 _RANGES = Table("page int, col int, l double, r double", [(1, 0, 110.0, 150.0), (1, 1, 210.0, 260.0), (1, 2, 290.0, 340.0)])
 
 
-@query("g8_range_overlap", expected("frag string, col int", [("Q2 2026", 0), ("Six months", 1), ("Six months", 2)]))
+@query("g8_range_overlap", f"""
+    SELECT f.company, frag, col FROM {_FRAGMENTS.sql_across()} f JOIN {_RANGES.sql_across()} r ON f.company = r.company AND f.page = r.page AND least(x1, r) - greatest(x0, l) >= least(x1 - x0, r - l) / 2""")
 def g8(spark, sf_dir):
-    """Header fragments over columns: they overlap by half of the narrower one. Joined inside a page."""
-    over = F.least("x1", "r") - F.greatest("x0", "l")
-    narrow = F.least(F.col("x1") - F.col("x0"), F.col("r") - F.col("l"))
-    return _FRAGMENTS.df(spark).join(_RANGES.df(spark), ["page"]).where(over >= narrow / 2).select("frag", "col")
+    return L.overlaps(_FRAGMENTS.across(spark, sf_dir), _RANGES.across(spark, sf_dir), ["company", "page"]).drop("page")
 
 
 @query("g9_asof_backward", f"""
