@@ -74,3 +74,24 @@ def resolve(terms: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
         F.min_by(F.concat(F.lit("no row captioned "), "norm"), F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.col("term"))).alias("first_missing"),
     )
     return out.select(*keys, "row", F.when(F.col("ok"), F.col("total")).alias("value"), "n_terms", "n_optional_missing", F.when(~F.col("ok"), F.col("first_missing")).alias("reason"))
+
+
+def exit_code(refused: Column, errors: Column) -> Column:
+    """1 for a run that was refused, 2 for one with errors, 0 otherwise."""
+    return F.when(refused, 1).when(errors > 0, 2).otherwise(0)
+
+
+def write_back(mapping: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+    """mapping(keys, label, caption) with the wording that matched (keys, label, found) recorded for the next period; others stay."""
+    return mapping.join(matched, [*keys, "label"], "left").withColumn("caption", F.coalesce("found", "caption")).drop("found")
+
+
+def column_letters(col: Column) -> Column:
+    """The letters of a column counted from 0: A to Z, then AA on."""
+    return F.concat(F.when(col >= 26, F.char((F.floor(col / 26) - 1 + 65).cast("int"))).otherwise(F.lit("")), F.char((col % 26 + 65).cast("int")))
+
+
+def trailing_year_plug(write_col: Column, margin: Column, revenue_row: Column, row: Column) -> Column:
+    """The formula of a trailing-year plug for the column that is written: the margin of four columns' revenue less the three before."""
+    at = lambda back, r: F.concat(column_letters(write_col - back), r)
+    return F.concat(F.lit("="), margin, F.lit("*SUM("), at(3, revenue_row), F.lit(":"), at(0, revenue_row), F.lit(")-"), at(1, row), F.lit("-"), at(2, row), F.lit("-"), at(3, row))

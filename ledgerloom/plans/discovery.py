@@ -20,89 +20,114 @@ _SHEET = Table("row int, col int, text string, value double, formula string, rgb
 ])
 
 
-@query("m1_label_column", expected("label_col int, n long", [(2, 9)]))
+_CO = ["company"]
+
+
+@query("m1_label_column", f"""
+    WITH w AS (SELECT company, col, count(*) AS n FROM {_SHEET.sql_across()} WHERE col <= 8 AND regexp_matches(text, '[A-Za-z]{{3}}') GROUP BY company, col) SELECT company, arg_max(col, n * 100 - col) AS label_col, max(n) AS n FROM w GROUP BY company""")
 def m1(spark, sf_dir):
-    """Of the first eight columns the one with most captions of three letters; the first of equals."""
-    words = _SHEET.df(spark).where("col <= 8 and text rlike '[A-Za-z]{3}'").groupBy("col").agg(F.count("*").alias("n"))
-    return words.agg(F.max_by(F.struct("col", "n"), F.struct("n", -F.col("col"))).alias("b")).select(F.col("b.col").alias("label_col"), "b.n")
+    return D.label_column(_SHEET.across(spark, sf_dir), _CO)
+
 
+_REFS = Table("row int, text string, ref int", [(1, "Revenue", None), (2, None, 1), (3, None, 2), (4, None, 4), (5, None, 99)])
 
-@query("m2_caption_indirection", expected("row int, text string", [(1, "Revenue"), (2, "Revenue"), (3, "Revenue"), (4, None)]))
+
+@query("m2_caption_indirection", f"""
+    WITH RECURSIVE c AS (SELECT * FROM {_REFS.sql_across()}), f AS (SELECT company, "row", text, ref, 0 AS hop FROM c UNION ALL SELECT f.company, f."row", c.text, c.ref, hop + 1 FROM f JOIN c ON f.company = c.company AND f.ref = c."row" WHERE f.text IS NULL AND hop < 5)
+    SELECT company, "row", max(text) AS text FROM f GROUP BY company, "row" """)
 def m2(spark, sf_dir):
-    """Captions that are references are followed up to five times; a circle ends as null."""
-    cells = Table("row int, text string, ref int", [(1, "Revenue", None), (2, None, 1), (3, None, 2), (4, None, 4)]).df(spark)
-    return D.follow(cells, 5)
+    """Captions that are references are followed up to five times."""
+    return D.follow(_REFS.across(spark, sf_dir), _CO, 5)
 
 
-@query("m3_header_and_data_rows", expected("first_data_row int, header_row int", [(4, 2)]))
+@query("m3_header_and_data_rows", f"""
+    WITH p AS (SELECT company, "row", count("value") AS figures, count(text) AS texts FROM {_SHEET.sql_across()} WHERE col > 2 GROUP BY company, "row"), f AS (SELECT company, min("row") AS first_data_row FROM p WHERE figures >= 2 GROUP BY company)
+    SELECT p.company, first_data_row, arg_max("row", texts * 1000 + "row") AS header_row FROM p JOIN f ON p.company = f.company WHERE "row" < first_data_row GROUP BY p.company, first_data_row""")
 def m3(spark, sf_dir):
-    """Data begin at the first row with two figures; the header is the fullest row above, the later of equals."""
-    per = _SHEET.df(spark).where("col > 2").groupBy("row").agg(F.count("value").alias("figures"), F.count("text").alias("texts"))
-    first = per.agg(F.min(F.when(F.col("figures") >= 2, F.col("row"))).alias("first_data_row")).withColumn("one", F.lit(1))
-    above = per.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").where("row < first_data_row")
-    return above.groupBy("first_data_row").agg(F.max_by("row", F.struct("texts", "row")).alias("header_row"))
+    return D.first_rows(_SHEET.across(spark, sf_dir), _CO, 2)
+
 
+_ROLE = """CASE WHEN formula IS NOT NULL AND regexp_matches(regexp_replace(formula, '"[^"]*"', '', 'g'), '[A-Z]{1,3}[0-9]') THEN 'formula' WHEN "value" IS NULL THEN NULL WHEN rgb = '0000FF' THEN 'input' ELSE 'formula' END"""
 
-@query("m4_column_census", expected("col int, inputs long, formulas long, values long", [(3, 3, 1, 4), (4, 4, 1, 5), (5, 2, 1, 3), (6, 0, 1, 0)]))
+
+@query("m4_column_census", f"""
+    SELECT company, col, count(CASE WHEN {_ROLE} = 'input' THEN 1 END) AS inputs, count(CASE WHEN {_ROLE} = 'formula' THEN 1 END) AS formulas, count("value") AS "values" FROM {_SHEET.sql_across()} WHERE col > 2 AND text IS NULL GROUP BY company, col""")
 def m4(spark, sf_dir):
-    role = D.role()
-    return _SHEET.df(spark).where("col > 2 and text is null").groupBy("col").agg(F.count_if(role == "input").alias("inputs"), F.count_if(role == "formula").alias("formulas"), F.count("value").alias("values"))
+    return D.census(_SHEET.across(spark, sf_dir), _CO, 2)
 
 
-@query("m5_period_dates", expected("col int, end date", [(3, "2025-12-31"), (4, "2026-03-31"), (5, "2026-06-30"), (6, "2026-09-30")]))
+@query("m5_period_dates", f"""
+    WITH d AS (SELECT company, "row", col, TRY_CAST(text AS DATE) AS "end" FROM {_SHEET.sql_across()}), n AS (SELECT *, count(*) OVER (PARTITION BY company, "row") AS n FROM d WHERE "end" IS NOT NULL), b AS (SELECT *, first_value("row") OVER (PARTITION BY company ORDER BY n DESC, "row") AS best FROM n)
+    SELECT company, col, "end" FROM b WHERE "row" = best""")
 def m5(spark, sf_dir):
-    """The row with most dates names the columns' periods."""
-    dated = _SHEET.df(spark).withColumn("end", F.col("text").try_cast("date")).where("end is not null")
-    best = dated.groupBy("row").agg(F.count("*").alias("n")).agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("r"))
-    return dated.join(F.broadcast(best), F.col("row") == F.col("r")).select("col", "end")
+    return D.period_row(_SHEET.across(spark, sf_dir), _CO)
 
 
-@query("m6_write_column", expected("write_col int, mode string", [(6, "reserved")]))
+@query("m6_write_column", f"""
+    WITH t AS (SELECT company, col, count("value") AS n, bool_or(TRY_CAST(text AS DATE) IS NOT NULL) AS dated FROM {_SHEET.sql_across()} WHERE col > 2 AND (company % 2 = 0 OR col < 6) GROUP BY company, col), l AS (SELECT *, max(col) FILTER (n > 0) OVER (PARTITION BY company) AS last FROM t),
+    f AS (SELECT company, last, min(col) FILTER (col > last AND n = 0 AND dated) AS free FROM l GROUP BY company, last) SELECT company, coalesce(free, last + 1) AS write_col, CASE WHEN free IS NULL THEN 'append' ELSE 'reserved' END AS mode FROM f""")
 def m6(spark, sf_dir):
-    """The first column right of the last figures that is dated and formatted, else a new one."""
-    t = _SHEET.df(spark).where("col > 2").groupBy("col").agg(F.count("value").alias("n"), F.max(F.col("text").try_cast("date").isNotNull()).alias("dated"))
-    last = t.agg(F.max(F.when(F.col("n") > 0, F.col("col"))).alias("last")).withColumn("one", F.lit(1))
-    free = t.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").groupBy("last").agg(F.min(F.when((F.col("col") > F.col("last")) & (F.col("n") == 0) & F.col("dated"), F.col("col"))).alias("free"))
-    return free.select(F.coalesce("free", F.col("last") + 1).alias("write_col"), F.when(F.col("free").isNotNull(), "reserved").otherwise("append").alias("mode"))
+    """Sheets of odd companies have no column ready."""
+    return D.write_column(_SHEET.across(spark, sf_dir).where("company % 2 = 0 or col < 6"), _CO, 2)
 
 
-@query("m7_reference_column", expected("reference_col int", [(4,)]))
+@query("m7_reference_column", f"""
+    WITH n AS (SELECT company, col, count(CASE WHEN {_ROLE} = 'input' THEN 1 END) AS n FROM {_SHEET.sql_across()} WHERE col > 2 AND text IS NULL GROUP BY company, col), d AS (SELECT *, max(n) OVER (PARTITION BY company) AS most FROM n)
+    SELECT company, max(col) AS reference_col FROM d WHERE n >= greatest(3, most / 2.0) GROUP BY company""")
 def m7(spark, sf_dir):
-    """Of the columns with at least half of the densest column's inputs (three at least) the most recent."""
-    n = _SHEET.df(spark).where("col > 2 and text is null").groupBy("col").agg(F.count_if(D.role() == "input").alias("n"))
-    dense = n.withColumn("most", F.max("n").over(Window.partitionBy(F.lit(1)))).where(F.col("n") >= F.greatest(F.lit(3), F.col("most") / 2))
-    return dense.agg(F.max("col").alias("reference_col"))
+    return D.reference_column(_SHEET.across(spark, sf_dir), _CO, 2)
 
 
-@query("m8_row_roles", expected("row int, role string", [(4, "input"), (5, "input"), (6, "formula"), (8, "input"), (9, "input")]))
+@query("m8_row_roles", f"""SELECT company, "row", arg_max({_ROLE}, col) AS role FROM {_SHEET.sql_across()} WHERE col > 2 AND ("value" IS NOT NULL OR formula IS NOT NULL) AND {_ROLE} IS NOT NULL GROUP BY company, "row" """)
 def m8(spark, sf_dir):
-    """A row is what its latest cell is; literal formulas are inputs."""
-    return _SHEET.df(spark).where("col > 2 and (value is not null or formula is not null)").groupBy("row").agg(F.max_by(D.role(), "col").alias("role"))
+    return D.row_roles(_SHEET.across(spark, sf_dir), _CO, 2)
+
 
+_SHEETS = Table("sheet string", [("Model",), ("MODEL",), (" data",)])
+_SHEETS_ASKED = Table("want string", [("Model",), ("model ",), ("DATA",)])
 
-@query("m9_sheet_name", expected("want string, sheet string", [("Model", "Model"), ("model ", None), ("DATA", " data")]))
+
+@query("m9_sheet_name", f"""
+    SELECT w.company, want, coalesce(max(sheet) FILTER (sheet = want), CASE WHEN count(*) = 1 THEN max(sheet) END) AS sheet FROM {_SHEETS_ASKED.sql_across()} w JOIN {_SHEETS.sql_across()} s ON w.company = s.company AND lower(trim(want)) = lower(trim(sheet)) GROUP BY w.company, want""")
 def m9(spark, sf_dir):
-    """An exact name, else the only one that agrees without case and blanks."""
-    sheets = Table("sheet string", [("Model",), ("MODEL",), (" data",)]).df(spark)
-    wants = Table("want string", [("Model",), ("model ",), ("DATA",)]).df(spark)
-    pairs = wants.join(sheets, F.lower(F.trim("want")) == F.lower(F.trim("sheet"))).groupBy("want").agg(F.max(F.when(F.col("sheet") == F.col("want"), F.col("sheet"))).alias("exact"), F.count("*").alias("n"), F.max("sheet").alias("only"))
-    return pairs.select("want", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("sheet"))
+    return D.match_sheets(_SHEETS_ASKED.across(spark, sf_dir), _SHEETS.across(spark, sf_dir), _CO)
 
 
 @query("m10_fingerprint", f"""
     SELECT company, substr(sha256(string_agg(lower(caption) || '~' || 'income_statement', '|' ORDER BY caption)), 1, 16) AS fingerprint FROM (SELECT DISTINCT company, caption FROM ({QUARTERLY})) GROUP BY company""")
 def m10(spark, sf_dir):
-    """A digest of a sheet's captions and sections in sheet order."""
-    rows = quarterly(spark, sf_dir).select("company", "caption").distinct()
-    key = F.transform(F.array_sort(F.collect_list("caption")), lambda c: F.concat(F.lower(c), F.lit("~income_statement")))
-    return rows.groupBy("company").agg(F.substring(F.sha2(F.array_join(key, "|"), 256), 1, 16).alias("fingerprint"))
+    """A digest of a sheet's captions and sections."""
+    return D.fingerprints(quarterly(spark, sf_dir).select("company", "caption", F.lit("income_statement").alias("section")), _CO)
+
+
+@query("m16_sheet_drift", f"""
+    WITH q AS (SELECT DISTINCT company, caption, period_end FROM ({QUARTERLY})), a AS (SELECT company, string_agg(DISTINCT lower(caption), '|' ORDER BY lower(caption)) AS f FROM q WHERE period_end < DATE '1996-01-01' GROUP BY company),
+    b AS (SELECT company, string_agg(DISTINCT lower(caption), '|' ORDER BY lower(caption)) AS f FROM q WHERE period_end >= DATE '1996-01-01' AND company <> 'CHINA' AND (caption <> 'PROMO' OR company < 'J') GROUP BY company)
+    SELECT a.company, CASE WHEN b.f IS NULL THEN 'sheet_missing' ELSE 'sheet_drift' END AS code, 'error' AS severity FROM a LEFT JOIN b ON a.company = b.company WHERE b.f IS DISTINCT FROM a.f""")
+def m16(spark, sf_dir):
+    """Sheets as they were saved (lines of the first year) against what they hold now: one sheet is gone, some have lost a line."""
+    q = quarterly(spark, sf_dir).withColumn("section", F.lit("income_statement"))
+    now = q.where("period_end >= date'1996-01-01' and company <> 'CHINA' and (caption <> 'PROMO' or company < 'J')")
+    return D.drift(D.fingerprints(q.where("period_end < date'1996-01-01'"), _CO), D.fingerprints(now, _CO), _CO)
+
+
+_EFFECTIVE = Table("row int, value double, formula string, result double", [(1, 3.0, "=A1", 3.0), (2, None, "=1+2*3", 7.0), (3, None, "=A1+1", None), (4, 5.0, None, 5.0), (5, None, None, None)])
+
+
+@query("m17_effective_value", f"""SELECT company, "row", coalesce("value", result) AS effective FROM {_EFFECTIVE.sql_across(["value"])}""")
+def m17(spark, sf_dir):
+    """A cell's cached value; without one, typed arithmetic is worked out, and references to cells stay empty."""
+    from ..sources.workbook import shown
+
+    return _EFFECTIVE.across(spark, sf_dir, ["value"]).select("company", "row", shown(F.col("value"), F.col("formula")).alias("effective"))
 
 
 @query("m11_draft_plan", expected("row int, label string, kind string, basis string, field string", [(4, "Revenue", "input", "quarter", "revenue"), (5, "Cost of sales", "input", "quarter", "cogs"), (6, "Gross profit", "formula", "quarter", None), (8, "Revenue", "input", "quarter", "revenue"), (9, "Revenue", "input", "quarter", "revenue")]))
 def m11(spark, sf_dir):
     """Row kinds, the basis of their sections, and canonical fields by spelling."""
-    rows = m8(spark, sf_dir).withColumnRenamed("role", "kind").join(_SHEET.df(spark).where("col = 2").select("row", F.col("text").alias("label")), "row")
-    rows = rows.join(D.sections(_SHEET.df(spark).where("col = 2")).select("row", "section"), "row")
+    sheet = _SHEET.df(spark).withColumn("sheet", F.lit("model"))
+    rows = D.row_roles(sheet, ["sheet"], 2).withColumnRenamed("role", "kind").join(sheet.where("col = 2").select("row", F.col("text").alias("label")), "row")
+    rows = rows.join(D.sections(sheet.where("col = 2"), ["sheet"]).select("row", "section"), "row")
     alias = Table("field string, spelling string", [("revenue", "revenue"), ("cogs", "cost of sales")]).df(spark)
     out = rows.join(F.broadcast(alias), normalize_label(F.col("label")) == F.col("spelling"), "left")
     return out.select("row", "label", "kind", F.when(F.col("section") == "balance_sheet", "point_in_time").otherwise("quarter").alias("basis"), "field")
@@ -135,13 +160,14 @@ def m14(spark, sf_dir):
     return mapping.withColumn("origin", F.lit("kept")).unionByName(new.withColumn("origin", F.lit("added")))
 
 
-@query("m15_legacy_conversion", expected("label string, pdf array<string>, sign string", [("a", ["A", "-B"], None), ("b", ["A"], "flip"), ("c", None, None)]))
+_LEGACY = Table("label string, instruction string, sign string, inferred boolean", [("a", "sum:pdf:A|-pdf:B", "flip", True), ("b", "pdf:A", "flip", False), ("c", "absent:", None, False)])
+
+
+@query("m15_legacy_conversion", f"""
+    SELECT company, label, CASE WHEN instruction <> 'absent:' THEN '[' || replace(replace(instruction, 'sum:', ''), 'pdf:', '') || ']' END AS pdf, CASE WHEN NOT inferred THEN sign END AS sign FROM {_LEGACY.sql_across()}""")
 def m15(spark, sf_dir):
-    """Instructions of the older plan as mapping rows; signs that were only inferred are dropped."""
-    t = Table("label string, instruction string, sign string, inferred boolean", [("a", "sum:pdf:A|-pdf:B", "flip", True), ("b", "pdf:A", "flip", False), ("c", "absent:", None, False)]).df(spark)
-    body = F.regexp_replace("instruction", "^sum:", "")
-    terms = F.transform(F.split(body, r"\|"), lambda x: F.replace(x, F.lit("pdf:")))
-    return t.select("label", F.when(F.col("instruction") != "absent:", terms).alias("pdf"), F.when(~F.col("inferred"), F.col("sign")).alias("sign"))
+    pdf, sign = D.legacy_rows(F.col("instruction"), F.col("sign"), F.col("inferred"))
+    return _LEGACY.across(spark, sf_dir).select("company", "label", pdf.alias("pdf"), sign.alias("sign"))
 
 
 @query("j1_occurrences", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS occurrence FROM lineitem")
@@ -151,9 +177,10 @@ def j1(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("occurrence"))
 
 
-@query("j2_section_inheritance", expected("row int, section string", [(1, "income_statement"), (2, "income_statement"), (3, "income_statement"), (4, "income_statement"), (5, "income_statement"), (6, "income_statement"), (7, "cash_flow"), (8, "cash_flow"), (9, "cash_flow")]))
+@query("j2_section_inheritance", f"""
+    SELECT company, "row", CASE WHEN max(CASE WHEN text = 'Cash flow' THEN 1 ELSE 0 END) OVER (PARTITION BY company ORDER BY "row") = 1 THEN 'cash_flow' ELSE 'income_statement' END AS section FROM {_SHEET.sql_across()} WHERE col = 2""")
 def j2(spark, sf_dir):
-    return D.sections(_SHEET.df(spark).where("col = 2")).select("row", "section")
+    return D.sections(_SHEET.across(spark, sf_dir).where("col = 2"), _CO).select("company", "row", "section")
 
 
 @query("j2_forward_fill_events", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS last_purchase FROM events")

@@ -18,9 +18,9 @@ def quarter_end(day):
 def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """company, caption, period_end, value: one figure for each company, line and quarter, in ten-thousandths.
 
-    Whole numbers keep sums exact, whatever the order in which tasks add them.
-
-    Dimensions are joined after the large tables have been summed by their keys, so the scan sends partial sums only.
+    Whole numbers keep sums exact, whatever the order in which tasks add them. Lines meet orders by key; suppliers and parts are joined before
+    the only aggregation, because there are nearly as many quarters, suppliers and parts together as lines: summing by them
+    first would send all rows once more. Each task then sends its partial sums by company, caption and quarter.
     """
     orders = load(spark, sf_dir, "orders").where(F.col("o_orderdate") < FIRST_PARTIAL).select("o_orderkey", quarter_end(F.col("o_orderdate")).alias("period_end"))
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", (F.round(F.col("l_extendedprice") * 100).cast("long") * F.round((1 - F.col("l_discount")) * 100).cast("long")).alias("amount"))

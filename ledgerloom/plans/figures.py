@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.workbook import row_predicates
 from .registry import Table, expected, load, query
 
 _ACCENTS = "À-ÖØ-öø-ÿ"
@@ -200,13 +201,12 @@ _THEME = Table("idx int, rgb string", [(0, "FFFFFF"), (1, "000000"), (4, "4472C4
 _TINTS = Table("idx int, tint double", [(0, -0.5), (1, 0.5), (4, 0.0)])
 
 
-@query("c23_theme_tint", expected("idx int, lightness double", [(0, 0.5), (1, 0.5), (4, 0.517647)]))
+@query("c23_theme_tint", f"""
+    WITH t AS (SELECT company, idx, tint, rgb, CAST('0x' || rgb[1:2] AS INTEGER) AS r, CAST('0x' || rgb[3:4] AS INTEGER) AS g, CAST('0x' || rgb[5:6] AS INTEGER) AS b FROM {_TINTS.sql_across()} JOIN {_THEME.sql} h USING (idx)),
+    l AS (SELECT *, (greatest(r, g, b) + least(r, g, b)) / 510.0 AS l FROM t) SELECT company, idx, round(CASE WHEN tint < 0 THEN l * (1 + tint) ELSE l * (1 - tint) + tint END, 6) AS lightness FROM l""")
 def c23(spark, sf_dir):
     """A theme colour's lightness, moved towards white or black by the tint."""
-    part = lambda i: F.conv(F.substring("rgb", i, 2), 16, 10).cast("int") / 255
-    low = (F.greatest(part(1), part(3), part(5)) + F.least(part(1), part(3), part(5))) / 2
-    tinted = F.when(F.col("tint") < 0, F.col("l") * (1 + F.col("tint"))).otherwise(F.col("l") * (1 - F.col("tint")) + F.col("tint"))
-    return _TINTS.df(spark).join(F.broadcast(_THEME.df(spark)), "idx").withColumn("l", low).select("idx", F.round(tinted, 6).alias("lightness"))
+    return _TINTS.across(spark, sf_dir).join(F.broadcast(_THEME.df(spark)), "idx").select("company", "idx", F.round(T.tinted_lightness(F.col("rgb"), F.col("tint")), 6).alias("lightness"))
 
 
 _CELLS = Table("style string, rgb string, formula string", [("Input", "000000", None), (None, "0000FF", None), (None, "0000FF", "=A1"), ("Output", "0000FF", None), (None, "000000", None)])
@@ -277,7 +277,8 @@ def a26(spark, sf_dir):
 _SHEET_ROWS = Table("row int, label string, v double", [(1, "Consolidated results", 2025.0), (2, "Standalone results", 1989.0), (3, "Separate", 2101.0), (4, "Revenue", 12.5)])
 
 
-@query("a27_row_predicates", expected("row int, is_year boolean, scope string", [(1, True, "consolidated"), (2, False, "separate"), (3, False, "separate"), (4, False, None)]))
+@query("a27_row_predicates", f"""
+    SELECT company, "row", v BETWEEN 1990 AND 2100 AND v = floor(v) AS is_year, CASE WHEN lower(label) LIKE '%consolidated%' THEN 'consolidated' WHEN lower(label) LIKE '%standalone%' OR lower(label) LIKE '%separate%' THEN 'separate' END AS scope FROM {_SHEET_ROWS.sql_across()}""")
 def a27(spark, sf_dir):
-    scope = F.when(F.col("label").rlike("(?i)consolidated"), "consolidated").when(F.col("label").rlike("(?i)standalone|separate"), "separate")
-    return _SHEET_ROWS.df(spark).select("row", (F.col("v").between(1990, 2100) & (F.col("v") == F.floor("v"))).alias("is_year"), scope.alias("scope"))
+    is_year, scope = row_predicates(F.col("label"), F.col("v"))
+    return _SHEET_ROWS.across(spark, sf_dir).select("company", "row", is_year.alias("is_year"), scope.alias("scope"))

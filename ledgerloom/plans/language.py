@@ -226,10 +226,12 @@ def n3(spark, sf_dir):
     return quarterly(spark, sf_dir).groupBy("company").agg(F.countDistinct("period_end").alias("ends"), (F.max("period_end") < F.lit("2001-06-30").cast("date")).alias("missing"))
 
 
-@query("n4_exit_codes", expected("run int, code int", [(1, 0), (2, 2), (3, 1)]))
+@query("n4_exit_codes", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1 WHEN count(CASE WHEN l_returnflag = 'R' THEN 1 END) > 0 THEN 2 ELSE 0 END AS code FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus")
 def n4(spark, sf_dir):
-    runs = Table("run int, refused boolean, errors int", [(1, False, 0), (2, False, 3), (3, True, 0)]).df(spark)
-    return runs.select("run", F.when(F.col("refused"), 1).when(F.col("errors") > 0, 2).otherwise(0).alias("code"))
+    """A refused run, one with errors, and one without: orders as runs, returned lines as errors."""
+    lines = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("errors"))
+    runs = load(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    return runs.select("o_orderkey", program.exit_code(F.col("o_orderstatus") == "P", F.coalesce("errors", F.lit(0))).alias("code"))
 
 
 @query("n6_quality_issues", "SELECT doc_id, CASE WHEN n_chars < 100 THEN 'unreadable' WHEN lang IS NULL THEN 'units_unknown' END AS code FROM documents WHERE n_chars < 100 OR lang IS NULL")

@@ -169,8 +169,8 @@ def a15(spark, sf_dir):
 def a16(spark, sf_dir):
     """Figures of the value columns by row; wrapped captions joined; typed arithmetic evaluated."""
     c = workbook.cells(_book(spark)).withColumn("shown", workbook.shown(F.col("value"), F.col("formula")))
-    per = c.where("row >= 4").groupBy("row").agg(F.max(F.when(F.col("col") == 1, F.col("text"))).alias("caption"), F.max(F.when(F.col("col") == 3, F.col("shown"))).alias("c3"), F.max(F.when(F.col("col") == 4, F.col("shown"))).alias("c4"))
-    return workbook.wrapped_captions(per.withColumn("has_values", F.col("c3").isNotNull() | F.col("c4").isNotNull())).select("row", "caption", "c3", "c4")
+    per = c.where("row >= 4").groupBy("path", "sheet", "row").agg(F.max(F.when(F.col("col") == 1, F.col("text"))).alias("caption"), F.max(F.when(F.col("col") == 3, F.col("shown"))).alias("c3"), F.max(F.when(F.col("col") == 4, F.col("shown"))).alias("c4"))
+    return workbook.wrapped_captions(per.withColumn("has_values", F.col("c3").isNotNull() | F.col("c4").isNotNull()), ["path", "sheet"]).select("row", "caption", "c3", "c4")
 
 
 @query("a17_filing_or_model", expected("path string, filing boolean", [("b.xlsx", True)]))

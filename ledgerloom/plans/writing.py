@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from .registry import ORACLES, Table, expected, load, query
 
 def _shared(spark) -> str:
     """A fresh folder below the one that the cluster shares."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/ledgerloom-sinks/{uuid.uuid4().hex}"
 
 
@@ -73,28 +76,30 @@ def l7(spark, sf_dir):
     return back.select("o_custkey", F.size("orders").cast("long").alias("n"), F.aggregate("orders", F.lit(0).cast("long"), lambda a, o: a + o["o_orderkey"]).alias("keys"))
 
 
-@query("l10_caption_write_back", expected("label string, caption string", [("Revenue", "Revenues, net"), ("Tax", "Income tax")]))
+_CAPTIONS = Table("label string, caption string", [("Revenue", "Revenue"), ("Tax", "Income tax")])
+_MATCHED = Table("label string, found string", [("Revenue", "Revenues, net")])
+
+
+@query("l10_caption_write_back", f"SELECT company, label, CASE WHEN label = 'Revenue' AND company % 2 = 0 THEN 'Revenues, net' ELSE caption END AS caption FROM {_CAPTIONS.sql_across()}")
 def l10(spark, sf_dir):
-    """The wording that matched is recorded for the next period; others stay."""
-    mapping = Table("label string, caption string", [("Revenue", "Revenue"), ("Tax", "Income tax")]).df(spark)
-    matched = Table("label string, found string", [("Revenue", "Revenues, net")]).df(spark)
-    return mapping.join(matched, "label", "left").select("label", F.coalesce("found", "caption").alias("caption"))
+    """Even companies matched another wording."""
+    return program.write_back(_CAPTIONS.across(spark, sf_dir), _MATCHED.across(spark, sf_dir).where("company % 2 = 0"), ["company"])
 
 
-@query("l11_formula_recipe", expected("write_col int, formula string", [(6, "=22%*SUM(D5:G5)-F10-E10-D10")]))
+@query("l11_formula_recipe", """
+    WITH c AS (SELECT s_suppkey, CAST(3 + s_suppkey % 40 AS INTEGER) AS c FROM supplier), l AS (SELECT *, list_transform(range(0, 50), lambda i: CASE WHEN i >= 26 THEN chr(CAST(64 + i // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + i % 26 AS INTEGER))) AS x FROM c)
+    SELECT s_suppkey, '=22%*SUM(' || x[c - 2] || '5:' || x[c + 1] || '5)-' || x[c] || '10-' || x[c - 1] || '10-' || x[c - 2] || '10' AS formula FROM l""")
 def l11(spark, sf_dir):
     """The trailing-year plug as a formula for the column that is written."""
-    t = Table("write_col int, margin string, revenue_row int, row int", [(6, "22%", 5, 10)]).df(spark)
-    letter = lambda c: F.char(c + F.lit(65))
-    c = F.col("write_col")
-    return t.select("write_col", F.concat(F.lit("="), "margin", F.lit("*SUM("), letter(c - 3), "revenue_row", F.lit(":"), letter(c), "revenue_row", F.lit(")-"), letter(c - 1), "row", F.lit("-"), letter(c - 2), "row", F.lit("-"), letter(c - 3), "row").alias("formula"))
+    col = (3 + F.col("s_suppkey") % 40).cast("int")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", program.trailing_year_plug(col, F.lit("22%"), F.lit("5"), F.lit("10")).alias("formula"))
 
 
 @query("s1_stream_windows", "SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def s1(spark, sf_dir):
-    """Event-time sums over the event table, read as a stream, under a watermark."""
+    """Event-time sums over the event table, read as a stream, under a watermark: finished windows are appended to Parquet."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     out = streams.windowed(streams.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
-    name = f"windows_{uuid.uuid4().hex[:8]}"
-    return streams.run_once(out, name, _shared(spark)).select(F.to_date("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    base = _shared(spark)
+    return streams.run_once(out, f"{base}/windows", f"{base}/checkpoint").select(F.to_date("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -139,8 +139,14 @@ def header_parts(cells_: DataFrame, first_data_row: int) -> DataFrame:
     return above.groupBy("path", "sheet", "col").agg(F.array_join(parts, " ").alias("header"))
 
 
-def wrapped_captions(rows: DataFrame) -> DataFrame:
-    """rows(row, caption, has_values): a caption that begins in lower case goes on from the heading before it."""
-    w = Window.orderBy("row")
+def wrapped_captions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, row, caption, has_values): a caption that begins in lower case goes on from the heading before it in its sheet."""
+    w = Window.partitionBy(*keys).orderBy("row")
     goes_on = F.col("caption").rlike("^[a-z]") & ~F.lag("has_values").over(w)
     return rows.withColumn("caption", F.when(goes_on, F.concat_ws(" ", F.lag("caption").over(w), "caption")).otherwise(F.col("caption"))).where("has_values")
+
+
+def row_predicates(label: Column, value: Column) -> tuple[Column, Column]:
+    """Whether a figure is a year, and the scope that a row's label opens."""
+    scope = F.when(label.rlike("(?i)consolidated"), "consolidated").when(label.rlike("(?i)standalone|separate"), "separate")
+    return value.between(1990, 2100) & (value == F.floor(value)), scope

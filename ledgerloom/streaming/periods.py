@@ -20,12 +20,21 @@ def windowed(stream: DataFrame, ts: str, keys: list[str], value: str, width: str
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All that is there now, to a table in memory (for reports and tests); append sinks use the same plan."""
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All windows of what is there now, as a table: open ones too, which ``append_to`` would still hold back.
+
+    Each batch writes the windows that it changed, under its own number, so that a batch which is run again replaces itself; a
+    window's last batch counts. State is dropped by the watermark and nothing is gathered on the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    keys = [c for c in stream.columns if c not in ("n", "total")]
+    written = spark.read.parquet(path)
+    return written.groupBy(*keys).agg(F.max_by(F.struct("n", "total"), "batch").alias("last")).select(*keys, "last.n", "last.total")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: str):
