@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import engine
 from ..sources.tables import mapping_rows
-from .registry import Table, expected, query
+from .registry import Table, expected, load, query
 
 _PROGRAM = json.dumps({"company": "acme", "rows": [
     {"label": "Revenue", "section": "income_statement", "pdf": "Revenue"},
@@ -60,3 +60,25 @@ def o3(spark, sf_dir):
 def o4(spark, sf_dir):
     """Every value says which lines it was read from and what was done to it."""
     return _run(spark).where("label in ('SGA', 'Capex', 'Margin', 'GIMSA EBITDA')").select("label", "source.captions", "adjustments")
+
+
+@query("m18_stages_from_files", "SELECT n_name AS company, label, value, reason FROM nation, (VALUES ('Revenue', 1250000.0, NULL), ('Margin', 350000.0, NULL), ('Land', NULL, 'not_found'), ('Tax', 7.5, NULL)) v(label, value, reason)")
+def m18(spark, sf_dir):
+    """Mappings, tables and history of every nation written as files, and a run that starts from them."""
+    from ..operators import stages
+    from .writing import _shared
+
+    base = _shared(spark)
+    names = [r[0] for r in load(spark, sf_dir, "nation").select("n_name").collect()]  # 25 file names
+    table = {"pages": {"3": {"tables": [{"title": "Income statement", "units": "SAR '000", "columns": ["Three months ended 30 June 2026"], "rows": [{"caption": "Revenue", "values": ["1,250"]}, {"caption": "Costs", "values": ["(900)"]}]}]}}}
+    rows = [{"label": "Revenue", "section": "income_statement", "pdf": "Revenue"}, {"label": "Margin", "section": "income_statement", "pdf": ["Revenue", "Costs"]}, {"label": "Land", "section": "income_statement", "pdf": "Land"}, {"label": "Tax", "section": "income_statement", "value": 7.5}]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        for kind, doc in (("tables", table), ("mappings", {"mapping_version": "1", "company": name, "sheet": "model", "rows": rows})):
+            where = jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}/{name}.json")
+            out = where.getFileSystem(conf).create(where)
+            out.write(bytearray(json.dumps(doc).encode()))
+            out.close()
+    spark.createDataFrame([], "company string, label string, end date, value double").write.json(f"{base}/history")
+    found = stages.resolve(spark, f"{base}/mappings", f"{base}/tables", f"{base}/history", "2026-06-30", 3, "units")
+    return found.select(F.regexp_replace("company", "%20", " ").alias("company"), "label", "value", "reason")
