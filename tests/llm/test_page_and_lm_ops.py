@@ -300,6 +300,59 @@ def test_other_words_get_classes_by_their_neighbours(spark, head_size):
     assert np.allclose(total[np.unique(np.r_[cls, forms])], 1) and np.allclose((10.0**model.transition).sum(axis=1), 1)
 
 
+@pytest.mark.parametrize(("head_size", "n_units"), [(1 << 17, 1000), (30, 12)])
+def test_scores_equal_plain_counting(spark, docs, rows, head_size, n_units):
+    """The score of every text from its words' classes by counting in plain Python: only the classes are the model's."""
+    low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    train = [low(t) for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    held = docs.where(~class_lm.held_out(mod=7))
+    model, counts = class_lm.fit(spark, held, 3, head_size=head_size, n_units=n_units)
+
+    def classes_of(words):
+        w = core.Words(*core.utf8(pa.array([" ".join(words)])))
+        return dict(zip(words, model.classes[model.units(w.hashes(), class_lm._forms(w).astype(np.int64))[0]].tolist()))
+
+    vocabulary = sorted({w for _, t, *_ in rows for w in low(t)})
+    cls, end = classes_of(vocabulary), int(model.classes[-1])
+    count = {}
+    for w in (x for words in train for x in words):
+        count[w] = count.get(w, 0) + 1
+    k, tokens, types = len(model.transition), {}, {}
+    for w, n in count.items():
+        tokens[cls[w]] = tokens.get(cls[w], 0) + n
+        types[cls[w]] = types.get(cls[w], 0) + 1
+    tokens[end] = tokens.get(end, 0) + len(train)
+    types[end] = types.get(end, 0) + 1
+    once, twice = (sum(n == x for n in count.values()) for x in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    unseen = {}
+    for c in model.classes[n_units : n_units + class_lm.FORMS].tolist():  # an unknown type for each ending
+        unseen[c] = unseen.get(c, 0) + 1
+    moves = {}
+    for words in train:
+        path = [end, *(cls[w] for w in words), end]
+        for a, b in zip(path, path[1:]):
+            moves[a, b] = moves.get((a, b), 0) + 1
+    out = [sum(n for (a, _), n in moves.items() if a == x) for x in range(k)]
+    all_tokens = sum(tokens.get(c, 0) + 0.5 for c in range(k))
+
+    def move(a, b):
+        return (moves.get((a, b), 0) + class_lm.SMOOTH * (tokens.get(b, 0) + 0.5) / all_tokens) / (out[a] + class_lm.SMOOTH)
+
+    def emit(c, n):
+        whole = tokens.get(c, 0)
+        if n:
+            return (n - d) / (whole if c in unseen else whole - d * types[c])
+        return (d * types.get(c, 0) / whole if whole else 1.0) / unseen[c]
+
+    got = {r["doc_id"]: r["score"] for r in class_lm.score(spark, docs, model, counts, 3).collect()}
+    for doc_id, text, *_ in rows:
+        words = low(text)
+        path = [end, *(cls[w] for w in words), end]
+        want = sum(math.log10(move(a, b)) for a, b in zip(path, path[1:])) + sum(math.log10(emit(cls[w], count.get(w, 0))) for w in words) + math.log10(emit(end, len(train)))
+        assert got[doc_id] == pytest.approx(want, rel=1e-6), doc_id
+
+
 def test_classes_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "BASE_TOKENS", 10)
     df = spark.createDataFrame([(i, f"a{i % 9} b{i % 7} c{i % 5}") for i in range(400)], "doc_id long, text string")
