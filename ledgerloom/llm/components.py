@@ -2,13 +2,13 @@
 
 Both steps keep the components and hang nodes on smaller ones; when nothing changes, each node hangs on its component's smallest.
 A node may have a third of all links, so no step brings a node's links together by the node alone: they are dealt by
-(node, salt), a minimum is taken of each salt and then of the node's minima, and goes back to the salts by a join in which a node has
-at most as many rows as there are salts. Small and large graphs take the same way.
+(node, salt), a minimum is taken of each salt and then of the node's minima, of which there are at most as many as salts, and goes back
+to the links by a join on both. Small and large graphs take the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import core
@@ -22,9 +22,8 @@ def salts(spark: SparkSession) -> int:
 def with_least(rows: DataFrame, key: str, value: Column, spread: Column, n: int, name: str) -> DataFrame:
     """The rows and the smallest ``value`` of their key, in a column ``name``. ``spread``: what rows of one key differ in."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
-    part = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
-    low = part.groupBy(F.col(key).alias("least_key")).agg(F.min("least").alias(name))
-    back = part.select(F.col(key).alias("part_key"), F.col("salt").alias("part_salt")).join(low, F.col("part_key") == F.col("least_key")).select("part_key", "part_salt", name)
+    part = salted.groupBy(F.col(key).alias("part_key"), F.col("salt").alias("part_salt")).agg(F.min(value).alias("least"))
+    back = part.select("part_key", "part_salt", F.min("least").over(Window.partitionBy("part_key")).alias(name))  # at most n rows of a key
     return salted.join(back, (F.col(key) == F.col("part_key")) & (F.col("salt") == F.col("part_salt"))).drop("salt", "part_key", "part_salt")
 
 

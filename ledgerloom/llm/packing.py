@@ -50,7 +50,6 @@ def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
 def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -62,12 +61,16 @@ def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = not added
+    whole: list = []  # the library's own tokenizer, loaded when a text needs it: it takes some hundred MB
 
     def encode(text: str) -> list[int]:
         if len(text) >= LONG_SPACE and _BLANK.search(text):
-            return whole.encode(text, add_special_tokens=False).ids
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(path))
+                whole[0].encode_special_tokens = not added
+            return whole[0].encode(text, add_special_tokens=False).ids
         return quick.encode(text, allowed_special="all") if added else quick.encode_ordinary(text)
 
     return encode
