@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 SIDE = 24
 FRAME = SIDE * SIDE
+#: The payload bytes at its end that have a checksum of their own.
+TAIL = 32
 DELAY = 4  # hundredths of a second
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 _FULL = 4096  # entries of a table that grows no further
@@ -416,7 +418,7 @@ def media(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                         digest.update(last)
                         counts += histogram(frame.rgb)
                         n, duration = n + 1, duration + 10 * frame.delay
-                    row = (doc_id, len(raw), n * len(last), digest.hexdigest(), zlib.crc32(last), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, counts)), n, duration)
+                    row = (doc_id, len(raw), n * len(last), digest.hexdigest(), zlib.crc32(last[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, counts)), n, duration)
                     rows.append((*row, data) if with_bytes else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = to
