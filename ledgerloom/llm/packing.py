@@ -7,8 +7,8 @@ table of runs (length, ranks, first bin, offset); a piece finds its place by its
 So neither the driver nor a task ever holds the documents: the driver holds ``width`` counts and the runs.
 
 Defined cases: a null or empty text is its end token alone; rows with one doc_id are documents of their own; an empty table
-gives an empty result; texts of any length are cut into pieces of ``width`` tokens, the first being the shorter one; very long
-runs of white space, which the quick encoder's pattern can't go through, are encoded by ``tokenizers`` itself.
+gives an empty result; texts of any length are cut into pieces of ``width`` tokens, the first being the shorter one; runs of
+white space of any length take time by their length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ WIDTH = 1024
 END = 2
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-#: White space of so many characters on end goes to ``tokenizers``: the quick encoder's pattern fails from a million on.
-LONG_SPACE = 20_000
-_BLANK = re.compile(rf"\s{{{LONG_SPACE}}}")
+#: White space as the vocabulary's pattern takes it (Unicode's White_Space; Python's \\s has four control characters more).
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: From so many on end, a run is cut out before the pattern sees it: the pattern's lookahead takes time by the run's square.
+_BLANK = re.compile(_WHITE + "{32,}")
 _encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
@@ -60,19 +62,22 @@ def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    whole: list = []  # the library's own tokenizer, loaded when a text needs it: it takes some hundred MB
+    make = partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens=special)
+    quick, one = make("byte_bpe", pat_str=public_tokenizers.PATTERN), make("one_piece", pat_str=r"(?s).+")
+    stops = tuple(special) if added else ()
 
-    def encode(text: str) -> list[int]:
-        if len(text) >= LONG_SPACE and _BLANK.search(text):
-            if not whole:
-                from tokenizers import Tokenizer
-
-                whole.append(Tokenizer.from_file(path))
-                whole[0].encode_special_tokens = not added
-            return whole[0].encode(text, add_special_tokens=False).ids
+    def plain_ids(text: str) -> list[int]:
         return quick.encode(text, allowed_special="all") if added else quick.encode_ordinary(text)
 
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for m in _BLANK.finditer(text):
+            # The pattern takes a run up to its last character, which goes with what follows; at the end it takes all of it.
+            end = m.end() if m.end() == len(text) or text.startswith(stops, m.end()) else m.end() - 1
+            ids += plain_ids(text[at : m.start()]) + one.encode_ordinary(text[m.start() : end])
+            at = end
+        return ids + plain_ids(text[at:]) if at else plain_ids(text)
+
     return encode
 
 
