@@ -97,9 +97,15 @@ class Block:
         return self.node.block if self.node else ""
 
 
-@lru_cache(maxsize=4096)
 def _names(attributes: str) -> tuple[tuple, int, bool]:
-    """The words of class, id and role; the kinds that they stand for; whether the element is hidden."""
+    """The words of class, id and role; the kinds that they stand for; whether the element is hidden.
+
+    Tags repeat on a site, so short ones are remembered; long ones (styles, inlined data) are read anew each time, so what is held is 4,096 short strings.
+    """
+    return _short_names(attributes) if len(attributes) <= 256 else _read_names(attributes)
+
+
+def _read_names(attributes: str) -> tuple[tuple, int, bool]:
     found, hidden, seen = set(), False, set()
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -117,6 +123,7 @@ def _names(attributes: str) -> tuple[tuple, int, bool]:
     return (*sorted(found), "!hidden") if hidden else tuple(sorted(found)), kinds, hidden
 
 
+_short_names = lru_cache(maxsize=4096)(_read_names)
 _NO_NAMES: tuple[tuple, int, bool] = ((), 0, False)
 
 
