@@ -1,13 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a uniform 60-bit hash of its id. Documents of a source are taken in hash order up to the
+Every document has a uniform 60-bit hash of its id and text. Documents of a source are taken in hash order up to the
 source's budget, without sorting them: the words of each source are summed by hash bucket, the bucket in which the
 budget is reached is refined into sub-buckets, and so on until the bucket on the boundary can't be split further.
 The thresholds nest: a larger budget takes a superset. A target above the source's size takes all its documents one
 or two times and a hash prefix of them once more; so no document is taken more than three times.
 
 Defined cases: null or empty texts have size 0 and are carried along; a null source is a source of its own and ranks
-last; rows with one id have one hash and fall on the same side; an empty table gives an empty result; a source or
+last; rows with one id and one text have one hash and fall on the same side; an empty table gives an empty result; a source or
 corpus without words gets target 0. Extra columns are kept by ``mix_rows`` and ignored by ``mix``.
 """
 
@@ -51,9 +51,10 @@ def default_weights(sources) -> dict:
     return {s: i % 3 + 1 for i, s in enumerate(sorted(sources, key=_order))}
 
 
-def _hash(doc_id):
-    """A uniform hash of 60 bits; a null id counts as an empty one."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def _hash():
+    """A uniform hash of 60 bits of id and text, so that rows of one id (or of none) spread; a null counts as an empty string."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)), 1, 15), 16, 10).cast("long")
 
 
 def thresholds(spark: SparkSession, base: DataFrame, weights=default_weights) -> DataFrame:
@@ -98,7 +99,7 @@ def _copies():
 
 def mix(spark: SparkSession, docs: DataFrame, weights=default_weights) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs(doc_id, text, source)."""
-    base = core.keep(spark, docs.select("doc_id", "source", core.n_words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h")), "mix_base")
+    base = core.keep(spark, docs.select("doc_id", "source", core.n_words(F.col("text")).alias("size"), _hash().alias("h")), "mix_base")
     edge = thresholds(spark, base, weights)
     out = base.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -106,8 +107,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=default_weights) -> DataFr
 
 def mix_rows(spark: SparkSession, docs: DataFrame, weights=default_weights) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as the mix takes it, with its own columns."""
-    sized = docs.select("source", core.n_words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h"))
+    sized = docs.select("source", core.n_words(F.col("text")).alias("size"), _hash().alias("h"))
     edge = thresholds(spark, core.keep(spark, sized, "mix_base"), weights)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), _hash(F.col("doc_id")).alias("h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), _hash().alias("h"))
     rows = rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

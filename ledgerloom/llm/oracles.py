@@ -7,7 +7,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 OP1 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 f AS (SELECT *, row_number() OVER (ORDER BY 3.0 * n / w, source) AS k, sum(3 * n) OVER (ORDER BY 3.0 * n / w, source) AS full_size, sum(w) OVER () - sum(w) OVER (ORDER BY 3.0 * n / w, source) AS free_w, sum(n) OVER () AS total FROM s),
 -- The number of sources that are held at three times their size, and what is left for the others.
