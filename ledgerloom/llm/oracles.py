@@ -81,5 +81,39 @@ a AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM k
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(a.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.t, '')) AS kept_sha256 FROM w LEFT JOIN a USING (doc_id)"""
 
 
+def _op12() -> str:
+    """Trees by recursion over levels; a step of a proof is a run's text with _ for the node itself. crc32 is worked out bit by bit."""
+    part = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)))"
+
+    def levels(name: str, base: str) -> str:
+        return f"{name} AS ({base} UNION ALL SELECT level + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY level, source, i // 16, n)"
+
+    def steps(name: str, nodes: str) -> str:
+        beside = lambda sign: f"coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i {sign} x.i), '')"
+        return f"""{name} AS (SELECT x.level, x.source, x.i, {beside("<")} || '_' || {beside(">")} AS step FROM {nodes} x
+            JOIN {nodes} y ON x.level = y.level AND x.source IS NOT DISTINCT FROM y.source AND x.i // 16 = y.i // 16 WHERE x.n > 1 GROUP BY x.level, x.source, x.i)"""
+
+    return f"""WITH RECURSIVE
+    d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(_LOWER.format("text"))} END AS bent FROM documents),
+    l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+    {levels("t", "SELECT 0 AS level, source, i, n, leaf AS h FROM l")},
+    s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    {levels("o", "SELECT 0 AS level, '' AS source, i, n, h FROM s")},
+    {steps("a", "t")},
+    {steps("b", "o")},
+    p AS (SELECT l.source, l.i, list(a.step ORDER BY a.level) AS path FROM l JOIN a ON l.source IS NOT DISTINCT FROM a.source AND a.i = l.i // CAST(16 ** a.level AS BIGINT) GROUP BY l.source, l.i),
+    q AS (SELECT s.source, list(b.step ORDER BY b.level) AS path FROM s JOIN b ON b.i = s.i // CAST(16 ** b.level AS BIGINT) GROUP BY s.source),
+    r AS (SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM o WHERE n = 1) AS root, coalesce(l.bent, l.leaf) AS now, list_concat(p.path, q.path) AS path
+        FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN p ON l.source IS NOT DISTINCT FROM p.source AND l.i = p.i LEFT JOIN q ON l.source IS NOT DISTINCT FROM q.source),
+    f AS (SELECT doc_id, leaf, subroot, root, sha256(replace(coalesce(array_to_string(path, ''), ''), '_', '')) AS proof_sha256, list_reduce(list_prepend(now, path), lambda h, step: sha256(replace(step, '_', h))) AS folded_root FROM r)
+    SELECT *, folded_root = root AS verified FROM f"""
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_near_dedup": OP3, "op9_substring_dedup": OP9}
+    return {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_near_dedup": OP3, "op9_substring_dedup": OP9, "op12_merkle_manifest": OP12}
