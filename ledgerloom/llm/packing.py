@@ -49,6 +49,21 @@ def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
     return _encoders[path, added]
 
 
+def token_bytes(path: str) -> list[bytes | None]:
+    """What each id of a byte-level vocabulary stands for; None for added tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    # Byte-level vocabularies print each byte as one character: the printable ones as themselves, the rest from U+0100 on.
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    out: list[bytes | None] = [None] * (max([*spec["model"]["vocab"].values(), *added.values()]) + 1)
+    for token, i in spec["model"]["vocab"].items():
+        if token not in added:
+            out[i] = bytes(byte[c] for c in token)
+    return out
+
+
 def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
@@ -58,10 +73,7 @@ def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
         raise ValueError(f"{path}: added tokens that take in spaces or stand alone")
-    # Byte-level vocabularies print each byte as one character: the printable ones as themselves, the rest from U+0100 on.
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    ranks = {b: i for i, b in enumerate(token_bytes(path)) if b is not None}
     make = partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens=special)
     quick, one = make("byte_bpe", pat_str=public_tokenizers.PATTERN), make("one_piece", pat_str=r"(?s).+")
     stops = tuple(special) if added else ()

@@ -99,7 +99,7 @@ class Pieces:
         self.length = np.array([len(p) for p in self.names])
         self.next = np.array([0, *(number.get(self.shorter[p], 0) for p in whole)])
         self.ids_by_number = [-1, *(self.id_of[p] for p in whole)]
-        self.decimal = ["", *(str(self.id_of[p]) for p in whole)]
+        self.decimal_of = [*map(str, range(n))]
         self.seen = np.full(1 << SLOTS, -1)  # pairs that were tried, by a hash of theirs: 2 * pair + whether they fit
         self.single = np.zeros(0x110000, dtype=np.int32)
         for piece in whole:
@@ -253,6 +253,19 @@ class Pieces:
         places = np.flatnonzero(made)
         return made[places].tolist(), np.searchsorted(places, bounds).tolist()
 
+    def many(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word, as ``split`` gives it, and its ids; the short ones side by side."""
+        short = [w for w in words if len(w) <= LONG and w[-1] in self.characters]
+        if short:
+            numbers, bounds = self.side_by_side(short)
+            ids = [*map(self.ids_by_number.__getitem__, numbers)]
+            for word, a, b in zip(short, bounds, bounds[1:], strict=False):
+                yield word, ids[a:b]
+        if len(short) < len(words):
+            for word in words:
+                if len(word) > LONG or word[-1] not in self.characters:
+                    yield word, self._word(word)
+
     def split(self, text: str) -> list[str]:
         """The words of a text, each with the space marks before it, and runs of characters without a piece; the library puts a mark in front."""
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -324,17 +337,9 @@ class Words(dict):
             self.held = 0
         new = [*set(words).difference(self)]
         self.held += sum(map(len, new)) + 8 * len(new)
-        pieces = self.pieces
-        short = [w for w in new if len(w) <= LONG and w[-1] in pieces.characters]
-        numbers, bounds = pieces.side_by_side(short) if short else ([], [0])
-        ids, decimal = [*map(pieces.ids_by_number.__getitem__, numbers)], [*map(pieces.decimal.__getitem__, numbers)]
-        stand = [*map(pieces.bytes_of.__getitem__, ids)]
-        for word, a, b in zip(short, bounds, bounds[1:], strict=False):
-            self[word] = b - a, ",".join(decimal[a:b]), b"".join(stand[a:b])
-        for word in new:
-            if word not in self:
-                own = pieces._word(word)
-                self[word] = len(own), ",".join(map(str, own)), b"".join(map(pieces.bytes_of.__getitem__, own))
+        bytes_of, decimal = self.pieces.bytes_of, self.pieces.decimal_of
+        for word, ids in self.pieces.many(new):
+            self[word] = len(ids), ",".join([*map(decimal.__getitem__, ids)]), b"".join([*map(bytes_of.__getitem__, ids)])
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:

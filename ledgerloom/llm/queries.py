@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, gif_media, html_text, language_id, merkle, mixing, near_dedup, packing, pieces, quality, substring, url_filter
+from . import alignment, class_lm, gif_media, html_text, language_id, merkle, mixing, near_dedup, packing, pieces, quality, substring, url_filter
 from .core import load, tune
 from .oracles import oracle_sql  # noqa: F401
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, load(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, load(spark, sf_dir, "documents"))
 
