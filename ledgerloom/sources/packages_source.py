@@ -11,7 +11,6 @@ the query: packages that don't fit are not planned, members that don't fit are n
 from __future__ import annotations
 
 import datetime
-import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,8 +93,8 @@ class Reader(DataSourceReader):
         for path, _ in partition.files:
             with system.open_input_file(path) as file:
                 try:
-                    archive = zipfile.ZipFile(io.BufferedReader(file) if not hasattr(file, "seekable") else file)
-                except zipfile.BadZipFile:
+                    archive = zipfile.ZipFile(file)
+                except (zipfile.BadZipFile, ValueError):  # too short for Arrow's file to be searched
                     if self.bad == "fail":
                         raise ValueError(f"{path} is no zip file") from None
                     if self.bad == "keep" and partition.share == 0 and self._fits("member", None):

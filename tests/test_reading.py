@@ -75,7 +75,7 @@ def test_two_open_figures_of_a_block_stay_open(spark):
 def test_pages_without_a_text(spark):
     rows = {1: [table([("Revenue", ["1", "2"])])]}
     assert read(spark, rows, {1: " "})[0][5] == ["unchecked", "unchecked"]
-    assert read(spark, rows, {1: None}, {1: "Revenue 1 3"})[0][5] == ["witnessed", "not printed"]
+    assert read(spark, rows, {1: None}, {1: "Revenue 1 33"})[0][5] == ["witnessed", "not printed"]
     assert read(spark, rows, {1: "Revenue 1 2"}, {1: "Revenue 7 7"})[0][5] == ["printed", "printed"]
 
 
