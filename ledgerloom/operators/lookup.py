@@ -114,3 +114,28 @@ def slots(short: DataFrame, layout: DataFrame, keys: list[str]) -> DataFrame:
     full = layout.withColumn("values", F.filter("cells", lambda v: v.isNotNull()))
     hits = short.join(full, [*keys, "values"]).groupBy(*keys, "id").agg(F.count("*").alias("n"), F.first("cells").alias("cells"))
     return short.select(*keys, "id").join(hits, [*keys, "id"], "left").select(*keys, "id", F.when(F.col("n") == 1, F.col("cells")).alias("slots"))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The different runs of n characters of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(lines: DataFrame, names: DataFrame, text: str = "text", name: str = "name", q: int = 3) -> DataFrame:
+    """The pairs of lines(.., text) and names(.., name) in which the text holds the name as it is written.
+
+    An index of runs of q characters proposes pairs: each name is looked up by the one of its runs that the fewest lines have, so lines and names meet on a run that
+    both hold, and only such pairs are tested. Names shorter than q are looked up whole, by runs of their own length. An empty name is in no line. No list goes to all tasks.
+    """
+    wanted = names.select(name).where(F.length(name) > 0).distinct()
+    runs = wanted.select(name, F.explode(F.when(F.length(name) >= q, _grams(F.col(name), q)).otherwise(F.array(name))).alias("__run"))
+    every = lambda t: F.explode(F.array_distinct(F.concat(*[_grams(t, n) for n in range(1, q + 1)])))
+    # How many lines have each run that names have.
+    asked = lines.where(F.col(text).isNotNull()).select(every(F.col(text)).alias("__run")).join(runs.select("__run").distinct(), "__run", "left_semi")
+    often = asked.groupBy("__run").agg(F.count("*").alias("__n"))
+    rarest = runs.join(often, "__run", "left").groupBy(name).agg(F.min_by("__run", F.struct(F.coalesce("__n", F.lit(0)), "__run")).alias("__run"))
+    proposed = lines.where(F.col(text).isNotNull()).select(F.struct(*lines.columns).alias("__row"), F.col(text).alias("__text"))
+    proposed = proposed.withColumn("__run", every(F.col("__text")))
+    hits = proposed.join(rarest, "__run").where(F.contains(F.col("__text"), F.col(name))).select("__row", name)
+    return hits.join(names, name).select("__row.*", *[F.col(c) for c in names.columns])

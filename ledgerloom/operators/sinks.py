@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_label
+from .numbering import numbered
+
 
 class Refused(RuntimeError):
     """A gate refused to write."""
@@ -20,6 +25,21 @@ def append_period(spark: SparkSession, values: DataFrame, path: str, period_end:
     values.withColumn("period_end", F.lit(period_end).cast("date")).write.mode("append").partitionBy("period_end").parquet(path)
 
 
+def append_rows(old: DataFrame, new: DataFrame, keys: list[str], label: str, order: list[Column], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """old(keys, ord, ..) with the rows of new(keys, ..) whose label their document lacks behind its own, in ``order``; old rows keep their place.
+
+    Of several new rows with one label the first counts. Places are counted over partitions (``numbering``), so one document may have most rows.
+    """
+    norm = normalize_label(F.col(label))
+    known = old.select(*keys, norm.alias("__norm")).distinct()
+    fresh = new.withColumn("__norm", norm).join(known, [*keys, "__norm"], "left_anti")
+    first = fresh.groupBy(*keys, "__norm").agg(F.min_by(F.struct(*new.columns), F.struct(*order)).alias("r")).select("r.*")
+    last = old.groupBy(*keys).agg((F.max("ord") + 1).alias("__after"))
+    placed = numbered(first, keys, order, keep, "__place", "__total").join(last, keys, "left")
+    placed = placed.withColumn("ord", F.col("__place") + F.coalesce("__after", F.lit(0)))
+    return old.unionByName(placed.select(*[F.col(c) if c in placed.columns else F.lit(None).alias(c) for c in old.columns]))
+
+
 def lineage(caption: Column, page: Column, header: Column, adjustments: Column) -> Column:
     """The note beside a value: where it was read, and what was done to it, a line each."""
     return F.concat_ws("\n", F.concat(F.lit("from '"), caption, F.lit("' on page "), page.cast("string")), F.concat(F.lit("column "), header), F.array_join(adjustments, "\n"))

@@ -150,3 +150,75 @@ def row_predicates(label: Column, value: Column) -> tuple[Column, Column]:
     """Whether a figure is a year, and the scope that a row's label opens."""
     scope = F.when(label.rlike("(?i)consolidated"), "consolidated").when(label.rlike("(?i)standalone|separate"), "separate")
     return value.between(1990, 2100) & (value == F.floor(value)), scope
+
+
+# --- workbooks that don't open ----------------------------------------------------------------------------
+
+#: What print titles may say: rows or columns of a sheet, one or two such ranges.
+_TITLES = re.compile(r"(?:(?:'(?:[^']|'')*'|[^'!,]+)!)?\$?(?:[A-Z]{1,3}:\$?[A-Z]{1,3}|\d+:\$?\d+)")
+_ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+_BARE = re.compile(r"&(?!(?:#\d+|#x[0-9A-Fa-f]+|amp|lt|gt|quot|apos);)")
+_DEFINED = re.compile(r"<definedName\b[^>]*\bname=\"_xlnm\.Print_Titles\"[^>]*>(.*?)</definedName>", re.DOTALL)
+
+
+def _readable_titles(value: str) -> bool:
+    return all(_TITLES.fullmatch(part.strip()) for part in value.split(","))
+
+
+def _open_strictly(content: bytes) -> None:
+    """Read all of a workbook; a ValueError if something in it can't be read."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        book = archive.read("xl/workbook.xml").decode("utf-8")
+    for m in _DEFINED.finditer(book):
+        if not _readable_titles(m[1]):
+            raise ValueError(f"print titles: {m[1]}")
+    for _ in _cells_of("", content):
+        pass
+
+
+def _repair(content: bytes) -> tuple[bytes, list[str]]:
+    """The package with its XML mended, and what was done: unreadable print titles dropped; illegal characters dropped and bare ampersands written out."""
+    done, out = set(), io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as archive, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as mended:
+        for item in archive.infolist():
+            data = archive.read(item)
+            if item.filename.endswith((".xml", ".rels")):
+                text = data.decode("utf-8", "replace")
+                fixed = _BARE.sub("&amp;", _ILLEGAL.sub("", text))
+                if fixed != text:
+                    done.add("xml_mended")
+                if item.filename == "xl/workbook.xml":
+                    kept = _DEFINED.sub(lambda m: m[0] if _readable_titles(m[1]) else "", fixed)
+                    if kept != fixed:
+                        done.add("print_titles_dropped")
+                    fixed = kept
+                data = fixed.encode("utf-8")
+            mended.writestr(item.filename, data)
+    return out.getvalue(), sorted(done)
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """files(path, content) with issues: workbooks that open stay as they are; others are mended and read a second time, and what was done is said.
+
+    One that doesn't open then either has no content and the issue ``unreadable``. Each file is tried by itself, so no one of them stops the others.
+    """
+    types = [pa.string(), pa.binary(), pa.list_(pa.string())]
+
+    def one(path: str, content: bytes | None) -> tuple:
+        try:
+            _open_strictly(content)
+            return path, content, []
+        except Exception:
+            try:
+                mended, done = _repair(content)
+                _open_strictly(mended)
+                return path, mended, done
+            except Exception:
+                return path, None, ["unreadable"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one(path, content), types, strict=True)], ["path", "content", "issues"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, content binary, issues array<string>")
