@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import direction_variants, normalize_label
 
 
-def pick_statement(requests: DataFrame, statements: DataFrame) -> DataFrame:
-    """requests(req, kind) against statements(stmt, kind, ord, readable): the first readable one of the kind.
+def pick_statement(requests: DataFrame, statements: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """requests(keys, req, kind) against statements(keys, stmt, kind, ord, readable): the first readable one of the kind in the same filing.
 
-    An income statement may be read from a statement of comprehensive income if there is no other.
+    An income statement may be read from a statement of comprehensive income if there is no other. ``keys`` name the filing; ``req`` is unique.
     """
+    keys = keys or []
     wants = requests.withColumn("k", F.explode(F.when(F.col("kind") == "income_statement", F.array(F.lit("income_statement"), F.lit("comprehensive_income"))).otherwise(F.array("kind"))))
-    s = statements.select(F.col("kind").alias("k"), "stmt", "ord", "readable")
-    ranked = wants.join(s, "k").groupBy("req").agg(F.min_by("stmt", F.struct((F.col("k") != F.col("kind")).alias("other"), (~F.col("readable")).alias("unreadable"), "ord")).alias("stmt"))
+    s = statements.select(*keys, F.col("kind").alias("k"), "stmt", "ord", "readable")
+    ranked = wants.join(s, [*keys, "k"]).groupBy("req").agg(F.min_by("stmt", F.struct((F.col("k") != F.col("kind")).alias("other"), (~F.col("readable")).alias("unreadable"), "ord")).alias("stmt"))
     return requests.join(ranked, "req", "left").select("req", "stmt", F.when(F.col("stmt").isNull(), F.concat(F.lit("no "), "kind")).alias("reason"))
 
 
@@ -102,6 +103,40 @@ def find_row(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return requests.select("req").join(found, "req", "left").select("req", F.when(one, F.col("first_row")).alias("row"), name.alias("tier"), F.when(F.col("tier").isNull(), "not_found").when(~one, F.when(F.col("tier") == 2, "needs_a_sum").otherwise("ambiguous")).alias("reason"))
 
 
+def find_nth(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """requests(req, stmt, caption, nth) -> req, row: the nth line of the statement that is the caption exactly."""
+    same = Window.partitionBy("stmt", "norm").orderBy("row")
+    lines = rows.select("stmt", normalize_label(F.col("caption")).alias("norm"), "row").withColumn("nth", F.row_number().over(same))
+    return requests.select("req", "stmt", normalize_label(F.col("caption")).alias("norm"), "nth").join(lines, ["stmt", "norm", "nth"], "left").select("req", "row")
+
+
+def find_alternatives(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """requests(req, stmt, caption 'A || B') -> req, row, turn, reason: the first alternative that is found, each looked up by itself."""
+    each = requests.select("req", "stmt", F.posexplode(F.split("caption", r"\s*\|\|\s*")).alias("turn", "c"))
+    found = find_row(each.select(F.struct("req", "turn").alias("req"), "stmt", F.array("c").alias("captions")), rows)
+    best = found.groupBy("req.req").agg(F.min_by(F.struct("row", "req.turn"), F.when(F.col("row").isNotNull(), F.col("req.turn"))).alias("b"))
+    return best.select("req", "b.row", "b.turn", F.when(F.col("b").isNull(), "not_found").alias("reason"))
+
+
+def optional_value(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """requests(req, stmt, caption), rows with value -> req, value, reason: an optional line's value, 0 if nothing is like it; a line that is only near it is an error."""
+    found = find_row(requests.select("req", "stmt", F.array("caption").alias("captions")), rows).join(requests.select("req", "stmt"), "req")
+    with_value = found.join(rows.select("stmt", "row", "value"), ["stmt", "row"], "left")
+    value = F.when(F.col("tier") == "exact", F.col("value")).when(F.col("tier").isNull(), F.lit(0.0))
+    return with_value.select("req", value.alias("value"), F.when(F.col("tier") != "exact", "near_match").alias("reason"))
+
+
+def dispatch(requests: DataFrame, aliases: DataFrame, rows: DataFrame) -> DataFrame:
+    """requests(req, stmt, hint, field), aliases(field, captions) -> req, row, by: by the recorded caption, else by the field's spellings in their order, else absent.
+
+    A field is never looked up by its own name.
+    """
+    tries = requests.join(aliases, "field", "left").select("req", "stmt", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("caption").alias("by"), F.when(F.col("hint").isNotNull(), F.array("hint")).alias("captions")), F.struct(F.lit(1).alias("turn"), F.lit("alias").alias("by"), "captions"))).alias("t")).select("req", "stmt", "t.*").where("captions is not null")
+    found = find_row(tries.select(F.struct("req", "turn", "by").alias("req"), "stmt", "captions"), rows).where("row is not null")
+    best = found.groupBy("req.req").agg(F.min_by(F.struct("row", "req.by"), "req.turn").alias("b")).select("req", "b.*")
+    return requests.select("req").join(best, "req", "left").select("req", "row", F.coalesce("by", F.lit("absent")).alias("by"))
+
+
 def find_block_row(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """requests(req, stmt, block, caption): the first line at or after a unique heading that is, or ends with, the caption."""
     from ..functions.text import accent_free_label as plain
