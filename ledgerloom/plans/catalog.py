@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, discovery, engine, figures, geometry, language, more, periods, reading, readings, selection, selection_facts, writing  # noqa: F401
+from . import assembly, discovery, engine, figures, geometry, language, more, periods, reading, readings, selection, selection_facts, text_facts, writing  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

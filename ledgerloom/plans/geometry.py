@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators.lookup import nearest_band, slots
-from .registry import Table, expected, query
+from .registry import Table, expected, load, query
 
 #: A page: a band line over a label line, then three body lines and prose.
 _WORDS = Table("page int, text string, x0 double, x1 double, top double", [
@@ -50,8 +50,6 @@ def d4(spark, sf_dir):
     SELECT l_suppkey, count(DISTINCT island) AS islands, max(x1) AS last FROM i GROUP BY l_suppkey""")
 def d4_lines(spark, sf_dir):
     """The interval merge at scale: shipments as day ranges, merged for each supplier."""
-    from .registry import load
-
     x0 = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
     spans = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.lit(0).alias("line"), x0.alias("x0"), (x0 + F.col("l_quantity").cast("int")).alias("x1"))
     merged = G.columns(spans)
@@ -84,10 +82,7 @@ def d7(spark, sf_dir):
 @query("d8_table_layout", expected("caption string, cells array<string>", [("Net sales", ["1,250", "1,100", "14 bp"]), ("- Costs", ["(900)", "-", None]), ("EBITDA", ["350", "300", "(3)"])]))
 def d8(spark, sf_dir):
     """Lines by columns: a blank cell keeps its column."""
-    cells = G.columns(G.cells(_lined(spark)))
-    width = cells.groupBy("page").agg((F.max("col") + 1).alias("width"))
-    rows = cells.groupBy("page", "line", "caption").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).join(width, "page")
-    return rows.select("caption", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.try_element_at("m", c)).alias("cells"))
+    return G.layout(G.columns(G.cells(_lined(spark)))).select("caption", "cells")
 
 
 _LAYOUT_ROWS = Table("line int, cells array<double>", [(1, [5.0, None, 7.0]), (2, [1.0, 2.0, 3.0]), (3, [8.0, None, 9.0]), (4, [None, 8.0, 9.0])])
@@ -104,7 +99,74 @@ def d9(spark, sf_dir):
 @query("d10_alignment", "SELECT conv_id, CAST(count(CASE WHEN len(string_split(text, ' ')) >= 8 THEN 1 END) AS DOUBLE) / count(*) < 0.5 AS misaligned FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def d10(spark, sf_dir):
     """The share of rows that have all columns; less than half is an error."""
-    from .registry import load
-
     t = load(spark, sf_dir, "conversations").where("text is not null")
     return t.groupBy("conv_id").agg((F.count_if(F.size(F.split("text", " ")) >= 8) / F.count("*") < 0.5).alias("misaligned"))
+
+
+# --- pages of many filings ---------------------------------------------------------------------------------
+
+# A customer is a filing and each order a page: a line of headers, then a line for each item with two amounts and, but for every fourth, a figure in one of four forms, some with a unit after it.
+_PAPERS = """
+    p AS (SELECT o_orderkey, o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page FROM orders),
+    l AS (SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS line, CAST(round(l_extendedprice * 100) AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + 1000 AS b, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN p ON l_orderkey = o_orderkey),
+    t AS (SELECT doc, page, line, 'Item ' || chr(CAST(96 + line AS INTEGER)) AS caption, format('{:,}', a) AS a, '(' || format('{:,}', b) || ')' AS b,
+        CASE line % 4 WHEN 1 THEN '$' || q || ',000' WHEN 2 THEN '($' || q || '.2)' WHEN 3 THEN '.' || q END AS c, line % 4 = 3 AS unit FROM l)"""
+
+
+def papers(spark, sf_dir):
+    """words(doc, page, text, x0, x1, top) of all pages."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"))
+    i = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
+    line = F.row_number().over(Window.partitionBy("doc", "page").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    i = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("line", line)
+    q, top = F.col("q").cast("string"), 22.0 + 15.0 * F.col("line")
+    c = F.when(F.col("line") % 4 == 1, F.concat(F.lit("$"), q, F.lit(",000"))).when(F.col("line") % 4 == 2, F.concat(F.lit("($"), q, F.lit(".2)"))).when(F.col("line") % 4 == 3, F.concat(F.lit("."), q))
+    word = lambda text, x0, x1, y: F.struct(text.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), y.cast("double").alias("top"))
+    right = lambda text, x, y: word(text, x - 4.0 * F.length(text), F.lit(x), y)
+    left = lambda text, x0, x1, y: word(text, F.lit(x0), F.lit(x1), y)
+    words = F.array(
+        left(F.lit("Item"), 10, 30, top), left(F.char(96 + F.col("line")), 32, 38, top + 0.5), right(F.format_number(F.round(F.col("l_extendedprice") * 100).cast("long"), 0), 180, top),
+        right(F.concat(F.lit("("), F.format_number(F.col("q") + 1000, 0), F.lit(")")), 250, top + 0.5), F.when(c.isNotNull(), right(c, 320, top)), F.when(F.col("line") % 4 == 3, left(F.lit("x"), 322, 327, top)),
+    )
+    head = F.array(left(F.lit("2Q26"), 160, 180, F.lit(22.0)), left(F.lit("2Q25"), 230, 250, F.lit(22.4)))
+    rows = i.select("doc", "page", F.explode(F.array_compact(words)).alias("w")).unionByName(o.join(i.select("doc", "page").distinct(), ["doc", "page"]).select("doc", "page", F.explode(head).alias("w")))
+    return rows.select("doc", "page", "w.*")
+
+
+_KEYS = ["doc", "page"]
+
+
+@query("d1_lines_facts", f"WITH {_PAPERS} SELECT doc, page, line, CAST(4 + CASE WHEN c IS NULL THEN 0 WHEN unit THEN 2 ELSE 1 END AS BIGINT) AS n FROM t UNION ALL SELECT DISTINCT doc, page, 0, 2 FROM t")
+def d1_facts(spark, sf_dir):
+    return G.lines(papers(spark, sf_dir), _KEYS).groupBy("doc", "page", "line").agg(F.count("*").alias("n"))
+
+
+@query("d2_fragments_facts", f"WITH {_PAPERS} SELECT doc, page, line, CAST(i AS INTEGER) AS frag, CASE i WHEN 0 THEN caption WHEN 1 THEN a WHEN 2 THEN b ELSE c || CASE WHEN unit THEN ' x' ELSE '' END END AS text FROM t, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE i < 3 OR c IS NOT NULL")
+def d2_facts(spark, sf_dir):
+    return G.fragments(G.lines(papers(spark, sf_dir), _KEYS), keys=_KEYS).where("line > 0").select("doc", "page", "line", "frag", "text")
+
+
+@query("d3_cells_facts", f"WITH {_PAPERS} SELECT doc, page, line, caption, unnest(list_filter([a, b, c || CASE WHEN unit THEN ' x' ELSE '' END], lambda x: x IS NOT NULL)) AS text FROM t")
+def d3_facts(spark, sf_dir):
+    """Figures with a currency's sign, in brackets, of decimals alone, and with a unit after them."""
+    return G.cells(G.lines(papers(spark, sf_dir), _KEYS), _KEYS).where("line > 0").select("doc", "page", "line", "caption", "text")
+
+
+@query("d5_body_facts", f"WITH {_PAPERS} SELECT doc, page, CAST(1 AS INTEGER) AS start, CAST(max(line) + 1 AS INTEGER) AS stop FROM t GROUP BY doc, page")
+def d5_facts(spark, sf_dir):
+    return G.body(G.lines(papers(spark, sf_dir), _KEYS), _KEYS)
+
+
+@query("d6_headers_facts", f"WITH {_PAPERS} SELECT DISTINCT doc, page, text, CAST(CASE text WHEN '2Q26' THEN 0 ELSE 1 END AS INTEGER) AS col FROM t, (VALUES ('2Q26'), ('2Q25')) AS h(text)")
+def d6_facts(spark, sf_dir):
+    lined = G.lines(papers(spark, sf_dir), _KEYS)
+    frags = G.fragments(lined, keys=_KEYS).where("line = 0").select(*_KEYS, "text", "x0", "x1", "frag")
+    ranges = G.columns(G.cells(lined.where("line > 0"), _KEYS), _KEYS).select(*_KEYS, "col", "left", "right").distinct()
+    return G.assign(frags, ranges, 30.0, _KEYS).join(frags.select(*_KEYS, "frag", "text"), [*_KEYS, "frag"]).select(*_KEYS, "text", "col")
+
+
+@query("d8_table_layout_facts", f"WITH {_PAPERS}, w AS (SELECT *, c || CASE WHEN unit THEN ' x' ELSE '' END AS d FROM t) SELECT doc, page, line, caption, '[' || a || '|' || b || CASE WHEN max(d) OVER (PARTITION BY doc, page) IS NULL THEN '' ELSE '|' || coalesce(d, 'null') END || ']' AS cells FROM w")
+def d8_facts(spark, sf_dir):
+    """Whole pages as tables: every fourth line lacks its third cell."""
+    lined = G.lines(papers(spark, sf_dir), _KEYS).where("line > 0")
+    return G.layout(G.columns(G.cells(lined, _KEYS), _KEYS), _KEYS)
