@@ -53,10 +53,22 @@ def labels(a_ends: np.ndarray, b_ends: np.ndarray, n: int) -> bytes:
     return _LABELS[kinds].tobytes()
 
 
-def spans(labelled: bytes) -> Iterator[tuple[int, int, int]]:
-    """(bytes, tokens of A, tokens of B) of each group: the spans up to a label for both."""
-    for span in _SPAN.findall(labelled):
-        yield len(span), span.count(A_END) + 1, span.count(B_END) + 1
+class _Counts(dict):
+    """span of labels for an end -> (tokens of A, tokens of B)"""
+
+    def __missing__(self, span: bytes) -> tuple[int, int]:
+        found = self[span] = span.count(A_END) + 1, span.count(B_END) + 1
+        return found
+
+
+def spans(labelled: bytes) -> list[tuple[int, int]]:
+    """(tokens of A, tokens of B) of each group: the labels in the spans up to a label for both; bytes that end nothing are passed over."""
+    if len(_counts) > 1 << 16:
+        _counts.clear()
+    return [*map(_counts.__getitem__, _SPAN.findall(labelled.translate(None, NONE)))]
+
+
+_counts = _Counts()
 
 
 class Aligner(dict):
@@ -66,6 +78,7 @@ class Aligner(dict):
         super().__init__()
         self.a, self.b, self.held = packing.encoder(a_path), pieces.model(b_path), 0
         self.a_bytes = packing.token_bytes(a_path)
+        self.decimal = [*map(str, range(max(len(self.a_bytes), len(self.b.bytes_of))))]
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Add chunks; those that were known before may go, if they are more than HELD characters."""
@@ -74,43 +87,56 @@ class Aligner(dict):
             self.held = 0
         new = [*set(chunks).difference(self)]
         self.held += sum(map(len, new)) + 16 * len(new)
-        cut = [self.b.split(chunk) for chunk in new]
+        cut = [*map(self.b.split, new)]
         words = dict(self.b.many([*set(itertools.chain.from_iterable(cut))]))
-        fine, a_ids, b_ids = [], [], []
-        for chunk, parts in zip(new, cut, strict=True):
-            a, b, own = self.a(" " + chunk), [i for w in parts for i in words[w]], b" " + chunk.encode()
-            if b"".join([self.a_bytes[i] for i in a]) == own == b"".join([self.b.bytes_of[i] for i in b]):
-                fine.append(chunk)
-                a_ids.append(a)
-                b_ids.append(b)
-            else:
-                self[chunk] = None
-        if not fine:
-            return
-        # One string of labels for all of them; each chunk ends with a label for both.
+        a_ids = [self.a(" " + chunk) for chunk in new]
+        b_ids = [words[parts[0]] if len(parts) == 1 else [i for w in parts for i in words[w]] for parts in cut]
+        if not self._own_bytes(new, a_ids, b_ids):  # some chunk's tokens don't stand for its own bytes
+            fine = [self._own_bytes([chunk], [a], [b]) for chunk, a, b in zip(new, a_ids, b_ids, strict=True)]
+            self.update((chunk, None) for chunk, ok in zip(new, fine, strict=True) if not ok)
+            new, a_ids, b_ids = ([x for x, ok in zip(xs, fine, strict=True) if ok] for xs in (new, a_ids, b_ids))
+        if new:
+            self._label(new, a_ids, b_ids)
+
+    def _own_bytes(self, chunks: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> bool:
+        """Whether the tokens of each chunk stand for its bytes: their lengths chunk by chunk, and all bytes in a row."""
+        a, b = ([[table[i] for i in ids] for ids in side] for side, table in ((a_ids, self.a_bytes), (b_ids, self.b.bytes_of)))
+        joined = [[*map(b"".join, side)] for side in (a, b)]
+        return [*map(len, joined[0])] == [*map(len, joined[1])] and b"".join(joined[0]) == b"".join(joined[1]) == " ".join(["", *chunks]).encode()
+
+    def _label(self, chunks: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
+        """One string of labels for all chunks; each ends with a label for both, so no span holds bytes of two."""
         all_a, all_b = [*itertools.chain.from_iterable(a_ids)], [*itertools.chain.from_iterable(b_ids)]
         a_ends, b_ends = (np.cumsum([len(table[i]) for i in ids]) - 1 for table, ids in ((self.a_bytes, all_a), (self.b.bytes_of, all_b)))
         found = spans(labels(a_ends, b_ends, int(a_ends[-1]) + 1))
-        for chunk, a, b in zip(fine, a_ids, b_ids, strict=True):
-            i = j = 0
-            groups, links = [], []
-            while i < len(a):
-                _, m, n = next(found)
-                groups.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(map(str, a[i : i + m]))}|{','.join(map(str, b[j : j + n]))}")
-                i, j = i + m, j + n
-                links.append(a[i - 1] << 32 | b[j - 1])
-            self[chunk] = i, j, ";".join(groups), links
+        a_text, b_text = [*map(self.decimal.__getitem__, all_a)], [*map(self.decimal.__getitem__, all_b)]
+        groups, i, j = [], 0, 0
+        for m, n in found:
+            groups.append(f"{a_text[i]}|{b_text[j]}" if m == n == 1 else f"{','.join(a_text[i : i + m])}|{','.join(b_text[j : j + n])}")
+            i, j = i + m, j + n
+        # The link of a group is between its last tokens; a chunk's last group is the one that its last token of A ends.
+        a_last, b_last = (np.cumsum(side) - 1 for side in zip(*found, strict=True))
+        links = (np.array(all_a)[a_last] << 32 | np.array(all_b)[b_last]).tolist()
+        sizes = [*map(len, a_ids)]
+        stops = (np.searchsorted(a_last, np.cumsum(sizes) - 1) + 1).tolist()
+        for chunk, m, b, start, stop in zip(chunks, sizes, b_ids, [0, *stops], stops, strict=False):
+            self[chunk] = m, len(b), ";".join(groups[start:stop]), tuple(links[start:stop])
 
     def chunks(self, text: str | None) -> list[str]:
         """The chunks of space + text, without the space that each begins with; none if the text has no tokens."""
         return _CUT.split(text) if text and pieces.MARK not in text else []
 
+    def found(self, texts: list[str]) -> Iterator[list]:
+        """What is known of the chunks of each text."""
+        cut = [*map(self.chunks, texts)]
+        self.learn(itertools.chain.from_iterable(cut))
+        for chunks in cut:
+            yield [*map(self.__getitem__, chunks)]
+
     def __call__(self, text: str | None) -> list[tuple[list[int], list[int]]]:
         """The groups of one text: the ids of A and of B."""
-        chunks = self.chunks(text)
-        self.learn(chunks)
-        found = [self[c] for c in chunks]
-        if not all(found):
+        (found,) = self.found([text])
+        if None in found or not found:
             return []
         sides = [g.split("|") for f in found for g in f[2].split(";")]
         return [([*map(int, a.split(","))], [*map(int, b.split(","))]) for a, b in sides]
@@ -147,18 +173,16 @@ def _blocks(a_path: str, b_path: str, batches: Iterator[pa.RecordBatch]) -> Iter
 
     for batch in batches:
         for part, buf, bounds in core.chunks([batch]):
-            texts = [known.chunks(core.text_of(buf, a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
-            known.learn(itertools.chain.from_iterable(texts))
-            for doc_id, chunks in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                found = [*map(known.__getitem__, chunks)]
-                if found and None not in found:
-                    joined = hashlib.sha256(";".join([x[2] for x in found]).encode()).hexdigest()
-                    pairs = np.fromiter(itertools.chain.from_iterable([x[3] for x in found]), dtype=np.int64)
-                    docs.append((doc_id, sum([x[0] for x in found]), sum([x[1] for x in found]), len(pairs), joined))
-                    links.append(np.unique(pairs, return_counts=True))
-                else:
-                    docs.append((doc_id, 0, 0, 0, ""))
-                    links.append((np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)))
+            with core.without_cycle_search():
+                for doc_id, found in zip(part.column("doc_id").to_pylist(), known.found([core.text_of(buf, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]), strict=True):
+                    if found and None not in found:
+                        joined = hashlib.sha256(";".join([x[2] for x in found]).encode()).hexdigest()
+                        pairs = np.fromiter(itertools.chain.from_iterable([x[3] for x in found]), dtype=np.int64)
+                        docs.append((doc_id, sum([x[0] for x in found]), sum([x[1] for x in found]), len(pairs), joined))
+                        links.append(np.unique(pairs, return_counts=True))
+                    else:
+                        docs.append((doc_id, 0, 0, 0, ""))
+                        links.append((np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)))
             held += len(buf)
             if held > BLOCK:
                 yield from made()

@@ -10,6 +10,8 @@ Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``, so the byte view
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -135,6 +137,18 @@ def text_of(buf: np.ndarray, start: int, end: int) -> str:
     return buf[start:end].tobytes().decode("utf-8", "replace")
 
 
+@contextlib.contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python doesn't search for cycles meanwhile: code that makes none, but very many small objects, would be searched again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

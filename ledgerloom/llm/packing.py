@@ -33,7 +33,8 @@ _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 #: White space as the vocabulary's pattern takes it (Unicode's White_Space; Python's \\s has four control characters more).
 _WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: From so many on end, a run is cut out before the pattern sees it: the pattern's lookahead takes time by the run's square.
-_BLANK = re.compile(_WHITE + "{32,}")
+LONG_SPACE = 32
+_BLANK = re.compile(f"{_WHITE}{{{LONG_SPACE},}}")
 _encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
@@ -82,6 +83,8 @@ def _make_encoder(path: str, added: bool) -> Callable[[str], list[int]]:
         return quick.encode(text, allowed_special="all") if added else quick.encode_ordinary(text)
 
     def encode(text: str) -> list[int]:
+        if len(text) < LONG_SPACE:
+            return plain_ids(text)
         ids, at = [], 0
         for m in _BLANK.finditer(text):
             # The pattern takes a run up to its last character, which goes with what follows; at the end it takes all of it.

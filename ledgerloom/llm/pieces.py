@@ -352,7 +352,8 @@ def digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part, buf, bounds in core.chunks([batch]):
                 texts = [pieces.split(core.text_of(buf, a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
-                known.learn(itertools.chain.from_iterable(texts))
+                with core.without_cycle_search():
+                    known.learn(itertools.chain.from_iterable(texts))
                 rows = []
                 for doc_id, words in zip(part.column("doc_id").to_pylist(), texts, strict=True):
                     found = [*map(known.__getitem__, words)]
