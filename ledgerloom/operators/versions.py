@@ -1,11 +1,12 @@
 """Tables kept in versions: partitions are replaced, never changed, and what they replace stays as the past.
 
-    root/data/v=<n>/...      what version n wrote, partitioned by the table's key
-    root/parts/v=<n>         which version each key's rows are of, from version n on
-    root/commits/<n>         that version n is complete
+    root/data/written_in=<n>/...   what version n wrote, partitioned by the table's key
+    root/parts/<n>                 which version each key's rows are of, from version n on
+    root/commits/<n>               that version n is complete
 
 A writer names the version that it read. It writes its data and the table of parts, and then makes the commit file, which must not be there: of two writers on one
 version the second is refused, and what it wrote is never read. A version is visible only when its commit is there, so readers see all of it or nothing.
+A table has no column ``written_in`` of its own.
 """
 
 from __future__ import annotations
@@ -45,25 +46,25 @@ class Versions:
     def parts(self, version: int | None = None) -> DataFrame:
         """keys, since: of which version each key's rows are, as of a version (the latest)."""
         n = self.latest() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/parts/v={n}")
+        return self.spark.read.parquet(f"{self.root}/parts/{n}")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows as of a version (the latest). Partitions of other versions aren't read."""
         n = self.latest() if version is None else version
-        data = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/v={k}" for k in self._written(n)])
+        data = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/written_in={k}" for k in self._written(n)])
         parts = self.parts(n)
-        return data.join(parts, self._same(data, parts) & (data["v"] == parts["since"]), "left_semi").drop("v")
+        return data.join(parts, self._same(data, parts) & (data["written_in"] == parts["since"]), "left_semi").drop("written_in")
 
     def _written(self, upto: int) -> list[int]:
-        return [k for k in range(1, upto + 1) if self._fs.exists(self._path(f"{self.root}/data/v={k}"))]
+        return [k for k in range(1, upto + 1) if self._fs.exists(self._path(f"{self.root}/data/written_in={k}"))]
 
     def past(self) -> DataFrame:
         """All rows that were ever written by a complete version, with version and whether they are current."""
         n = self.latest()
-        data = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/v={k}" for k in self._written(n)])
+        data = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/written_in={k}" for k in self._written(n)])
         parts = self.parts(n).withColumn("is_current", F.lit(True))
-        found = data.join(parts, self._same(data, parts) & (data["v"] == parts["since"]), "left")
-        return found.select(*[data[c] for c in data.columns if c != "v"], data["v"].alias("version"), F.coalesce("is_current", F.lit(False)).alias("current"))
+        found = data.join(parts, self._same(data, parts) & (data["written_in"] == parts["since"]), "left")
+        return found.select(*[data[c] for c in data.columns if c != "written_in"], data["written_in"].alias("version"), F.coalesce("is_current", F.lit(False)).alias("current"))
 
     def replace(self, rows: DataFrame, base: int, touched: DataFrame | None = None) -> int:
         """Make ``rows`` the rows of their keys, in place of those of version ``base``; the new version's number. Other keys stay.
@@ -73,15 +74,15 @@ class Versions:
         if base != self.latest():
             raise Refused(f"version {base} was replaced by {self.latest()}")
         new = base + 1
-        for folder in ("data", "parts"):  # what a writer left that was refused or died before its commit
-            self._fs.delete(self._path(f"{self.root}/{folder}/v={new}"), True)
-        rows.repartition(*self.keys).write.partitionBy(*self.keys).parquet(f"{self.root}/data/v={new}")
+        for folder in (f"data/written_in={new}", f"parts/{new}"):  # what a writer left that was refused or died before its commit
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+        rows.repartition(*self.keys).write.partitionBy(*self.keys).parquet(f"{self.root}/data/written_in={new}")
         own = rows.select(*self.keys) if touched is None else touched.select(*self.keys)
         own = own.distinct().withColumn("since", F.lit(new))
         if base:
             before = self.parts(base)
             own = before.join(own, self._same(before, own), "left_anti").unionByName(own)
-        own.write.parquet(f"{self.root}/parts/v={new}")
+        own.write.parquet(f"{self.root}/parts/{new}")
         self._commit(new)
         return new
 

@@ -20,6 +20,11 @@ def windowed(stream: DataFrame, ts: str, keys: list[str], value: str, width: str
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All windows of what is there now, as a table: open ones too, which ``append_to`` would still hold back.
 
@@ -33,6 +38,8 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     spark = stream.sparkSession
     keys = [c for c in stream.columns if c not in ("n", "total")]
+    if not _exists(spark, path):  # nothing has arrived: no batch was written
+        return spark.createDataFrame([], stream.schema)
     written = spark.read.parquet(path)
     return written.groupBy(*keys).agg(F.max_by(F.struct("n", "total"), "batch").alias("last")).select(*keys, "last.n", "last.total")
 

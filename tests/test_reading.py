@@ -221,3 +221,88 @@ def test_numbering_is_in_order_over_many_partitions(spark, tmp_path):
         assert sorted(r["place"] for r in got if r["g"] == g) == list(range(len(own))) and {r["total"] for r in got if r["g"] == g} == {len(own)}
     assert sorted(r["place"] for r in numbered(df, [], [F.col("k")], keep).collect()) == list(range(1001))
     assert numbered(df.limit(0), ["g"], [F.col("x")], keep).collect() == []
+
+
+# --- versions, contained titles, damaged workbooks ---------------------------------------------------------
+
+
+def test_versions(spark, tmp_path):
+    from ledgerloom.operators.sinks import Refused
+    from ledgerloom.operators.versions import Versions
+
+    store = Versions(spark, str(tmp_path / "t"), ["k"])
+    assert store.latest() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, label string, v string")
+    all_ = lambda n=None: sorted(map(tuple, store.read(n).select("k", "label", "v").collect()))
+    assert store.replace(rows(("a", "x", "1"), ("a", "y", "2"), ("b", "x", "3")), 0) == 1
+    assert store.replace(rows(("a", "x", "9")), 1) == 2
+    assert all_() == [("a", "x", "9"), ("b", "x", "3")] and all_(1) == [("a", "x", "1"), ("a", "y", "2"), ("b", "x", "3")]
+    with pytest.raises(Refused):
+        store.replace(rows(("b", "x", "0")), 1)
+    (tmp_path / "t" / "data" / "written_in=3").mkdir()  # a writer died before its commit
+    assert all_() == [("a", "x", "9"), ("b", "x", "3")]
+    changes = rows(("a", "x", "8"), ("a", "x", "8"), ("b", "x", "5"), ("b", "x", "6"), ("c", "x", "7"))
+    version, conflicts = store.upsert(changes, ["label"], "v", 2)
+    assert version == 3 and all_() == [("a", "x", "8"), ("b", "x", "3")]
+    assert [(r["k"], r["proposals"]) for r in conflicts.collect()] == [("b", ["5", "6"])]
+    assert {(r["k"], r["since"]) for r in store.parts().collect()} == {("a", 3), ("b", 1)}  # b's files were not written again
+    assert store.replace(rows().limit(0), 3, rows(("b", "", ""))) == 4 and all_() == [("a", "x", "8")]
+    assert sorted((r["k"], r["version"], r["current"]) for r in store.past().where("k = 'b' or version = 3").collect()) == [("a", 3, True), ("b", 1, False)]
+
+
+def test_two_writers_on_one_version(spark, tmp_path):
+    from ledgerloom.operators.sinks import Refused
+    from ledgerloom.operators.versions import Versions
+
+    a, b = (Versions(spark, str(tmp_path / "t"), ["k"]) for _ in range(2))
+    b.latest = lambda: 0  # it looked before the other one had written
+    a.replace(spark.createDataFrame([("a", 1)], "k string, v int"), 0)
+    (tmp_path / "t" / "data" / "written_in=1" / "_SUCCESS").unlink(missing_ok=True)
+    with pytest.raises(Refused):
+        b._commit(1)
+
+
+def test_containing(spark):
+    import random
+
+    from ledgerloom.operators.lookup import containing
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab é", k=rng.randint(0, 12))) for _ in range(120)] + [None, "", "aaa aaa", "日本語のテキスト"]
+    names = ["".join(rng.choices("ab é", k=rng.randint(1, 5))) for _ in range(40)] + ["", "日本", "zzz", "aaa aaa and more", "a", "a"]
+    lines = spark.createDataFrame([*enumerate(texts)], "i int, text string")
+    asked = spark.createDataFrame([*enumerate(names)], "j int, name string")
+    got = sorted((r["i"], r["j"]) for r in containing(lines, asked).collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, n in enumerate(names) if t is not None and n and n in t)
+
+
+def test_ordered_append(spark, tmp_path):
+    from ledgerloom.operators.sinks import append_rows
+
+    n = iter(range(10))
+
+    def keep(t):
+        path = str(tmp_path / f"k{next(n)}")
+        t.write.parquet(path)
+        return spark.read.parquet(path)
+
+    old = spark.createDataFrame([("a", 0, "Revenue", "x"), ("a", 1, "Costs", "y")], "doc string, ord long, label string, note string")
+    new = spark.createDataFrame([("a", "COSTS", 1), ("a", "Capex", 3), ("a", "Tax", 2), ("a", "capex", 9), ("b", "Sales", 5)], "doc string, label string, place_ int")
+    out = append_rows(old, new, ["doc"], "label", [F.col("place_")], keep)
+    assert sorted(map(tuple, out.collect()), key=repr) == [("a", 0, "Revenue", "x"), ("a", 1, "Costs", "y"), ("a", 2, "Tax", None), ("a", 3, "Capex", None), ("b", 0, "Sales", None)]
+
+
+def test_run_once_without_input(spark, tmp_path):
+    from ledgerloom.streaming import periods as streams
+
+    (tmp_path / "in").mkdir()
+    stream = streams.windowed(streams.read_events(spark, str(tmp_path / "in"), "ts timestamp, kind string, value double"), "ts", ["kind"], "value")
+    assert streams.run_once(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect() == []
+
+
+def test_columns_to_date(spark):
+    from ledgerloom.functions.periods import says_to_date
+
+    said = ["YTD 2026", "Acum. 2025", "Acumulado 2025", "acumulada", "Ene-Jun Acum 26", "2026", "acumen 2026", None]
+    df = spark.createDataFrame([*enumerate(said)], "i int, h string").select("i", says_to_date(F.col("h")).alias("x")).orderBy("i")
+    assert [bool(r["x"]) for r in df.collect()] == [True, True, True, True, True, False, False, False]
